@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import host_quality
+from tidemark.llm import host_quality, reply_trees
 
 
 def queries() -> dict:
     return {
+        "op1_reply_trees": reply_trees.op1_reply_trees,
         "op2_host_quality": host_quality.op2_host_quality,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op1_reply_trees": reply_trees.ORACLE,
         "op2_host_quality": host_quality.ORACLE,
     }
