@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidemark.llm import host_quality, reply_trees
+from tidemark.llm import host_quality, id_files, packing, reply_trees
 
 
 def queries() -> dict:
     return {
         "op1_reply_trees": reply_trees.op1_reply_trees,
         "op2_host_quality": host_quality.op2_host_quality,
+        "op3_simple8b_files": id_files.op3_simple8b_files,
+        "op5_best_fit_packing": packing.op5_best_fit_packing,
     }
 
 

@@ -2,24 +2,33 @@
 
 The library encodes about one megabyte a second and core. Its result for a text is the concatenation of its results for
 the pieces that it splits the text into before merging, and no piece of either vocabulary reaches across the cuts made
-here, so each distinct chunk is encoded once by the library and looked up afterwards:
+here, so each distinct word is encoded by the library once while it stays in the cache:
 
-* byte-level vocabulary (spaces belong to the word after them): before a single space that stands between two
+* byte-level vocabulary (spaces belong to the word after them): cut before a single space that stands between two
   characters that are not white space;
-* word-end vocabulary (white space is dropped): at white space.
+* word-end vocabulary (white space is dropped): cut at white space.
+
+Words that the cache lacks go to the library many at a time, as one text, whose ids are cut again at the words.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterable
+from itertools import chain
+
+import numpy as np
 
 #: Characters that Python splits at and the library does not.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
+ODD_SPACE = re.compile("[\x1c-\x1f]")
 UNEVEN_SPACE = re.compile(r"^\s| \s|\s |\s$")
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-CACHE_ENTRIES, CACHED_CHARS = 400_000, 64
+#: The cache is emptied, but for the current texts' words, when it has more entries; longer words aren't kept.
+CACHE_ENTRIES, CACHED_CHARS = 600_000, 48
+#: A word that is one token of its own in the word-end vocabulary and never joins its neighbours.
+SEPARATOR = "0"
 
 
 class Encoder:
@@ -32,26 +41,69 @@ class Encoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_space = drops_space
         self.cache: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
+        if drops_space:
+            (self.separator,) = self.library.encode(SEPARATOR, add_special_tokens=False).ids
+        else:
+            vocabulary = self.library.get_vocab(with_added_tokens=False)
+            self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a character of a token's name is a byte
+            self.id_bytes[list(vocabulary.values())] = [len(x) for x in vocabulary]
+
+    def direct(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def joined(self, words: list[str]) -> list[bytes]:
+        """The library's ids of each word (with the space before it where spaces count), from one text of all."""
         if self.drops_space:
-            return [text] if ODD_SPACE.search(text) else text.split()
-        parts = SINGLE_SPACE.split(text) if UNEVEN_SPACE.search(text) else text.split(" ")
-        return [parts[0], *[f" {x}" for x in parts[1:]]]
-
-    def ids(self, texts: Iterable[str | None]) -> list[bytes]:
-        split = [self.chunks(x) if x else [] for x in texts]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        unknown = list(set().union(*split).difference(self.cache)) if split else []
-        known, passing = self.cache, {}
-        for at in range(0, len(unknown), 4096):
-            block = unknown[at : at + 4096]
-            for chunk, made in zip(block, self.library.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                (known if len(chunk) <= CACHED_CHARS else passing)[chunk] = array("I", made.ids).tobytes()
-        if not passing:
-            return [b"".join(map(known.__getitem__, x)) for x in split]
-        return [b"".join([passing[c] if c in passing else known[c] for c in x]) for x in split]
+            (made,) = self.direct([f" {SEPARATOR} ".join(words)])
+            ids = np.frombuffer(made, np.uint32)
+            marks = np.flatnonzero(ids == self.separator)
+            starts, ends = [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)]
+        else:
+            (made,) = self.direct(["".join([f" {w}" for w in words])])
+            reach = np.cumsum(self.id_bytes[np.frombuffer(made, np.uint32)])
+            sizes = np.fromiter((1 + len(w.encode()) for w in words), np.int64, len(words))
+            ends = (np.searchsorted(reach, np.cumsum(sizes)) + 1).tolist()
+            starts = [0, *ends[:-1]]
+        if len(starts) != len(words):
+            raise AssertionError("the library joined words that stand apart")
+        return [made[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
+
+    def learn(self, words: Iterable[str], into: dict[str, bytes]) -> None:
+        together, alone = [], []
+        for w in words:
+            fits = SEPARATOR not in w if self.drops_space else w and not (w[0].isspace() or w[-1].isspace())
+            (together if fits and len(w) <= CACHED_CHARS else alone).append(w)
+        for at in range(0, len(together), 512):
+            block = together[at : at + 512]
+            into.update(zip(block, self.joined(block), strict=True))
+        into.update(zip(alone, self.direct(alone if self.drops_space else [f" {w}" for w in alone]), strict=True))
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        heads: list[str] = []  # what stands before a text's first cut has no space before it
+        split: list[list[str]] = []
+        for x in texts:
+            head, words = "", []
+            if not x:
+                pass
+            elif self.drops_space:
+                head, words = (x, []) if ODD_SPACE.search(x) else ("", x.split())
+            else:
+                head, *words = SINGLE_SPACE.split(x) if UNEVEN_SPACE.search(x) else x.split(" ")
+            heads.append(head)
+            split.append(words)
+        get = self.cache.get
+        found = [list(map(get, words)) for words in split]
+        if missed := [i for i, x in enumerate(found) if None in x]:
+            fresh: dict[str, bytes] = {}
+            self.learn({w for i in missed for w, x in zip(split[i], found[i], strict=True) if x is None}, fresh)
+            for i in missed:
+                found[i] = [fresh[w] if x is None else x for w, x in zip(split[i], found[i], strict=True)]
+            self.cache.update((w, x) for w, x in fresh.items() if len(w) <= CACHED_CHARS)
+            if len(self.cache) > CACHE_ENTRIES:
+                self.cache = dict(zip(chain.from_iterable(split), chain.from_iterable(found)))
+                for w in [w for w in self.cache if len(w) > CACHED_CHARS]:
+                    del self.cache[w]
+        return [b"".join([h, *x]) for h, x in zip(self.direct(heads), found, strict=True)]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -59,8 +111,6 @@ _encoders: dict[tuple[str, bool], Encoder] = {}
 
 def encoder(path: str, drops_space: bool) -> Encoder:
     """One encoder for each worker process; its cache lives on from task to task."""
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
     if (path, drops_space) not in _encoders:
         _encoders[path, drops_space] = Encoder(path, drops_space)
