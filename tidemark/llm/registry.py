@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import host_quality, id_files, packing, reply_trees
+from tidemark.llm import host_quality, id_files, language_id, packing, reply_trees
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_host_quality": host_quality.op2_host_quality,
         "op3_simple8b_files": id_files.op3_simple8b_files,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op8_language_id": language_id.op8_language_id,
     }
 
 
