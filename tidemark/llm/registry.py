@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import host_quality, id_files, language_id, packing, reply_trees
+from tidemark.llm import host_quality, id_files, language_id, line_chunks, line_hash, packing, reply_trees
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op3_simple8b_files": id_files.op3_simple8b_files,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op8_language_id": language_id.op8_language_id,
+        "op9_line_hash": line_hash.op9_line_hash,
+        "op10_line_chunks": line_chunks.op10_line_chunks,
     }
 
 
@@ -19,4 +21,5 @@ def oracle_sql() -> dict:
     return {
         "op1_reply_trees": reply_trees.ORACLE,
         "op2_host_quality": host_quality.ORACLE,
+        "op9_line_hash": line_hash.ORACLE,
     }
