@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import host_quality, id_files, language_id, line_chunks, line_hash, packing, reply_trees
+from tidemark.llm import host_quality, id_files, language_id, line_chunks, line_hash, packing, reply_trees, simhash_vp
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_host_quality": host_quality.op2_host_quality,
         "op3_simple8b_files": id_files.op3_simple8b_files,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op7_simhash_vp": simhash_vp.op7_simhash_vp,
         "op8_language_id": language_id.op8_language_id,
         "op9_line_hash": line_hash.op9_line_hash,
         "op10_line_chunks": line_chunks.op10_line_chunks,
