@@ -42,18 +42,17 @@ def pack(values: np.ndarray) -> np.ndarray:
     """One block's values (uint64) as Simple-8b words."""
     n = len(values)
     v = np.concatenate([values.astype(np.uint64), np.zeros(60, np.uint64)])
-    selector = np.zeros(n, np.int64)
+    need = np.frexp(v.astype(np.float64))[1].astype(np.uint8)
+    need[v >= np.uint64(1 << 53)] = 64  # floats round up there; such values are escaped or stand alone
+    need[(v >= np.uint64(1 << 53)) & (v < np.uint64(1 << 60))] = 60
+    selector, runs = np.zeros(n, np.int64), 1
     for s in range(len(COUNTS) - 1, 0, -1):
-        runs, bits = int(COUNTS[s]), int(BITS[s])
-        small = v < np.uint64(1 << bits)
-        if np.count_nonzero(small[:n]) < min(runs, n):
-            break  # narrower selectors fit even less
-        if runs == 1:
-            fits = small[:n]
-        else:
-            misses = np.concatenate([[0], np.cumsum(~small)])
-            fits = misses[runs : runs + n] == misses[:n]
-        selector[fits] = s
+        # the widest need of the next COUNTS[s] values, from two overlapping shorter stretches
+        further = int(COUNTS[s]) - runs
+        if further:
+            need = np.maximum(need[:-further], need[further:])
+        runs = int(COUNTS[s])
+        selector[need[:n] <= BITS[s]] = s
     steps = COUNTS[selector].tolist()
     starts, at = [], 0
     while at < n:

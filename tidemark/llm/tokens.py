@@ -4,9 +4,10 @@ The library encodes about one megabyte a second and core. Its result for a text
 the pieces that it splits the text into before merging, and no piece of either vocabulary reaches across the cuts made
 here, so each distinct word is encoded by the library once while it stays in the cache:
 
-* byte-level vocabulary (spaces belong to the word after them): cut before a single space that stands between two
-  characters that are not white space;
-* word-end vocabulary (white space is dropped): cut at white space.
+* byte-level vocabulary (a space belongs to the word after it): cut before a single space or line feed that stands between
+  two characters that are not white space;
+* word-end vocabulary (white space is dropped, case is lost): cut at white space;
+* both: a full stop or comma at the end of a word is a piece of its own where a Latin letter stands before it.
 
 Words that the cache lacks go to the library many at a time, as one text, whose ids are cut again at the words.
 """
@@ -17,16 +18,18 @@ import os
 import re
 from array import array
 from collections.abc import Iterable
-from itertools import chain
 
 import numpy as np
 
 #: Characters that Python splits at and the library does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-UNEVEN_SPACE = re.compile(r"^\s| \s|\s |\s$")
-SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Lower case is the same in Python and in the library for all other letters, one at a time.
+NOT_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
+#: White space at an end, beside other white space, or other than a space or line feed.
+UNEVEN_SPACE = re.compile(r"^\s|\s\s|[^\S \n]|\s$")
+CUT = re.compile(r"(?<=\S)(?:(?= \S)|(?=\n\S))")
 #: The cache is emptied, but for the current texts' words, when it has more entries; longer words aren't kept.
-CACHE_ENTRIES, CACHED_CHARS = 600_000, 48
+CACHE_ENTRIES, CACHED_CHARS = 800_000, 32
 #: A word that is one token of its own in the word-end vocabulary and never joins its neighbours.
 SEPARATOR = "0"
 
@@ -41,6 +44,7 @@ class Encoder:
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.drops_space = drops_space
         self.cache: dict[str, bytes] = {}
+        self.ends = {x: self.direct([x])[0] for x in ".,"}
         if drops_space:
             (self.separator,) = self.library.encode(SEPARATOR, add_special_tokens=False).ids
         else:
@@ -52,58 +56,85 @@ class Encoder:
         return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def joined(self, words: list[str]) -> list[bytes]:
-        """The library's ids of each word (with the space before it where spaces count), from one text of all."""
+        """The library's ids of each word, from one text of all."""
         if self.drops_space:
             (made,) = self.direct([f" {SEPARATOR} ".join(words)])
-            ids = np.frombuffer(made, np.uint32)
-            marks = np.flatnonzero(ids == self.separator)
-            starts, ends = [0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)]
+            marks = np.flatnonzero(np.frombuffer(made, np.uint32) == self.separator)
+            starts, ends = [0, *(marks + 1).tolist()], [*marks.tolist(), len(made) // 4]
         else:
-            (made,) = self.direct(["".join([f" {w}" for w in words])])
+            (made,) = self.direct(["".join(words)])
             reach = np.cumsum(self.id_bytes[np.frombuffer(made, np.uint32)])
-            sizes = np.fromiter((1 + len(w.encode()) for w in words), np.int64, len(words))
+            sizes = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
             ends = (np.searchsorted(reach, np.cumsum(sizes)) + 1).tolist()
             starts = [0, *ends[:-1]]
         if len(starts) != len(words):
             raise AssertionError("the library joined words that stand apart")
         return [made[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
 
-    def learn(self, words: Iterable[str], into: dict[str, bytes]) -> None:
-        together, alone = [], []
+    def learn(self, words: set[str]) -> None:
+        """Add ``words`` to the cache. A word stands for itself after a space, after its line feed where it has one, or at the
+        start of a text where it begins with a NUL added for that."""
+        known, ended, cores = self.cache, [], set()
         for w in words:
-            fits = SEPARATOR not in w if self.drops_space else w and not (w[0].isspace() or w[-1].isspace())
-            (together if fits and len(w) <= CACHED_CHARS else alone).append(w)
+            core = w
+            if len(w) > 2 and w[-1] in self.ends and w[-2] < "\u0100" and w[-2].isalpha():
+                core = w[:-1]
+            if self.drops_space and core.isascii():
+                core = core.lower()
+            if core is not w:
+                ended.append((w, core))
+            if core not in known:
+                cores.add(core)
+        together, alone = [], []
+        for w in cores:
+            if self.drops_space:
+                fits, text = SEPARATOR not in w, w
+            elif w[:1] == "\0":
+                fits, text = False, w[1:]
+            elif w[:1] == "\n":
+                fits, text = not (w[1:2].isspace() or w[-1].isspace()), w
+            else:
+                fits, text = bool(w) and not (w[0].isspace() or w[-1].isspace()), f" {w}"
+            (together if fits and len(w) <= CACHED_CHARS else alone).append((w, text))
         for at in range(0, len(together), 512):
             block = together[at : at + 512]
-            into.update(zip(block, self.joined(block), strict=True))
-        into.update(zip(alone, self.direct(alone if self.drops_space else [f" {w}" for w in alone]), strict=True))
+            known.update(zip([w for w, _ in block], self.joined([x for _, x in block]), strict=True))
+        known.update(zip([w for w, _ in alone], self.direct([x for _, x in alone]), strict=True))
+        known.update([(w, known[core] + self.ends[w[-1]] if len(core) < len(w) else known[core]) for w, core in ended])
+
+    def cut(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if self.drops_space:
+            if ODD_SPACE.search(text):
+                return [text]
+            return text.split() if NOT_LATIN.search(text) else text.lower().split()
+        if "\0" in text:
+            return [f"\0{text}"]
+        if UNEVEN_SPACE.search(text):
+            parts = [x[1:] if x[0] == " " and k else x for k, x in enumerate(CUT.split(text))]
+        else:
+            parts = text.replace("\n", " \n").split(" ")
+        parts[0] = f"\0{parts[0]}"
+        return parts
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        heads: list[str] = []  # what stands before a text's first cut has no space before it
-        split: list[list[str]] = []
-        for x in texts:
-            head, words = "", []
-            if not x:
-                pass
-            elif self.drops_space:
-                head, words = (x, []) if ODD_SPACE.search(x) else ("", x.split())
-            else:
-                head, *words = SINGLE_SPACE.split(x) if UNEVEN_SPACE.search(x) else x.split(" ")
-            heads.append(head)
-            split.append(words)
-        get = self.cache.get
-        found = [list(map(get, words)) for words in split]
-        if missed := [i for i, x in enumerate(found) if None in x]:
-            fresh: dict[str, bytes] = {}
-            self.learn({w for i in missed for w, x in zip(split[i], found[i], strict=True) if x is None}, fresh)
-            for i in missed:
-                found[i] = [fresh[w] if x is None else x for w, x in zip(split[i], found[i], strict=True)]
-            self.cache.update((w, x) for w, x in fresh.items() if len(w) <= CACHED_CHARS)
-            if len(self.cache) > CACHE_ENTRIES:
-                self.cache = dict(zip(chain.from_iterable(split), chain.from_iterable(found)))
-                for w in [w for w in self.cache if len(w) > CACHED_CHARS]:
-                    del self.cache[w]
-        return [b"".join([h, *x]) for h, x in zip(self.direct(heads), found, strict=True)]
+        known, words = self.cache, [self.cut(x) for x in texts]
+        found = [list(map(known.get, x)) for x in words]
+        short = [i for i, x in enumerate(found) if None in x]
+        new = {w for i in short for w, x in zip(words[i], found[i], strict=True) if x is None}
+        if new:
+            self.learn(new)
+            for i in short:
+                found[i] = [known[w] if x is None else x for w, x in zip(words[i], found[i], strict=True)]
+        made = [b"".join(x) for x in found]
+        if len(known) > CACHE_ENTRIES:
+            current = {w for x in words for w in x if len(w) <= CACHED_CHARS}
+            self.cache = {w: known[w] for w in current}
+        else:
+            for w in [w for w in new if len(w) > CACHED_CHARS]:
+                del known[w]
+        return made
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
