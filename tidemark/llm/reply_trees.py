@@ -55,27 +55,27 @@ def ranked_paths(messages: DataFrame, top: int | None = None) -> DataFrame:
         "pointers",
     )
     leaves = state.select("tree", "node").join(state.select(F.col("up").alias("node")), "node", "left_anti")
-    jumps: list[DataFrame] = []
-    most = state.count()
-    while not (open_ := state.where("up is not null")).isEmpty() and 2 ** len(jumps) <= most:
+    most, jumps, done = state.count(), [], state.where("up is null")
+    open_ = state.where("up is not null")
+    while not open_.isEmpty() and 2 ** len(jumps) <= most:
         jumps.append(open_.select("node", "up"))
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("further"))
-        state = stored(
-            state.join(above, "up", "left").select(
-                "tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth")
-            ),
-            "pointers",
-        )
-    rated = leaves.join(state.where("up is null").drop("tree"), "node")
+        above = open_.unionByName(done).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("further"))
+        moved = open_.join(above, "up").select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("further")).alias("depth"))
+        moved = stored(moved, "pointers")
+        done = done.unionByName(moved.where("up is null"))
+        open_ = moved.where("up is not null")
+    rated = leaves.join(done.drop("tree"), "node")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node"))
     chosen = rated.withColumn("rank", rank)
     if top is not None:
         chosen = chosen.where(F.col("rank") <= top)
     path = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", F.col("depth").alias("place"))
     for k, jump in enumerate(jumps):
-        path = stored(path, "paths") if k % 4 == 3 else path
-        further = path.join(jump, "node").select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("place") - F.lit(2**k)).alias("place"))
-        path = path.unionByName(further)
+        # a node stays and brings along the one 2**k above it, so that after all rounds each ancestor is there once
+        here = F.struct("node", "place")
+        there = F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), (F.col("place") - F.lit(2**k)).alias("place")))
+        path = path.join(jump, "node", "left").select("tree", "leaf", "rank", F.explode(F.array_compact(F.array(here, there))).alias("at"))
+        path = path.select("tree", "leaf", "rank", "at.node", "at.place")
     return path
 
 
