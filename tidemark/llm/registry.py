@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import host_quality, id_files, language_id, line_chunks, line_hash, packing, reply_trees, simhash_vp
+from tidemark.llm import host_quality, id_files, language_id, line_chunks, line_hash, packing, reply_trees, simhash_vp, suffix_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_reply_trees": reply_trees.op1_reply_trees,
         "op2_host_quality": host_quality.op2_host_quality,
         "op3_simple8b_files": id_files.op3_simple8b_files,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op7_simhash_vp": simhash_vp.op7_simhash_vp,
         "op8_language_id": language_id.op8_language_id,
