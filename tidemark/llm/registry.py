@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import host_quality, id_files, language_id, line_chunks, line_hash, packing, reply_trees, simhash_vp, suffix_dedup
+import corpus_pipeline
+from tidemark.llm import contamination, host_quality, id_files, language_id, line_chunks, line_hash, packing, reply_trees, simhash_vp, suffix_dedup
 
 
 def queries() -> dict:
@@ -12,10 +13,12 @@ def queries() -> dict:
         "op3_simple8b_files": id_files.op3_simple8b_files,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
+        "op6_containment": contamination.op6_containment,
         "op7_simhash_vp": simhash_vp.op7_simhash_vp,
         "op8_language_id": language_id.op8_language_id,
         "op9_line_hash": line_hash.op9_line_hash,
         "op10_line_chunks": line_chunks.op10_line_chunks,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -23,5 +26,6 @@ def oracle_sql() -> dict:
     return {
         "op1_reply_trees": reply_trees.ORACLE,
         "op2_host_quality": host_quality.ORACLE,
+        "op6_containment": contamination.ORACLE,
         "op9_line_hash": line_hash.ORACLE,
     }
