@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from tidemark.plans import window_queries
+from tidemark.plans.views import plain
+
+MODULES = (window_queries,)
+
+
+def _plain(query):
+    return wraps(query)(lambda spark, sf_dir: plain(query(spark, sf_dir)))
+
 
 def queries() -> dict:
-    return {}
+    return {k: _plain(f) for m in MODULES for k, f in m.queries().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {k: s for m in MODULES for k, s in m.oracle_sql().items()}
