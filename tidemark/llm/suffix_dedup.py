@@ -399,8 +399,10 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     texts = keyed_docs.select(F.col(a).alias("key_id"), F.col(b).alias("key_text"), raw.alias("raw"))
     key = F.struct("key_id", "key_text")
     facts = stored(texts.select("key_id", "key_text", F.length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("sha")), "facts")
-    firsts = facts.groupBy("sha").agg(F.min(key).alias("first"))
-    facts = stored(facts.join(firsts, "sha").withColumn("copy", key != F.col("first")).drop("first"), "facts")
+    # stored, so that the join reads two plain shuffles and adaptive execution can split a text with very many copies
+    firsts = stored(facts.groupBy("sha").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "firsts")
+    copy = F.coalesce(key != F.col("first"), F.lit(False))
+    facts = stored(facts.join(firsts, "sha", "left").withColumn("copy", copy).drop("first"), "facts")
     lead = facts.where("not copy").select("key_id", "key_text").distinct()
 
     twice = _dealt(texts, n, False).groupBy("bucket").applyInArrow(repeated, BY_DOCUMENT)
