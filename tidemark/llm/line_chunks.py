@@ -82,7 +82,7 @@ def dedup_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     docs, a, b = keyed(docs, doc_id, text)
     found = stored(chunk_table(docs, text, (a, b)), "chunks")
     rank = F.struct("key_id", "key_text", "line")
-    firsts = found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    firsts = stored(found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "firsts")  # a stored side lets adaptive execution split hot digests
     again = found.join(firsts, "digest").withColumn("is_first", rank == F.col("first"))
     wanted = again.groupBy("key_id", "key_text").agg(F.collect_set(F.struct("digest", "start", "stop", "line", "n_lines", "is_first")).alias("spans"))
     texts = docs.select(F.col(a).alias("key_id"), F.col(b).alias("key_text"), F.col(text).alias("whole"))

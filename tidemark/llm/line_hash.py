@@ -67,7 +67,7 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
     docs, a, b = keyed(docs, doc_id, text)
     units = stored(unit_table(docs, text, (a, b), unit, min_words), "units")
     rank = F.struct("key_id", "key_text", "place")
-    firsts = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    firsts = stored(units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "firsts")  # a stored side lets adaptive execution split hot digests
     # documents that occur as several equal rows list a unit once
     later = units.join(firsts, "digest").where(rank != F.col("first"))
     gone = later.groupBy("key_id", "key_text").agg(F.array_sort(F.collect_set(F.struct("start", "stop", F.col("place").alias("line"), "n_lines"))).alias("spans"))

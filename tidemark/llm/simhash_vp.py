@@ -183,7 +183,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     roots = components(near_links(classes)).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
-    of_class = rooted.select("fp", "root").join(firsts, "root").select("fp", "first")
+    # stored, so that adaptive execution can split a fingerprint that very many rows share
+    of_class = stored(rooted.select("fp", "root").join(firsts, "root").select("fp", "first"), "groups")
     return prints.join(of_class, "fp")
 
 
