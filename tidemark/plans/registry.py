@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
-from tidemark.plans import history_queries, window_queries
+from tidemark.plans import history_queries, quality_queries, window_queries
 from tidemark.plans.views import plain
 
-MODULES = (window_queries, history_queries)
+MODULES = (window_queries, history_queries, quality_queries)
 
 
 def _plain(query):
