@@ -70,13 +70,18 @@ def ranked_paths(messages: DataFrame, top: int | None = None) -> DataFrame:
     if top is not None:
         chosen = chosen.where(F.col("rank") <= top)
     path = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", F.col("depth").alias("place"))
+    whole = None
     for k, jump in enumerate(jumps):
-        # a node stays and brings along the one 2**k above it, so that after all rounds each ancestor is there once
+        # a node stays and brings along the one 2**k above it, so that after all rounds each ancestor is there once; a node
+        # less than 2**k below its root has brought all it will and leaves the rounds
+        path = stored(path, "paths")
+        settled = path.where(F.col("place") <= 2**k)
+        whole = settled if whole is None else whole.unionByName(settled)
         here = F.struct("node", "place")
-        there = F.when(F.col("up").isNotNull(), F.struct(F.col("up").alias("node"), (F.col("place") - F.lit(2**k)).alias("place")))
-        path = path.join(jump, "node", "left").select("tree", "leaf", "rank", F.explode(F.array_compact(F.array(here, there))).alias("at"))
+        there = F.struct(F.col("up").alias("node"), (F.col("place") - F.lit(2**k)).alias("place"))
+        path = path.where(F.col("place") > 2**k).join(jump, "node").select("tree", "leaf", "rank", F.explode(F.array(here, there)).alias("at"))
         path = path.select("tree", "leaf", "rank", "at.node", "at.place")
-    return path
+    return path if whole is None else whole.unionByName(path)
 
 
 def format_paths(messages: DataFrame, paths: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFrame:
