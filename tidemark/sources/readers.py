@@ -23,14 +23,26 @@ def _with_corrupt(schema: T.StructType) -> T.StructType:
     return copy.deepcopy(schema).add(CORRUPT, T.StringType())
 
 
+FLAT = T.MapType(T.StringType(), T.StringType())
+
+
+def _record(fields: Column, schema: T.StructType) -> Column:
+    """A flat object, read as a map, as a struct of ``schema`` (all strings)."""
+    return F.struct(*[F.coalesce(fields[n], *[fields[x] for x in schemas.SPELLINGS.get(n, ())]).alias(n) for n in schema.names])
+
+
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Every line of the files at ``path`` as ``file, line_no, raw, parsed``; a line that isn't one object of the schema has no ``parsed``.
     Line numbers count within a file, in the order of the file's blocks."""
     raw = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    parsed = F.from_json("raw", _with_corrupt(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     numbered = raw.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("block", "at")))
+    numbered = numbered.where(F.trim("raw") != "")
+    if all(isinstance(f.dataType, T.StringType) for f in schema):
+        rows = numbered.withColumn("fields", F.from_json("raw", FLAT))
+        return rows.select("file", "line_no", "raw", F.when(F.trim("raw").startswith("{") & F.col("fields").isNotNull(), _record(F.col("fields"), schema)).alias("parsed"))
+    parsed = F.from_json("raw", _with_corrupt(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     good = F.trim("raw").startswith("{") & parsed[CORRUPT].isNull()
-    return numbered.where(F.trim("raw") != "").select("file", "line_no", "raw", F.when(good, parsed.dropFields(CORRUPT)).alias("parsed"))
+    return numbered.select("file", "line_no", "raw", F.when(good, parsed.dropFields(CORRUPT)).alias("parsed"))
 
 
 def split_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,8 +135,9 @@ def digests(spark: SparkSession, path: str, previous: DataFrame | None = None) -
 
 def drivers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Driver states as the transition rule wants them, and a table of files that could not be read."""
-    rows = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).schema(_with_corrupt(schemas.DRIVERS)).json(path)
-    rows = rows.select(F.col("_metadata.file_name").alias("file"), *schemas.DRIVERS.names, CORRUPT)
+    text = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    parsed = F.from_json("value", _with_corrupt(schemas.DRIVERS), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = text.select("file", parsed.alias("j")).select("file", "j.*")
     errors = rows.where(F.col(CORRUPT).isNotNull()).select("file", F.lit("malformed_json").alias("error"))
     past = F.transform("d.statusHistory", lambda h: F.struct(h["previousStatus"].alias("previous_status"), F.coalesce(h["currentStatus"], h["status"]).alias("current_status"), h["changedAt"].alias("changed_at"), h["eventDate"].alias("event_date"), h["asOf"].alias("as_of"), h["reason"].alias("reason"), h["note"].alias("note")))
     out = rows.where(F.col(CORRUPT).isNull()).select(F.upper("ticker").alias("entity"), F.coalesce("updated", "updatedAt").alias("updated"), F.explode("drivers").alias("d"))
@@ -170,9 +183,9 @@ def staged_batch(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], schemas.RAW_OBSERVATION)
-    fields = T.ArrayType(schemas.RAW_OBSERVATION)
+    fields = T.ArrayType(FLAT)
     listed = F.when(F.col("value").startswith("["), F.from_json("value", fields)).otherwise(F.from_json("value", T.StructType([T.StructField("rows", fields)]))["rows"])
     parsed = texts.select(listed.alias("rows"))
     if not bad.isEmpty() or not parsed.where("rows is null or exists(rows, r -> r is null)").isEmpty():
         raise ValueError(f"the staged batch at {path} is neither a list of objects nor an object with rows")
-    return parsed.select(F.explode("rows").alias("r")).select("r.*")
+    return parsed.select(F.explode("rows").alias("fields")).select(_record(F.col("fields"), schemas.RAW_OBSERVATION).alias("r")).select("r.*")

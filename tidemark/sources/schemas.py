@@ -11,9 +11,11 @@ def strings(*names: str) -> list[T.StructField]:
     return [T.StructField(n, STRING) for n in names]
 
 
-#: One observation of a raw history file, with every spelling of a field that occurs.
+#: Further spellings of fields whose names differ in case alone, which one table cannot hold side by side.
+SPELLINGS = {"date": ("Date",), "ticker": ("Ticker",)}
+#: One observation of a raw history file, with every alias of a field that occurs.
 RAW_OBSERVATION = T.StructType(
-    strings("date", "Date", "ticker", "Ticker", "reportedFiscalPeriodEnding", "reportedFiscalLabel", "fiscalKey", "Fiscal Year", "reported_fiscal_label", "fiscalPeriodEnding")
+    strings("date", "ticker", "reportedFiscalPeriodEnding", "reportedFiscalLabel", "fiscalKey", "Fiscal Year", "reported_fiscal_label", "fiscalPeriodEnding")
     + strings("consensus", "eps", "analysts", "analystCount", "updateTime", "Update Time", "mappedYear", "slot", "source", "collectionFailed", "usingLastKnownGood")
 )
 LEAF = T.StructType(strings("consensus", "high", "low", "analysts", "rev_1M_pct", "rev_3M_pct", "rev_6M_pct", "reported_fiscal_label", "reportedFiscalLabel", "reportedFiscalPeriodEnding", "calendar_alignment"))
