@@ -28,7 +28,8 @@ from tidemark.llm.common import table
 BUCKETS, WIDTH, SIZES = 1 << 16, 16, (2, 3, 4)
 #: Rows per language that the training sample aims at, and languages at most.
 SAMPLE, LANGUAGES = 400, 256
-EPOCHS, BATCH, RATE, SEED = 12, 32, 0.5, 7
+#: Passes over the sample, more of them where a small one gives fewer than STEPS updates.
+EPOCHS, STEPS, BATCH, RATE, SEED = 12, 800, 32, 0.5, 7
 #: Of the sampled rows, those whose hash has this remainder modulo 5 set the temperature and the threshold.
 CALIBRATION, CALIBRATION_OF = 0, 5
 #: Share of right calibration answers that the threshold may reject.
@@ -97,8 +98,9 @@ def train(texts: list[str], labels: list[str], calibrate: list[bool], seed: int
     layer = np.zeros((WIDTH, len(languages)), np.float32)
     layer += rng.normal(0, 0.1, layer.shape).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(learn)))
+    for epoch in range(epochs):
+        rate = RATE * (1 - epoch / epochs)
         for at in np.array_split(rng.permutation(learn), max(1, len(learn) // BATCH)):
             hidden = np.stack([x[i][1] @ embed[x[i][0]] for i in at])
             z = hidden @ layer + bias

@@ -2,9 +2,10 @@
 
 Documents become pieces of at most ``capacity`` tokens; only longer ones are cut. Pieces are dealt by hash to groups of a
 bounded size, and each group is packed by best-fit decreasing. Dual-feasible functions give each group a lower bound on
-its number of bins: a group that meets it is certified. Groups with a gap give up all bins that are not full, certified ones
-only their emptiest, and what was given up is dealt to fewer groups and packed again, as long as that saves bins or
-until the bound of the whole table (from the histogram of lengths) is met.
+its number of bins: a group that meets it is certified, and packing it again alone is of no use. A group with a gap to its bound,
+or to its volume (which pieces of other groups may fill), gives up all bins that are not full, any other only its emptiest. What
+was given up is dealt to fewer and larger groups (up to MAX_GROUP pieces) and packed again, as long as that saves bins or until the bound of the whole table (from
+the histogram of lengths) is met.
 
 Defined results: a null text is empty and has the end id only; repeated rows are packed each; an empty table gives an empty
 result; further columns are ignored.
@@ -25,8 +26,8 @@ from tidemark.llm.common import stored, table
 from tidemark.llm.tokens import batched, encoder
 
 CAPACITY, END_ID = 2048, 0
-#: Pieces of a group, as aimed at.
-GROUP = 8192
+#: Pieces of a group, as aimed at: in the first round, and at most (each round has four times the pieces of the one before).
+GROUP, MAX_GROUP = 32_768, 131_072
 MAX_ROUNDS = 6
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, sequence_id long, offset long, released boolean, n_bins long, bound long"
@@ -102,7 +103,8 @@ def _packed(rows: DataFrame, n_groups: int, turn: int, capacity: int) -> DataFra
         fill = np.bincount(bins, lengths).astype(np.int64)
         sizes, counts = np.unique(lengths, return_counts=True)
         bound = lower_bound(sizes, counts, capacity)
-        given = fill < capacity if len(fill) > bound else (np.arange(len(fill)) == fill.argmin()) & (fill < capacity)
+        gap = len(fill) > bound or len(fill) - lengths.sum() / capacity >= 1
+        given = (fill < capacity) if gap else (np.arange(len(fill)) == fill.argmin()) & (fill < capacity)
         frame["sequence_id"] = ((turn << 30) + int(frame["group"][0]) << 24) + bins
         frame["offset"], frame["released"], frame["n_bins"], frame["bound"] = offsets, given[bins], len(fill), bound
         return frame[[c.split()[0] for c in PLACED.split(", ")]]
@@ -127,7 +129,7 @@ def pack_pieces(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -
         n_open, n_done, n_pieces = (int(x or 0) for x in bins.agg(F.sum(F.col("released").cast("long")), F.sum((~F.col("released")).cast("long")), F.sum(F.when(F.col("released"), F.col("n")))).first())
         if n_closed + n_done + n_open <= bound or n_open < 2:
             break
-        again = stored(_packed(current.where("released").select(*rows.columns), -(-n_pieces // group), turn, capacity), "packed")
+        again = stored(_packed(current.where("released").select(*rows.columns), -(-n_pieces // min(group * 4**turn, max(group, MAX_GROUP))), turn, capacity), "packed")
         if again.select("sequence_id").distinct().count() >= n_open:
             break
         closed.append(current.where(~F.col("released")).select(*names))
