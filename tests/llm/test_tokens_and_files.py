@@ -98,7 +98,7 @@ def test_groups_exchange(spark):
     fill = out.groupby("sequence_id")["length"].sum()
     assert fill.max() <= 2048
     one = packing.best_fit_decreasing(np.array([r[3] for r in rows]), 2048)[0].max() + 1
-    assert len(fill) <= one + 6  # thirty groups alone would leave up to thirty part-filled bins
+    assert len(fill) <= 1.01 * one  # groups of a hundred alone need four percent more
     for _, g in out.sort_values("offset").groupby("sequence_id"):
         assert (g["length"].cumsum() - g["length"]).tolist() == g["offset"].tolist()
 

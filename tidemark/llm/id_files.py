@@ -32,6 +32,8 @@ BLOCK, SEGMENT = 16_384, 262_144
 #: Ids in a word, and bits of an id, by selector; selector 0 is the escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
+#: Bits that the values of two bytes need.
+SMALL_NEED = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 SEGMENTS = (
     "shard int, segment int, before long, n_ids long, doc_ids array<bigint>, doc_lengths array<int>, "
     "block_words array<int>, words binary"
@@ -42,24 +44,27 @@ def pack(values: np.ndarray) -> np.ndarray:
     """One block's values (uint64) as Simple-8b words."""
     n = len(values)
     v = np.concatenate([values.astype(np.uint64), np.zeros(60, np.uint64)])
-    need = np.frexp(v.astype(np.float64))[1].astype(np.uint8)
-    need[v >= np.uint64(1 << 53)] = 64  # floats round up there; such values are escaped or stand alone
-    need[(v >= np.uint64(1 << 53)) & (v < np.uint64(1 << 60))] = 60
-    selector, runs = np.zeros(n, np.int64), 1
+    if v.max() < len(SMALL_NEED):
+        need = SMALL_NEED[v]
+    else:
+        need = np.frexp(v.astype(np.float64))[1].astype(np.uint8)
+        need[v >= np.uint64(1 << 53)] = 60  # floats round up there
+        need[v >= np.uint64(1 << 60)] = 64  # escaped
+    selector, runs = np.zeros(n, np.uint8), 1
     for s in range(len(COUNTS) - 1, 0, -1):
         # the widest need of the next COUNTS[s] values, from two overlapping shorter stretches
         further = int(COUNTS[s]) - runs
         if further:
             need = np.maximum(need[:-further], need[further:])
         runs = int(COUNTS[s])
-        selector[need[:n] <= BITS[s]] = s
+        np.putmask(selector, need[:n] <= BITS[s], s)
     steps = COUNTS[selector].tolist()
     starts, at = [], 0
     while at < n:
         starts.append(at)
         at += steps[at]
     first = np.array(starts, np.int64)
-    chosen = selector[first]
+    chosen = selector[first].astype(np.int64)
     place = np.cumsum(np.where(chosen == 0, 2, 1)) - np.where(chosen == 0, 2, 1)
     words = np.zeros(int(place[-1]) + (2 if chosen[-1] == 0 else 1) if n else 0, np.uint64)
     for s in np.unique(chosen):

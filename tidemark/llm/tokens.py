@@ -25,11 +25,12 @@ import numpy as np
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Lower case is the same in Python and in the library for all other letters, one at a time.
 NOT_LATIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
-#: White space at an end, beside other white space, or other than a space or line feed.
-UNEVEN_SPACE = re.compile(r"^\s|\s\s|[^\S \n]|\s$")
+#: White space other than a space or line feed, for Python or for the library.
+OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+SIDE_BY_SIDE = ("  ", " \n", "\n ", "\n\n")
 CUT = re.compile(r"(?<=\S)(?:(?= \S)|(?=\n\S))")
 #: The cache is emptied, but for the current texts' words, when it has more entries; longer words aren't kept.
-CACHE_ENTRIES, CACHED_CHARS = 800_000, 32
+CACHE_ENTRIES, CACHED_CHARS = 1_200_000, 32
 #: A word that is one token of its own in the word-end vocabulary and never joins its neighbours.
 SEPARATOR = "0"
 
@@ -111,7 +112,8 @@ class Encoder:
             return text.split() if NOT_LATIN.search(text) else text.lower().split()
         if "\0" in text:
             return [f"\0{text}"]
-        if UNEVEN_SPACE.search(text):
+        uneven = any(x in text for x in SIDE_BY_SIDE) or text[0] in " \n" or text[-1] in " \n" or OTHER_SPACE.search(text)
+        if uneven:
             parts = [x[1:] if x[0] == " " and k else x for k, x in enumerate(CUT.split(text))]
         else:
             parts = text.replace("\n", " \n").split(" ")
