@@ -132,17 +132,25 @@ def test_substrings_against_brute_force(docs):
             text += x[a : rng.randint(a, len(x))] + (" ".join(word() for _ in range(rng.randint(1, 40))) if rng.random() < 0.5 else "")
         rows.append((i, text))
     rows += [(200, "a" * 500), (201, "a" * 99), (202, "a" * 100), (203, ""), (204, None), (205, rows[5][1]), (206, "ab" * 400)]
-    got = {r[0]: tuple(r[1:]) for r in suffix_dedup.dedup_substrings(docs(rows)).collect()}
-    assert got == brute_substrings(rows)
+    want = brute_substrings(rows)
+    # groups of two: every repeated anchor is dealt to several buckets
+    for group_max in (suffix_dedup.GROUP_MAX, 2):
+        got = {r[0]: tuple(r[1:]) for r in suffix_dedup.dedup_substrings(docs(rows), group_max=group_max).collect()}
+        assert got == want
 
 
-def test_long_text_is_taken_in_stretches(docs, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "STRETCH", 700)
+def test_stretches_keep_every_window_s_anchor(monkeypatch):
     rng = random.Random(8)
-    a = "".join(rng.choice("abcdefgh ") for _ in range(3000))
-    rows = [(1, a), (2, "x" + a[500:2900] + "y"), (3, a[:200] + "z" + a[100:900])]
-    got = {r[0]: tuple(r[1:]) for r in suffix_dedup.dedup_substrings(docs(rows)).collect()}
-    assert got == brute_substrings(rows)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)).encode() for n in (3000, 0, 99, 100, 650, 4000)]
+
+    def windows():
+        made, owners = suffix_dedup.text_anchors(texts)
+        return {(t, int(a["pos"]) - o): (int(a["id"]), int(a["pos"])) for a, t in zip(made, owners.tolist(), strict=True) for o in range(a["lo"], a["hi"] + 1)}
+
+    whole = windows()
+    assert len(whole) == sum(max(0, len(t) - 99) for t in texts)
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 700)
+    assert windows() == whole
 
 
 def test_equal_rows_and_empty_table(docs, words):

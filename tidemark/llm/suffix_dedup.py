@@ -10,6 +10,9 @@ deep-shallow method, but only where a repeat is possible:
    anchors, and the reversed prefixes that end there: a multikey quicksort on eight-byte characters down to SHALLOW bytes,
    then blind tries over the distinct strings of what still ties. With the longest common prefixes on both sides, two windows
    with the same place of the anchor are equal if both sides agree far enough; all but the first of each class are marked.
+   An anchor hash that more than GROUP_MAX anchors share is dealt to several buckets by document. Each marks all but its own
+   first windows; those go on as 128-bit hashes, are grouped over the corpus with partial minima, and all but the first are marked
+   as well. So no bucket holds more than a bounded part of a passage that very many documents share.
 4. Marks are merged by document and cut out of the text.
 
 A document whose whole text is there earlier is settled by its hash and takes part in none of this.
@@ -39,10 +42,13 @@ PLACES = LENGTH - GRAM + 1  # of an anchor in a window
 SHALLOW = 16
 #: Bytes of text that are handled at once; a longer text is taken in stretches that overlap by a window.
 STRETCH = 1 << 19
+#: Anchors of one hash that a bucket takes together.
+GROUP_MAX = 100_000
 PLACE_BITS = np.uint64(20)
 FACTOR = 0x9E3779B97F4A7C15
-ANCHOR = np.dtype([("id", "<u8"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1")])
+ANCHOR = np.dtype([("id", "<u8"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("parts", "<u2")])
 SPAN = np.dtype([("start", "<u4"), ("stop", "<u4")])
+FIRST = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("start", "<u4")])
 
 
 def grams(buffer: np.ndarray) -> np.ndarray:
@@ -154,14 +160,16 @@ def by_document(keys: np.ndarray, entries: np.ndarray) -> pa.Table:
 BY_DOCUMENT = "key_id long, key_text long, entries binary"
 
 
-def repeated(group: pa.Table) -> pa.Table:
-    """Of one bucket's anchors those whose hash is there twice or more."""
+def repeated(group: pa.Table, group_max: int) -> pa.Table:
+    """Of one bucket's anchors those whose hash is there twice or more, with the number of buckets that the hash is to be dealt to."""
     parts = [unblob(x)[:2] for x in group.column("packed").to_pylist()]
     keys, entries = np.concatenate([k for k, _ in parts]), np.concatenate([e for _, e in parts])
     order = np.argsort(entries["id"], kind="stable")
     ids = entries["id"][order]
     same = ids[1:] == ids[:-1]
     twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    _, which, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    entries["parts"][order] = np.minimum(-(-counts // group_max), 65535)[which]
     keep = np.sort(order[twice])
     return by_document(keys[keep], entries[keep])
 
@@ -309,7 +317,69 @@ def marked(group: pa.Table) -> pa.Table:
     spans = np.zeros(len(row), SPAN)
     pos = entries["pos"].astype(np.int64)[row]
     spans["start"], spans["stop"] = pos - last, pos - first + LENGTH
-    return by_document(keys[row], spans)
+    out = by_document(keys[row], spans)
+    out = out.append_column("firsts", pa.nulls(len(out), pa.binary()))
+    places = np.arange(PLACES)
+    shared = entries["parts"] > 1
+    row, o = np.nonzero(shared[:, None] & (lo[:, None] <= places) & (places <= hi[:, None]) & (flags[:, 1:-1] == 0)) if shared.any() else (np.zeros(0, np.int64),) * 2
+    if len(row):
+        firsts = np.zeros(len(row), FIRST)
+        firsts["start"] = entries["pos"].astype(np.int64)[row] - o
+        at = base[rank][row] + hi[row] - o
+        for k in range(0, len(row), 1 << 15):
+            mine = slice(k, k + (1 << 15))
+            firsts["h1"][mine], firsts["h2"][mine] = window_hashes(data[at[mine, None] + np.arange(LENGTH)])
+        more = by_document(keys[row], firsts)
+        more = more.append_column("firsts", more.column("entries")).set_column(2, "entries", pa.nulls(len(more), pa.binary()))
+        out = pa.concat_tables([out, more])
+    return out
+
+
+def window_hashes(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each row of bytes."""
+    padded = np.zeros((len(windows), -(-LENGTH // 8) * 8), np.uint8)
+    padded[:, :LENGTH] = windows
+    out = []
+    for factor, start in ((FACTOR, 17), (0xC2B2AE3D27D4EB4F, 91)):
+        h = np.full(len(windows), start, np.uint64)
+        for column in padded.view("<u8").T:
+            h = (h ^ column) * np.uint64(factor)
+            h ^= h >> np.uint64(31)
+        out.append(h.view(np.int64))
+    return out[0], out[1]
+
+
+MARKS = f"{BY_DOCUMENT}, firsts binary"
+
+
+def _marks_of_firsts(marks: DataFrame) -> DataFrame:
+    """Spans of the windows that are first in their bucket and not first in the corpus."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(x, FIRST) for x in batch.column(2).to_pylist()]
+            sizes = [len(x) for x in parts]
+            whole = np.concatenate(parts)
+            keys = [np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 1)]
+            values = [keys[0], keys[1], np.ascontiguousarray(whole["h1"]), np.ascontiguousarray(whole["h2"]), whole["start"].astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["key_id", "key_text", "h1", "h2", "start"])
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for starts in batch.column(2).to_pylist():
+                x = np.zeros(len(starts), SPAN)
+                x["start"] = starts
+                x["stop"] = x["start"] + LENGTH
+                made.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["key_id", "key_text", "entries"])
+
+    given = marks.where("firsts is not null").select("key_id", "key_text", "firsts")
+    windows = stored(given.mapInArrow(rows, "key_id long, key_text long, h1 long, h2 long, start long"), "windows")
+    at = F.struct("key_id", "key_text", "start")
+    first = stored(windows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"), "firsts")
+    later = windows.join(first, ["h1", "h2"]).where(at != F.col("first"))
+    return later.groupBy("key_id", "key_text").agg(F.collect_list("start").alias("starts")).mapInArrow(spans, BY_DOCUMENT)
 
 
 def _dealt(rows: DataFrame, n: int, with_text: bool) -> DataFrame:
@@ -334,7 +404,11 @@ def _dealt(rows: DataFrame, n: int, with_text: bool) -> DataFrame:
         else:
             mine = [np.frombuffer(b"".join(x), ANCHOR) for x in known]
             entries, owners = np.concatenate(mine), np.repeat(np.arange(len(texts)), [len(x) for x in mine])
-        bucket = (entries["id"] % np.uint64(n)).astype(np.int64)
+        salt = np.zeros(len(entries), np.uint64)
+        if known is not None:
+            mixed = (keys[owners, 0].astype(np.uint64) ^ keys[owners, 1].astype(np.uint64)) * np.uint64(FACTOR) >> np.uint64(40)
+            salt = mixed % np.maximum(entries["parts"], 1).astype(np.uint64)
+        bucket = ((entries["id"] + salt * np.uint64(7919)) % np.uint64(n)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         entries, owners, bucket = entries[order], owners[order], bucket[order]
         which, counts = counted(bucket)
@@ -390,7 +464,7 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, CUT)
 
 
-def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_max: int = GROUP_MAX) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row of ``docs``."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
@@ -405,11 +479,14 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     facts = stored(facts.join(firsts, "sha", "left").withColumn("copy", copy).drop("first"), "facts")
     lead = facts.where("not copy").select("key_id", "key_text").distinct()
 
-    twice = _dealt(texts, n, False).groupBy("bucket").applyInArrow(repeated, BY_DOCUMENT)
+    twice = _dealt(texts, n, False).groupBy("bucket").applyInArrow(lambda group: repeated(group, group_max), BY_DOCUMENT)
     wanted = twice.groupBy("key_id", "key_text").agg(F.collect_list("entries").alias("entries")).join(lead, ["key_id", "key_text"], "left_semi")
     once = lambda rows: texts.join(rows, ["key_id", "key_text"]).select("key_id", "key_text", "raw", "entries")
-    marks = stored(_dealt(once(stored(wanted, "anchors")), n, True).groupBy("bucket").applyInArrow(marked, BY_DOCUMENT), "marks")
-    spans = marks.groupBy("key_id", "key_text").agg(F.collect_list("entries").alias("entries"))
+    marks = stored(_dealt(once(stored(wanted, "anchors")), n, True).groupBy("bucket").applyInArrow(marked, MARKS), "marks")
+    entries = marks.where("entries is not null").select("key_id", "key_text", "entries")
+    if not marks.where("firsts is not null").isEmpty():
+        entries = entries.unionByName(_marks_of_firsts(marks))
+    spans = entries.groupBy("key_id", "key_text").agg(F.collect_list("entries").alias("entries"))
     found = _cut(once(spans)).dropDuplicates(["key_id", "key_text"])
 
     gone = F.col("copy") & (F.col("n_bytes") >= LENGTH)
