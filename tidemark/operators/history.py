@@ -212,3 +212,23 @@ def last_write(rows: DataFrame, keys: tuple[str, ...] = ("entity", "period", "ob
 
 def canonical_order(rows: DataFrame) -> list[Column]:
     return [F.col(c) for c in ("obs_date", "entity", "period", "update_time")] + ([F.col("seq")] if "seq" in rows.columns else [])
+
+
+def known_ids(rows: DataFrame, column: str = "event_id") -> DataFrame:
+    return rows.select(column).where(F.col(column).isNotNull()).distinct()
+
+
+def with_previous(current: DataFrame, known_good: DataFrame, events: DataFrame) -> DataFrame:
+    """``current`` (``entity, period, value``) with the value before it: the last known good one of its identity, else the last one the event log
+    has. ``kind``: baseline for an identity that neither knows, none where an identity is known without a value, else the direction."""
+    good = known_good.select("entity", "period", F.col("value").alias("good_value"), F.lit(True).alias("in_good"))
+    last = events.groupBy("entity", "period").agg(F.max_by("current_value", "seq").alias("event_value")).withColumn("in_events", F.lit(True))
+    rows = current.join(good, ["entity", "period"], "left").join(last, ["entity", "period"], "left")
+    previous = F.coalesce("good_value", "event_value")
+    known = F.coalesce(F.col("in_good"), F.col("in_events"), F.lit(False))
+    change = F.col("value") - F.col("previous")
+    kind = (
+        F.when(~F.col("known"), "baseline").when(F.col("previous").isNull(), "none").when(same_value(F.col("value"), F.col("previous")), "none").when(change > 0, "upgrade").otherwise("downgrade")
+    )
+    rows = rows.withColumns({"previous": previous, "known": known})
+    return rows.select(*current.columns, "previous", kind.alias("kind"))
