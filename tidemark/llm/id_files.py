@@ -92,7 +92,8 @@ def unpack(words: np.ndarray, n: int) -> np.ndarray:
     chosen = selector[heads]
     counts = COUNTS[chosen]
     offsets = np.cumsum(counts) - counts
-    out = np.zeros(int(counts.sum()), np.uint64)
+    narrow = BITS[chosen].max(initial=0) <= 30 and not raw.any()
+    out = np.zeros(int(counts.sum()), np.uint32 if narrow else np.uint64)
     for s in np.unique(chosen):
         mine = chosen == s
         if s == 0:
@@ -166,10 +167,10 @@ def read_id_files(spark: SparkSession, path: str) -> DataFrame:
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = unpack_segment(row["words"], row["block_words"], row["n_ids"]).astype("<u4")
+                ids = memoryview(unpack_segment(row["words"], row["block_words"], row["n_ids"]).astype("<u4", copy=False)).cast("B")
                 lengths = np.array(row["doc_lengths"], np.int64)
                 ends = np.cumsum(lengths)
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
                 start = row["shard_start"] + row["before"] + ends - lengths
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(start), pa.array(lengths), pa.array(crc, pa.int64())],

@@ -9,7 +9,8 @@ here, so each distinct word is encoded by the library once while it stays in the
 * word-end vocabulary (white space is dropped, case is lost): cut at white space;
 * both: a full stop or comma at the end of a word is a piece of its own where a Latin letter stands before it.
 
-Words that the cache lacks go to the library many at a time, as one text, whose ids are cut again at the words.
+Words of Latin letters that the cache lacks go to the library's model directly, since the splitting before it has nothing to do there;
+other words go to the whole library many at a time, as one text, whose ids are cut again at the words.
 """
 
 from __future__ import annotations
@@ -35,6 +36,16 @@ CACHE_ENTRIES, CACHED_CHARS = 1_200_000, 32
 SEPARATOR = "0"
 
 
+def byte_signs() -> dict[int, str]:
+    """The sign that a byte-level vocabulary writes for each byte: printable ones stand for themselves, the rest follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+SIGNS = byte_signs()
+
+
 class Encoder:
     """``ids(texts)`` gives each text's ids as the bytes of little-endian unsigned 32-bit integers."""
 
@@ -43,9 +54,12 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenize = self.library.model.tokenize
         self.drops_space = drops_space
         self.cache: dict[str, bytes] = {}
         self.ends = {x: self.direct([x])[0] for x in ".,"}
+        self.before = "" if drops_space else SIGNS[32]
+        self.leads = {} if drops_space else {"\0": b"", "\n": self.direct(["\n"])[0]}
         if drops_space:
             (self.separator,) = self.library.encode(SEPARATOR, add_special_tokens=False).ids
         else:
@@ -77,15 +91,26 @@ class Encoder:
         start of a text where it begins with a NUL added for that."""
         known, ended, cores = self.cache, [], set()
         for w in words:
-            core = w
+            core, tail = w, b""
             if len(w) > 2 and w[-1] in self.ends and w[-2] < "\u0100" and w[-2].isalpha():
-                core = w[:-1]
+                core, tail = w[:-1], self.ends[w[-1]]
             if self.drops_space and core.isascii():
                 core = core.lower()
-            if core is not w:
-                ended.append((w, core))
             if core not in known:
-                cores.add(core)
+                # what stands for the space before the word, if one does, and the ids of the line feed before it
+                before, lead, letters = self.before, b"", core
+                if core[:1] in self.leads:
+                    before, lead, letters = "", self.leads[core[0]], core[1:]
+                if len(core) <= CACHED_CHARS and letters.isalpha() and (letters.isascii() or max(letters) < "\u0100"):
+                    if self.drops_space:
+                        core = letters = core.lower()
+                    signs = letters if letters.isascii() else letters.encode().decode("latin-1").translate(SIGNS)
+                    known[core] = lead + array("I", [t.id for t in self.tokenize(before + signs)]).tobytes()
+                else:
+                    cores.add(core)
+                    ended.append((w, core, tail))
+                    continue
+            known[w] = known[core] + tail
         together, alone = [], []
         for w in cores:
             if self.drops_space:
@@ -101,7 +126,7 @@ class Encoder:
             block = together[at : at + 512]
             known.update(zip([w for w, _ in block], self.joined([x for _, x in block]), strict=True))
         known.update(zip([w for w, _ in alone], self.direct([x for _, x in alone]), strict=True))
-        known.update([(w, known[core] + self.ends[w[-1]] if len(core) < len(w) else known[core]) for w, core in ended])
+        known.update([(w, known[core] + tail) for w, core, tail in ended])
 
     def cut(self, text: str | None) -> list[str]:
         if not text:
