@@ -5,13 +5,14 @@ from __future__ import annotations
 from functools import wraps
 
 from tidemark.plans import alert_queries, dataset_queries, history_queries, more_queries, quality_queries, stream_queries, window_queries
+from tidemark.plans.session import ready
 from tidemark.plans.views import plain
 
 MODULES = (window_queries, history_queries, quality_queries, alert_queries, dataset_queries, more_queries, stream_queries)
 
 
 def _plain(query):
-    return wraps(query)(lambda spark, sf_dir: plain(query(spark, sf_dir)))
+    return ready(wraps(query)(lambda spark, sf_dir: plain(query(spark, sf_dir))))
 
 
 def queries() -> dict:
