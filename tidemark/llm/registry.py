@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tidemark.llm import contamination, host_quality, id_files, language_id, line_chunks, line_hash, packing, reply_trees, simhash_vp, suffix_dedup
+from tidemark.plans.session import ready
 
 
 def queries() -> dict:
-    return {
+    made = {
         "op1_reply_trees": reply_trees.op1_reply_trees,
         "op2_host_quality": host_quality.op2_host_quality,
         "op3_simple8b_files": id_files.op3_simple8b_files,
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op10_line_chunks": line_chunks.op10_line_chunks,
         "pipeline": corpus_pipeline.run,
     }
+    return {name: ready(query) for name, query in made.items()}
 
 
 def oracle_sql() -> dict:
