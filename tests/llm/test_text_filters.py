@@ -91,7 +91,9 @@ def test_chunks_against_brute_force(docs, words):
         for _ in range(rng.randint(0, 3)):
             lines += rng.choice(passages) + [" ".join(words(4)) for _ in range(rng.randint(0, 2))]
         rows.append((i, "\n".join(lines)))
-    out, kept, removed = line_chunks.dedup_chunks(docs(rows))
+    clash = docs(rows).withColumns({"gone_id": F.lit(1), "key_id": F.lit(2), "digest": F.lit("x")})
+    out, kept, removed = line_chunks.dedup_chunks(clash)
+    assert out.columns[:8] == clash.columns
     got = {r["doc_id"]: r[kept] for r in out.collect()}
     assert got == brute_chunks(rows)
     assert out.where(F.size(removed) > 0).count() > 10

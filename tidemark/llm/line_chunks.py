@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import free_name, stored, table
-from tidemark.llm.spans import kept_lines, keyed, spans_text
+from tidemark.llm.common import stored, table
+from tidemark.llm.spans import cut_lines, keyed, spans_text
 
 #: Lines under the rolling hash; a line ends a chunk if the hash is divisible by DIVISOR; least and most lines of a chunk.
 WINDOW, DIVISOR, MIN_LINES, MAX_LINES, MIN_WORDS = 2, 2, 2, 64, 5
@@ -91,12 +91,7 @@ def dedup_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     read = stored(read.select("key_id", "key_text", "c.spans.*", F.col("c.raw").alias("raw")), "candidates")
     kept_ones = read.where("is_first").select("digest", F.col("raw").alias("first_raw"))
     equal = read.where(~F.col("is_first")).join(kept_ones, "digest").where(F.col("raw") == F.col("first_raw"))
-    removed, kept = free_name(docs, "removed_spans"), free_name(docs, "kept_text")
-    gone = equal.groupBy("key_id", "key_text").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "line", "n_lines"))).alias("spans"))
-    gone = gone.select(F.col("key_id").alias("gone_id"), F.col("key_text").alias("gone_text"), F.col("spans").alias(removed))
-    lines = F.flatten(F.transform(removed, lambda s: F.sequence(s["line"], s["line"] + s["n_lines"] - 1)))
-    out = docs.join(gone, (F.col(a) == F.col("gone_id")) & (F.col(b) == F.col("gone_text")), "left").withColumn(kept, kept_lines(F.col(text), lines))
-    return out.drop(a, b, "gone_id", "gone_text"), kept, removed
+    return cut_lines(docs, (a, b), equal, text)
 
 
 def without_repeated_chunks(docs: DataFrame, text: str = "text") -> DataFrame:

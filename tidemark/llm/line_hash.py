@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, stored, table
-from tidemark.llm.spans import kept_lines, keyed, spans_text
+from tidemark.llm.common import stored, table
+from tidemark.llm.spans import cut_lines, keyed, spans_text
 
 MIN_WORDS = 5
 UNITS = "key_id long, key_text long, place int, n_lines int, start long, stop long, digest binary"
@@ -68,14 +68,8 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
     units = stored(unit_table(docs, text, (a, b), unit, min_words), "units")
     rank = F.struct("key_id", "key_text", "place")
     firsts = stored(units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "firsts")  # a stored side lets adaptive execution split hot digests
-    # documents that occur as several equal rows list a unit once
-    later = units.join(firsts, "digest").where(rank != F.col("first"))
-    gone = later.groupBy("key_id", "key_text").agg(F.array_sort(F.collect_set(F.struct("start", "stop", F.col("place").alias("line"), "n_lines"))).alias("spans"))
-    removed, kept = free_name(docs, "removed_spans"), free_name(docs, "kept_text")
-    gone = gone.select(F.col("key_id").alias("gone_id"), F.col("key_text").alias("gone_text"), F.col("spans").alias(removed))
-    lines = F.flatten(F.transform(removed, lambda s: F.sequence(s["line"], s["line"] + s["n_lines"] - 1)))
-    out = docs.join(gone, (F.col(a) == F.col("gone_id")) & (F.col(b) == F.col("gone_text")), "left").withColumn(kept, kept_lines(F.col(text), lines))
-    return out.drop(a, b, "gone_id", "gone_text"), kept, removed
+    later = units.join(firsts, "digest").where(rank != F.col("first")).withColumnRenamed("place", "line")
+    return cut_lines(docs, (a, b), later, text)
 
 
 def op9_line_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

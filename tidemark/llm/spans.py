@@ -36,6 +36,20 @@ def kept_lines(texts: pd.Series, removed: pd.Series) -> pd.Series:
     return pd.Series([cut(x, g) for x, g in zip(texts, removed, strict=True)], dtype=object)
 
 
+def cut_lines(docs: DataFrame, key: tuple[str, str], later: DataFrame, text: str) -> tuple[DataFrame, str, str]:
+    """``docs`` (with its key columns, which go) with the removed spans and the kept text, and the names of the two new columns. ``later``
+    has a row per span to remove: ``key_id, key_text, start, stop, line, n_lines``; documents that occur as several equal rows
+    list a span once."""
+    removed, kept = free_name(docs, "removed_spans"), free_name(docs, "kept_text")
+    a, b = free_name(docs, "gone_id"), free_name(docs, "gone_text")
+    spans = F.array_sort(F.collect_set(F.struct("start", "stop", "line", "n_lines")))
+    gone = later.groupBy("key_id", "key_text").agg(spans.alias(removed)).withColumnsRenamed({"key_id": a, "key_text": b})
+    lines = F.flatten(F.transform(removed, lambda s: F.sequence(s["line"], s["line"] + s["n_lines"] - 1)))
+    same = (F.col(key[0]) == F.col(a)) & (F.col(key[1]) == F.col(b))
+    out = docs.join(gone, same, "left").withColumn(kept, kept_lines(F.col(text), lines))
+    return out.drop(*key, a, b), kept, removed
+
+
 def spans_text(spans: Column) -> Column:
     """An array of (start, stop) as ``start:stop,start:stop``."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
