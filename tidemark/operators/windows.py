@@ -78,10 +78,26 @@ def revision_panel(obs: DataFrame, grid: DataFrame, windows: tuple[int, ...] = (
     baseline before the window to the anchor at its end, or why there is none.
 
     For histories without later restatements (each day's rows are known on that day). With restatements use
-    :func:`restated_panel`. ``grid`` times ``windows`` is the query, not data, and is the only thing broadcast."""
-    lengths = F.explode(F.array(*[F.lit(n) for n in windows])).alias("days")
-    probes = anchors(obs, grid).select("*", lengths).withColumn("target", F.date_sub(F.coalesce("anchor_date", F.to_date("as_of")), F.col("days")))
-    return _judged(asof_baseline(obs, probes, tolerance))
+    :func:`restated_panel`. ``grid`` times ``windows`` is the query, not data, and is the only thing broadcast.
+
+    Days and probes are brought together by series once: the first running ``last`` over effective time finds the anchors, the second
+    over dates finds the baselines, and only a sort lies between them."""
+    days = same_day_collapse(obs)
+    small = F.broadcast(grid.select(F.col("as_of").cast("timestamp").alias("as_of")))
+    probes = _with_times(obs).select(*SERIES).distinct().crossJoin(small)
+    day = F.struct("obs_date", "value")
+    rows = days.select(*SERIES, F.col("known_at").alias("at"), F.lit(0).alias("kind"), day.alias("day"), F.lit(None).cast("timestamp").alias("as_of"))
+    asked = probes.select(*SERIES, F.col("as_of").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["day"].dataType).alias("day"), "as_of")
+    series = Window.partitionBy(*SERIES)
+    so_far = lambda *order: series.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(asked).withColumn("anchor", F.last("day", ignorenulls=True).over(so_far("at", "kind", "day.obs_date")))
+    lengths = F.when(F.col("kind") == 1, F.array(*[F.lit(n) for n in windows])).otherwise(F.array(F.lit(None).cast("int")))
+    both = both.select(*SERIES, "kind", "day", "as_of", "anchor", F.explode(lengths).alias("days"))
+    target = F.when(F.col("kind") == 0, F.col("day.obs_date")).otherwise(F.date_sub(F.coalesce("anchor.obs_date", F.to_date("as_of")), F.col("days")))
+    found = both.withColumn("target", target).withColumn("base", F.last("day", ignorenulls=True).over(so_far("target", "kind"))).where("kind = 1")
+    gap = weekday_gap(F.col("base.obs_date"), F.col("target"))
+    base = F.when(gap <= tolerance, F.col("base.value"))
+    return _judged(found.withColumns({"anchor_date": F.col("anchor.obs_date"), "anchor_value": F.col("anchor.value"), "base_date": F.col("base.obs_date"), "base_value": base}))
 
 
 def _judged(found: DataFrame) -> DataFrame:
