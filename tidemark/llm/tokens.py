@@ -148,12 +148,20 @@ class Encoder:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         known, words = self.cache, [self.cut(x) for x in texts]
         found = [list(map(known.get, x)) for x in words]
-        short = [i for i, x in enumerate(found) if None in x]
-        new = {w for i in short for w, x in zip(words[i], found[i], strict=True) if x is None}
+        missing: list[tuple[list, int, str]] = []
+        for x, mine in zip(found, words, strict=True):
+            at = -1
+            try:
+                while True:
+                    at = x.index(None, at + 1)
+                    missing.append((x, at, mine[at]))
+            except ValueError:
+                pass
+        new = {w for _, _, w in missing}
         if new:
             self.learn(new)
-            for i in short:
-                found[i] = [known[w] if x is None else x for w, x in zip(words[i], found[i], strict=True)]
+            for x, at, w in missing:
+                x[at] = known[w]
         made = [b"".join(x) for x in found]
         if len(known) > CACHE_ENTRIES:
             current = {w for x in words for w in x if len(w) <= CACHED_CHARS}
