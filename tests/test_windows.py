@@ -55,7 +55,7 @@ def test_friday_serves_a_monday_target(spark):
 
 
 def test_a_gap_is_never_bridged_by_an_older_row(spark):
-    got = panel(spark, [(back(40), None, 9.0), (back(33), None, 10.0), (D, None, 12.0)])[30]
+    got = panel(spark, [(back(40), None, 9.0), (back(35), None, 10.0), (D, None, 12.0)])[30]
     assert (got["status"], got["reason"], got["pct"], got["anchor_date"], got["target"]) == ("unavailable", "baseline_gap", None, D, back(30))
 
 

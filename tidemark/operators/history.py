@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import missing_update_time, month_key, strict_date_of
-from tidemark.functions.fiscal import entity_key, looks_like_slot, period_key, period_month
+from tidemark.functions.fiscal import entity_key, looks_like_slot, month_name, period_month, period_year
 from tidemark.functions.ids import content_hash
 from tidemark.functions.numbers import revision_pct, same_value, to_num, whole_count
 
@@ -51,19 +51,31 @@ def classified(raw: DataFrame) -> DataFrame:
     """``raw`` with the canonical columns and ``reject_reason``, the first reason that applies (NULL: admitted)."""
     rows = canonical_columns(raw, ALIASES)
     c = lambda n: F.col(f"c_{n}")
-    no_period = c("period").isNull() | looks_like_slot(c("period"))
-    day = strict_date_of(F.substring(F.trim(c("date")), 1, 10))
+    # each parsed once: the optimizer keeps columns that are used several times apart
+    rows = rows.withColumns(
+        {
+            "p_month": period_month(c("period")),
+            "p_year": period_year(c("period")),
+            "p_value": to_num(c("value")),
+            "p_coverage": to_num(c("coverage")),
+            "p_date": strict_date_of(F.substring(F.trim(c("date")), 1, 10)),
+            "p_entity": entity_key(c("entity")),
+            "p_slot": looks_like_slot(c("period")),
+        }
+    )
+    no_period, day = c("period").isNull() | F.col("p_slot"), F.col("p_date")
     reason = (
         F.when(F.coalesce(c("source").isin(*SEED_SOURCES), F.lit(False)), "seed_from_revision_history")
         .when(F.coalesce(F.lower(c("failed")) == "true", F.lit(False)), "collection_failed_or_lkg")
-        .when(no_period & (c("slot").isNotNull() | looks_like_slot(c("period"))), "mapped_year_not_identity")
+        .when(no_period & (c("slot").isNotNull() | F.col("p_slot")), "mapped_year_not_identity")
         .when(no_period, "invalid_fiscal_identity")
-        .when(to_num(c("value")).isNull(), "invalid_consensus")
+        .when(F.col("p_value").isNull(), "invalid_consensus")
         .when(day.isNull(), "invalid_date")
-        .when(entity_key(c("entity")).isNull() | period_month(c("period")).isNull(), "rejected_by_canonical_admission")
+        .when(F.col("p_entity").isNull() | F.col("p_month").isNull(), "rejected_by_canonical_admission")
     )
+    period = F.when(F.col("p_month").isNotNull(), F.concat_ws(" ", month_name(F.col("p_month")), F.col("p_year").cast("string"))).otherwise(F.trim(c("period")))
     update = F.coalesce(F.trim(c("update_time")), missing_update_time(day))
-    made = {"entity": entity_key(c("entity")), "period": period_key(c("period")), "obs_date": day, "update_time": update, "value": to_num(c("value")), "coverage": whole_count(to_num(c("coverage")))}
+    made = {"entity": F.col("p_entity"), "period": period, "obs_date": day, "update_time": update, "value": F.col("p_value"), "coverage": whole_count(F.col("p_coverage"))}
     return rows.select(*[F.col(x) for x in raw.columns if x not in made], *[v.alias(k) for k, v in made.items()], F.col("c_update_time").isNotNull().alias("had_update_time"), reason.alias("reject_reason"))
 
 
