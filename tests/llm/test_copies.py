@@ -161,6 +161,18 @@ def test_equal_rows_and_empty_table(docs, words):
     assert suffix_dedup.dedup_substrings(docs([])).count() == 0
 
 
+def test_the_earliest_document_as_equal_rows(docs, words):
+    first, other = " ".join(words(60)), " ".join(words(60))
+    rows = [(1, first), (1, first), (1, first), (2, "head " + first[:150] + " tail"), (3, other), (3, other), (4, other), (None, other[:120]), (None, other[:120])]
+    want = brute_substrings({(-1 if i is None else i, t) for i, t in rows})
+    for group_max in (suffix_dedup.GROUP_MAX, 2):
+        got = suffix_dedup.dedup_substrings(docs(rows), group_max=group_max).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert tuple(r[1:]) == want[-1 if r[0] is None else r[0]]
+    assert want[1][1] == 0 and want[2][1] > 0
+
+
 def test_blind_trie_sorts():
     rng = random.Random(5)
     texts = list({bytes(rng.choice(b"ab") for _ in range(12)) for _ in range(300)})

@@ -464,15 +464,25 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, CUT)
 
 
+def _once_each(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with one row for each key of ``facts``; only rows whose key is there twice or more move."""
+    doubled = stored(facts.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "doubled")
+    if doubled.isEmpty():
+        return rows
+    one = stored(rows.join(doubled, keys, "left_semi").dropDuplicates(keys), "once")
+    return rows.join(doubled, keys, "left_anti").unionByName(one)
+
+
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_max: int = GROUP_MAX) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row of ``docs``."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     keyed_docs, a, b = keyed(docs.select(F.col(doc_id), F.col(text)), doc_id, text)
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    texts = keyed_docs.select(F.col(a).alias("key_id"), F.col(b).alias("key_text"), raw.alias("raw"))
+    rows = keyed_docs.select(F.col(a).alias("key_id"), F.col(b).alias("key_text"), raw.alias("raw"))
     key = F.struct("key_id", "key_text")
-    facts = stored(texts.select("key_id", "key_text", F.length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("sha")), "facts")
+    facts = stored(rows.select("key_id", "key_text", F.length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("sha")), "facts")
+    texts = _once_each(rows, facts, ["key_id", "key_text"])
     # stored, so that the join reads two plain shuffles and adaptive execution can split a text with very many copies
     firsts = stored(facts.groupBy("sha").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "firsts")
     copy = F.coalesce(key != F.col("first"), F.lit(False))
