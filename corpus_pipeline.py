@@ -13,8 +13,8 @@ from tidemark.llm.common import stored, table
 from tidemark.llm.contamination import without_items
 from tidemark.llm.host_quality import keep_good
 from tidemark.llm.line_chunks import without_repeated_chunks
+from tidemark.llm.near_copies import first_of_each_group
 from tidemark.llm.packing import packed_documents
-from tidemark.llm.simhash_vp import first_of_each_group
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the least id stays."""
     return first_of_each_group(docs)
 
 

@@ -190,7 +190,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def first_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of every component the least document, once."""
-    found = near_duplicates(docs, doc_id, text)
+    return keep_firsts(docs, near_duplicates(docs, doc_id, text), doc_id, text)
+
+
+def keep_firsts(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose key is the ``first`` of its row in ``found``, once each."""
     kept = found.where(F.struct("key_id", "key_text") == F.col("first")).select("key_id", "key_text").distinct()
     rows, a, b = keyed(docs, doc_id, text)
     at, tie = free_name(rows, "kept_id"), free_name(rows, "kept_tie")
