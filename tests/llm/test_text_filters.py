@@ -127,6 +127,14 @@ def test_containment(spark, docs, words):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 6]
 
 
+def test_items_without_an_id(spark, docs, words):
+    one, two, three = (" ".join(words(20)) for _ in range(3))
+    rows = [(1, f"x {one} y"), (2, f"x {two} y"), (3, f"x {three} y"), (4, " ".join(words(20)))]
+    bench = spark.createDataFrame([(None, one), (None, two), (7, three)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in contamination.find_items(docs(rows), bench).collect()} == {(1, None), (2, None), (3, 7)}
+    assert [r["doc_id"] for r in contamination.without_items(docs(rows), bench).collect()] == [4]
+
+
 def test_blocks_split_the_items(spark, docs, words, monkeypatch):
     monkeypatch.setattr(contamination, "BLOCK_SHINGLES", 20)
     items = [(i, " ".join(words(12))) for i in range(9)]

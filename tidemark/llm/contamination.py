@@ -10,7 +10,7 @@ The items are the stated query set. They are taken in blocks of at most BLOCK_SH
 bounded whatever the size of the benchmark; each block goes once over the documents, which never move.
 
 Words are what stands between white space and ASCII punctuation, in lower case. Defined results: a null or empty text and an item
-without a word match nothing; repeated rows and items match each; empty tables give an empty result; further columns stay.
+without a word match nothing; an item without an id matches like any other; repeated rows and items match each; empty tables give an empty result; further columns stay.
 """
 
 from __future__ import annotations
@@ -62,10 +62,11 @@ def shingles(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
 
 @dataclass
 class Block:
-    """The items of one block: ``sketches`` has, by shingle length, the sorted sketch hashes, a filter on their low bits and the
+    """The items of one block, by their place in it; ``ids`` has the id of each, which may be null. ``sketches`` has, by shingle length, the sorted sketch hashes, a filter on their low bits and the
     items of each."""
 
     items: dict[int, tuple[int, set[tuple[bytes, ...]]]] = field(default_factory=dict)
+    ids: list[int | None] = field(default_factory=list)
     sketches: dict[int, tuple[np.ndarray, np.ndarray, list[list[int]]]] = field(default_factory=dict)
     n: int = 0
 
@@ -89,8 +90,8 @@ class Block:
             self.sketches[size] = keys, low, [by_hash[h] for h in keys.tolist()]
         return self
 
-    def search(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item, its shingles, those that the text has) of each item that the text contains."""
+    def search(self, text: str | None) -> list[tuple[int | None, int, int]]:
+        """(id of an item, its shingles, those that the text has) of each item that the text contains."""
         words = words_of(text)
         if not words:
             return []
@@ -108,24 +109,25 @@ class Block:
                     wanted = self.items[i][1]
                     shared = len(wanted & there)
                     if shared >= THRESHOLD * len(wanted) - 1e-9:
-                        out.append((i, len(wanted), shared))
+                        out.append((self.ids[i], len(wanted), shared))
         return out
 
 
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[Block]:
-    """The items, read partition by partition, in closed blocks. Items are numbered within a block by their id; equal ids
-    with different texts count as one item each."""
+    """The items, read partition by partition, in closed blocks. Items are numbered within a block by their place; equal and
+    null ids count as one item each."""
     block, ids = Block(), benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).toLocalIterator()
     for row in ids:
         words = words_of(row["t"])
-        if not words or row["i"] is None:
+        if not words:
             continue
         size = min(SHINGLE, len(words))
         own = shingles(words, size)
-        if block.n and (block.n + len(own) > BLOCK_SHINGLES or row["i"] in block.items):
+        if block.n and block.n + len(own) > BLOCK_SHINGLES:
             yield block.close()
             block = Block()
-        block.items[row["i"]] = size, own
+        block.items[len(block.ids)] = size, own
+        block.ids.append(row["i"])
         block.n += len(own)
     if block.n:
         yield block.close()
