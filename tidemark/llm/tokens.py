@@ -11,6 +11,8 @@ here, so each distinct word is encoded by the library once while it stays in the
 
 Words of Latin letters that the cache lacks go to the library's model directly, since the splitting before it has nothing to do there;
 other words go to the whole library many at a time, as one text, whose ids are cut again at the words.
+
+A batch of texts is cut and its words are numbered by Arrow, so that Python looks up each distinct word of a batch once.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from array import array
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters that Python splits at and the library does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -46,6 +50,15 @@ def byte_signs() -> dict[int, str]:
 SIGNS = byte_signs()
 
 
+def simple_space(raw: bytes) -> bool:
+    """Whether ``raw`` has surely no white space but spaces and line feeds, and no NUL."""
+    b = np.frombuffer(raw, np.uint8)
+    if ((b < 32) & (b != 10)).any() or ((b >= 0xE1) & (b <= 0xE3)).any():
+        return False
+    after = b[1:][b[:-1] == 0xC2]
+    return not ((after == 0x85) | (after == 0xA0)).any()
+
+
 class Encoder:
     """``ids(texts)`` gives each text's ids as the bytes of little-endian unsigned 32-bit integers."""
 
@@ -86,7 +99,7 @@ class Encoder:
             raise AssertionError("the library joined words that stand apart")
         return [made[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)]
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Add ``words`` to the cache. A word stands for itself after a space, after its line feed where it has one, or at the
         start of a text where it begins with a NUL added for that."""
         known, ended, cores = self.cache, [], set()
@@ -128,48 +141,72 @@ class Encoder:
         known.update(zip([w for w, _ in alone], self.direct([x for _, x in alone]), strict=True))
         known.update([(w, known[core] + tail) for w, core, tail in ended])
 
-    def cut(self, text: str | None) -> list[str]:
-        if not text:
-            return []
+    def cut(self, text: str, simple: bool = False) -> str | list[str]:
+        """The words of ``text``: as one string with a single space between two words, or as a list where words hold spaces.
+        A ``simple`` text is known to have no white space but spaces and line feeds, and no NUL."""
         if self.drops_space:
-            if ODD_SPACE.search(text):
+            if not simple and ODD_SPACE.search(text):
                 return [text]
-            return text.split() if NOT_LATIN.search(text) else text.lower().split()
-        if "\0" in text:
+            text = text.lower() if text.isascii() or not NOT_LATIN.search(text) else text
+            return text.replace("\n", " ") if simple or not OTHER_SPACE.search(text) else " ".join(text.split())
+        if not simple and "\0" in text:
             return [f"\0{text}"]
-        uneven = any(x in text for x in SIDE_BY_SIDE) or text[0] in " \n" or text[-1] in " \n" or OTHER_SPACE.search(text)
+        uneven = any(x in text for x in SIDE_BY_SIDE) or text[0] in " \n" or text[-1] in " \n" or not simple and OTHER_SPACE.search(text)
         if uneven:
             parts = [x[1:] if x[0] == " " and k else x for k, x in enumerate(CUT.split(text))]
-        else:
-            parts = text.replace("\n", " \n").split(" ")
-        parts[0] = f"\0{parts[0]}"
-        return parts
+            parts[0] = f"\0{parts[0]}"
+            return parts
+        return "\0" + text.replace("\n", " \n")
+
+    def words(self, texts: list[str | None]) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+        """All words of ``texts``, numbered, and where each text's words begin and end."""
+        plain, rest, plain_at, rest_at = [], [], [], []
+        sizes = np.zeros(len(texts), np.int64)
+        simple = simple_space("".join([x for x in texts if x]).encode())
+        for i, text in enumerate(texts):
+            if text:
+                made = self.cut(text, simple)
+                if isinstance(made, str):
+                    plain.append(made)
+                    plain_at.append(i)
+                    sizes[i] = made.count(" ") + 1
+                else:
+                    rest += made
+                    rest_at.append(i)
+                    sizes[i] = len(made)
+        split = pc.split_pattern(pa.array([" ".join(plain)] if plain else [], pa.large_string()), " ").flatten()
+        order = np.array(plain_at + rest_at, np.int64)
+        stops = np.zeros(len(texts), np.int64)
+        stops[order] = np.cumsum(sizes[order])
+        return pa.concat_arrays([split, pa.array(rest, pa.large_string())]).dictionary_encode(), stops - sizes, stops
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        known, words = self.cache, [self.cut(x) for x in texts]
-        found = [list(map(known.get, x)) for x in words]
-        missing: list[tuple[list, int, str]] = []
-        for x, mine in zip(found, words, strict=True):
-            at = -1
-            try:
-                while True:
-                    at = x.index(None, at + 1)
-                    missing.append((x, at, mine[at]))
-            except ValueError:
-                pass
-        new = {w for _, _, w in missing}
-        if new:
-            self.learn(new)
-            for x, at, w in missing:
-                x[at] = known[w]
-        made = [b"".join(x) for x in found]
+        numbered, begun, ended = self.words(texts)
+        distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.cache
+        if self.drops_space:
+            known[""] = b""
+        found = list(map(known.get, distinct))
+        at = [k for k, x in enumerate(found) if x is None]
+        new = [distinct[k] for k in at]
+        self.learn(new)
+        for k, w in zip(at, new, strict=True):
+            found[k] = known[w]
         if len(known) > CACHE_ENTRIES:
-            current = {w for x in words for w in x if len(w) <= CACHED_CHARS}
-            self.cache = {w: known[w] for w in current}
+            self.cache = {w: x for w, x in zip(distinct, found, strict=True) if len(w) <= CACHED_CHARS}
         else:
-            for w in [w for w in new if len(w) > CACHED_CHARS]:
-                del known[w]
-        return made
+            for w in new:
+                if len(w) > CACHED_CHARS:
+                    del known[w]
+        # every word's ids out of the distinct words' ids, side by side
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, number = np.frombuffer(b"".join(found), np.uint32), numbered.indices.to_numpy()
+        each = sizes[number]
+        reach = np.concatenate([[0], np.cumsum(each)])
+        place = np.repeat((np.cumsum(sizes) - sizes)[number] - reach[:-1], each)
+        place += np.arange(len(place))
+        made = pool[place]
+        return [made[a:b].tobytes() for a, b in zip(reach[begun].tolist(), reach[ended].tolist(), strict=True)]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
