@@ -24,10 +24,14 @@ def test_replay_is_a_no_op(spark):
 
 def test_conflict_stops_the_merge(spark):
     changed = (*A[:4], 1.5, 5.0)
-    with pytest.raises(history.ConflictError):
-        history.idempotent_merge(table(spark, [A]), table(spark, [changed]))
-    with pytest.raises(history.ConflictError):
-        history.idempotent_merge(table(spark, []), table(spark, [A, changed]))
+    for old, new in (([A], [changed]), ([], [A, changed]), ([A], [(*A[:5], None)]), ([(*A[:4], None, 1.0)], [(*A[:4], 1.0, None)])):
+        assert history.conflicts_between(table(spark, old), table(spark, new)).count() == 1
+        with pytest.raises(Exception, match="several payloads"):
+            history.idempotent_merge(table(spark, old), table(spark, new)).collect()
+
+
+def test_rows_that_are_there_twice_stay(spark):
+    assert sorted(map(tuple, history.idempotent_merge(table(spark, [A, A]), table(spark, [A, B, B])).select("update_time", "value").collect())) == [("t1", 1.0), ("t1", 1.0), ("t2", 2.0)]
 
 
 def test_null_coverage_is_not_zero(spark):

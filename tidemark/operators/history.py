@@ -21,7 +21,7 @@ SEED_SOURCES = ("revision_history_seed",)
 
 
 class ConflictError(ValueError):
-    """A merge met one identity with two payloads."""
+    """A write met one identity with two payloads."""
 
 
 def canonical_columns(raw: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -91,6 +91,11 @@ def fingerprint() -> Column:
     return content_hash(*PAYLOAD)
 
 
+def payload_hash() -> Column:
+    """A number for each payload, to tell several payloads of one identity by its least and its largest, without a second shuffle."""
+    return F.xxhash64(*[x for c in PAYLOAD for x in (F.col(c), F.col(c).isNull())])
+
+
 def identity_groups(rows: DataFrame) -> DataFrame:
     """Per identity that occurs more than once: row count, distinct payloads, and whether they conflict or repeat exactly."""
     groups = rows.withColumn("payload", fingerprint()).groupBy(*IDENTITY).agg(F.count("*").alias("n_rows"), F.count_distinct("payload").alias("n_payloads"))
@@ -136,27 +141,32 @@ def new_observations(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def idempotent_merge(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Existing and new rows; a replay adds nothing; a conflict raises :class:`ConflictError` before anything is written."""
-    if not (found := conflicts_between(existing, incoming)).isEmpty():
-        raise ConflictError(f"identity with several payloads: {found.first().asDict()}")
-    return existing.select(*OBSERVATION).unionByName(new_observations(existing, incoming))
+    """Existing and new rows, from one aggregate by identity; a replay adds nothing. An identity with several payloads makes every action on
+    the result fail, so that nothing of it can be written; :func:`conflicts_between` lists them."""
+    side = lambda df, n: df.select(*OBSERVATION, F.lit(n).alias("side"), payload_hash().alias("payload"))
+    groups = side(existing, 0).unionByName(side(incoming, 1)).groupBy(*IDENTITY).agg(
+        F.count_if(F.col("side") == 0).alias("n_there"), F.min("payload").alias("least"), F.max("payload").alias("most"), *[F.first(c).alias(c) for c in PAYLOAD]
+    )
+    told = F.concat(F.lit("identity with several payloads: "), F.to_json(F.struct(*IDENTITY)))
+    good = groups.where(F.when(F.col("least") == F.col("most"), F.lit(True)).otherwise(F.raise_error(told).cast("boolean")))
+    times = F.array_repeat(F.lit(0), F.greatest("n_there", F.lit(1)).cast("int"))  # rows that are there twice stay so
+    return good.select(*OBSERVATION, F.explode(times).alias("time")).drop("time")
 
 
 def reconcile(tagged: DataFrame, canonical: str = "canonical") -> DataFrame:
     """The plan of a multi-source reconciliation, a row per identity over all sources (``source_name, priority``): the kept payload
     is that of the least priority, then name. ``action`` is conflict (nothing kept), existing, or add. It doesn't depend on the
     order of sources."""
-    keyed = tagged.where("reject_reason is null").withColumn("payload", fingerprint())
+    keyed = tagged.where("reject_reason is null").withColumn("payload", payload_hash())
     rank = F.struct("priority", "source_name")
     groups = keyed.groupBy(*IDENTITY).agg(
         F.count("*").alias("n_rows"),
-        F.count_distinct("payload").alias("n_payloads"),
+        (F.min("payload") == F.max("payload")).alias("kept"),
         F.min_by(F.struct(*PAYLOAD, "source_name"), rank).alias("keeper"),
         F.bool_or(F.col("source_name") == canonical).alias("is_existing"),
     )
-    action = F.when(F.col("n_payloads") > 1, "conflict").when(F.col("is_existing"), "existing").otherwise("add")
-    kept = F.col("n_payloads") == 1
-    return groups.select(*IDENTITY, "n_rows", action.alias("action"), *[F.when(kept, F.col(f"keeper.{c}")).alias(c) for c in (*PAYLOAD, "source_name")])
+    action = F.when(~F.col("kept"), "conflict").when(F.col("is_existing"), "existing").otherwise("add")
+    return groups.select(*IDENTITY, "n_rows", action.alias("action"), *[F.when(F.col("kept"), F.col(f"keeper.{c}")).alias(c) for c in (*PAYLOAD, "source_name")])
 
 
 def reconcile_report(plan: DataFrame) -> DataFrame:

@@ -28,11 +28,13 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical, archive and export: overlapping thirds and halves; the export's every 50th value is off by one."""
+    """Canonical, archive and export: overlapping thirds and halves; the export's every 50th value is off by one. Each row is classified
+    once, then given to its sources."""
     rows = history.classified(raw_rows(spark, sf_dir))
-    source = lambda name, priority, where: rows.where(where).withColumns({"source_name": F.lit(name), "priority": F.lit(priority)})
-    export = source("export", 2, "seq % 5 = 0").withColumn("value", F.col("value") + F.when(F.col("seq") % 50 == 0, 1.0).otherwise(0.0))
-    return source("canonical", 0, "seq % 3 <> 0").unionByName(source("archive", 1, "seq % 2 = 0")).unionByName(export)
+    source = lambda name, priority, where, off: F.when(F.expr(where), F.struct(F.lit(name).alias("source_name"), F.lit(priority).alias("priority"), F.lit(off).alias("off")))
+    sources = F.array_compact(F.array(source("canonical", 0, "seq % 3 <> 0", 0.0), source("archive", 1, "seq % 2 = 0", 0.0), source("export", 2, "seq % 5 = 0", 1.0)))
+    value = F.col("value") + F.when(F.col("seq") % 50 == 0, F.col("s.off")).otherwise(0.0)
+    return rows.withColumn("s", F.explode(sources)).select(*[value.alias(c) if c == "value" else c for c in rows.columns], "s.source_name", "s.priority")
 
 
 CLASSIFIED = (
