@@ -36,18 +36,25 @@ def single_revisions(events: DataFrame) -> DataFrame:
     return rows.select(alert_id(F.lit(SINGLE), F.col("entity"), F.col("period"), date, key).alias("id"), F.lit(SINGLE).alias("rule"), F.lit("high").alias("severity"), "entity", "period", direction.alias("direction"), date.alias("event_date"), "pct")
 
 
-def hysteresis(series: DataFrame, keys: tuple[str, ...] = ("entity", "period"), order: str = "as_of", refresh_in_band: bool = True) -> DataFrame:
+def hysteresis(series: DataFrame, keys: tuple[str, ...] = ("entity", "period"), order: str = "as_of", refresh_in_band: bool = True, open_alerts: DataFrame | None = None) -> DataFrame:
     """Lifecycle events of a threshold alert over ``keys, order, pct``; a NULL ``pct`` is an unavailable window, which neither opens nor
-    resolves.
+    resolves. Rows of a series with equal ``order`` count in the order of their percentages.
 
     Five percent opens, under four resolves, between the two the state holds. While open, a change of direction or of a point
     against the stored percentage is an update, else a hold. ``refresh_in_band``: a hold in the band refreshes the stored percentage (the
     cumulative rule). Otherwise only percentages of five and more are stored and direction doesn't count (the source rule), and
-    band holds give no row."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    band holds give no row.
+
+    ``open_alerts`` (``keys, pct``, one row a key: the newest open alert of earlier runs with its stored percentage) is where a series goes on:
+    it is open before its first row, and its episode is number 1."""
+    rows = series.where("pct is not null").select(*keys, order, "pct", F.lit(False).alias("seed"))
+    if open_alerts is not None:
+        rows = rows.unionByName(open_alerts.select(*keys, F.lit(None).cast(rows.schema[order].dataType).alias(order), F.col("pct").cast("double").alias("pct"), F.lit(True).alias("seed")))
+    by = (F.desc("seed"), F.asc(order), F.asc("pct"))
+    w = Window.partitionBy(*keys).orderBy(*by)
     past = w.rowsBetween(Window.unboundedPreceding, 0)
     size = F.abs("pct")
-    rows = series.where("pct is not null").withColumn("signal", F.when(size >= OPEN_AT, 1).when(size < RESOLVE_BELOW, 0))
+    rows = rows.withColumn("signal", F.when(F.col("seed") | (size >= OPEN_AT), 1).when(size < RESOLVE_BELOW, 0))
     rows = rows.withColumn("state", F.coalesce(F.last("signal", ignorenulls=True).over(past), F.lit(0)))
     rows = rows.withColumn("before", F.coalesce(F.lag("state").over(w), F.lit(0)))
     rows = rows.withColumn("episode", F.sum(F.when((F.col("state") == 1) & (F.col("before") == 0), 1).otherwise(0)).over(past))
@@ -55,12 +62,13 @@ def hysteresis(series: DataFrame, keys: tuple[str, ...] = ("entity", "period"),
         rows = rows.withColumn("stored", F.lag("pct").over(w))
         moved = (F.signum("pct") != F.signum("stored")) | (F.abs(F.col("pct") - F.col("stored")) >= MATERIAL)
     else:
-        strong = F.when(size >= OPEN_AT, F.col("pct"))
-        of_episode = Window.partitionBy(*keys, "episode").orderBy(order)
+        strong = F.when(F.col("seed") | (size >= OPEN_AT), F.col("pct"))
+        of_episode = Window.partitionBy(*keys, "episode").orderBy(*by)
         rows = rows.withColumn("stored", F.last(strong, ignorenulls=True).over(of_episode.rowsBetween(Window.unboundedPreceding, -1)))
         moved = F.abs(F.col("pct") - F.col("stored")) >= MATERIAL
     event = (
-        F.when((F.col("state") == 1) & (F.col("before") == 0), "Open")
+        F.when(F.col("seed"), None)
+        .when((F.col("state") == 1) & (F.col("before") == 0), "Open")
         .when((F.col("state") == 0) & (F.col("before") == 1), "Resolved")
         .when((F.col("state") == 1) & (size < OPEN_AT), "Hold" if refresh_in_band else None)
         .when(F.col("state") == 1, F.when(moved, "Updated").otherwise("Hold"))

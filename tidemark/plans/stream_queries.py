@@ -16,7 +16,11 @@ from tidemark.streaming import alerts, ingest
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -86,9 +90,9 @@ def oracle_sql() -> dict:
     sql = {
         "stream_alerts": """WITH ser AS (SELECT entity, period, update_ts AS as_of, (value - 60) / 10 AS pct, seq FROM v_obs_ev),
           sg AS (SELECT *, CASE WHEN abs(pct) >= 5 THEN 1 WHEN abs(pct) < 4 THEN 0 END AS signal FROM ser WHERE pct IS NOT NULL),
-          st AS (SELECT *, coalesce(last_value(signal IGNORE NULLS) OVER (PARTITION BY entity, period ORDER BY as_of ROWS UNBOUNDED PRECEDING), 0) AS state FROM sg),
-          bf AS (SELECT *, coalesce(lag(state) OVER w, 0) AS before, lag(pct) OVER w AS stored FROM st WINDOW w AS (PARTITION BY entity, period ORDER BY as_of)),
-          ep AS (SELECT *, sum(CASE WHEN state = 1 AND before = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY entity, period ORDER BY as_of ROWS UNBOUNDED PRECEDING)::bigint AS episode FROM bf),
+          st AS (SELECT *, coalesce(last_value(signal IGNORE NULLS) OVER (PARTITION BY entity, period ORDER BY as_of, pct ROWS UNBOUNDED PRECEDING), 0) AS state FROM sg),
+          bf AS (SELECT *, coalesce(lag(state) OVER w, 0) AS before, lag(pct) OVER w AS stored FROM st WINDOW w AS (PARTITION BY entity, period ORDER BY as_of, pct)),
+          ep AS (SELECT *, sum(CASE WHEN state = 1 AND before = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY entity, period ORDER BY as_of, pct ROWS UNBOUNDED PRECEDING)::bigint AS episode FROM bf),
           e AS (SELECT *, CASE WHEN state = 1 AND before = 0 THEN 'Open' WHEN state = 0 AND before = 1 THEN 'Resolved' WHEN state = 1 AND abs(pct) < 5 THEN 'Hold'
             WHEN state = 1 THEN CASE WHEN sign(pct) <> sign(stored) OR abs(pct - stored) >= 1 THEN 'Updated' ELSE 'Hold' END END AS event FROM ep)
           SELECT entity, period, strftime(as_of, '%Y-%m-%d %H:%M:%S') AS as_of, round(pct, 6) AS pct, event, episode FROM e WHERE event IS NOT NULL""",

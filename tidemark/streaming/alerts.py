@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,18 +39,22 @@ def step(state: tuple, pct: float, refresh_in_band: bool) -> tuple[tuple, str |
 
 
 def alert_stream(series: DataFrame, refresh_in_band: bool = True) -> DataFrame:
-    """Lifecycle events of ``series`` (``entity, period, as_of, pct``), keyed by series. Rows of a batch are taken in the order of ``as_of``; one at or
-    before the last that its series has seen is late and is ignored. Unavailable windows (NULL) change nothing. The keyed state
-    is four values a series, and a batch's rows of a series come in pieces."""
+    """Lifecycle events of ``series`` (``entity, period, as_of, pct``), keyed by series. Rows of a batch are taken in the order of ``as_of``, equal times
+    in that of their percentages as in batch; one at or before the last that its series had seen before the batch is late and is
+    ignored. Unavailable windows (NULL) change nothing. The keyed state is four values a series; of a batch's rows of a series two numbers
+    each are held."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         is_open, has, stored, episode, seen = state.get if state.exists else (False, False, 0.0, 0, None)
-        rows = pd.concat(list(frames)).sort_values("as_of", kind="stable")
+        pieces = [(f["as_of"].to_numpy("datetime64[us]"), f["pct"].to_numpy("float64")) for f in frames]
+        times, values = (np.concatenate(x) for x in zip(*pieces, strict=True))
+        late = None if seen is None else pd.Timestamp(seen)
         now, out = (is_open, stored if has else None, episode), []
-        for as_of, pct in zip(rows["as_of"], rows["pct"], strict=True):
-            if pd.isna(pct) or (seen is not None and as_of <= pd.Timestamp(seen)):
+        for k in np.lexsort((values, times)).tolist():
+            as_of, pct = pd.Timestamp(times[k]), float(values[k])
+            if np.isnan(pct) or pd.isna(as_of) or (late is not None and as_of <= late):
                 continue
-            now, event = step(now, float(pct), refresh_in_band)
+            now, event = step(now, pct, refresh_in_band)
             seen = as_of
             if event:
                 out.append((*key, as_of, pct, event, now[2]))
