@@ -4,18 +4,23 @@ An observation has ``entity, period, obs_date, value``, an optional ``update_ts`
 and ``seq``, the append order that settles ties. No row that became known after an as-of is ever visible to it.
 
 The as-of joins are a union of probes and observations and one running ``last`` over the series: work and shuffle grow with
-the rows, not with their product.
+the rows, not with their product. After the collapse a series has one row a day, so a window partition holds its days and probes only.
 """
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import effective_time, weekday_gap
-from tidemark.functions.numbers import revision_pct
+from tidemark.functions.fiscal import period_month, period_year
+from tidemark.functions.numbers import revision_pct, to_num
 
 SERIES = ("entity", "period")
+#: Stands for a prompt day that isn't there.
+NO_DAY = datetime.date(1000, 1, 1)
 
 
 def _with_times(obs: DataFrame) -> DataFrame:
@@ -33,15 +38,18 @@ def same_day_collapse(obs: DataFrame, as_of: Column | None = None) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
-def _last_before(rows: DataFrame, probes: DataFrame, at: str, carried: tuple[str, ...]) -> DataFrame:
-    """For each probe (series, ``at``, further columns) the last of ``rows`` (series, ``at``, carried) at or before it."""
-    extra = [c for c in probes.columns if c not in (*SERIES, at)]
+def _last_before(rows: DataFrame, probes: DataFrame, at: str, carried: tuple[str, ...], ties: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
+    """For each probe (series, ``within``, ``at``, further columns) the last of ``rows`` (series, ``within``, ``at``, carried, ties) at or before
+    it. Of rows with equal ``at`` the last in the order of ``ties`` counts."""
+    keys = (*SERIES, *within)
+    extra = [c for c in probes.columns if c not in (*keys, at)]
     empty = lambda df, names: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names]
-    packed = rows.select(*SERIES, at, F.lit(0).alias("kind"), F.struct(*carried).alias("found"), *empty(probes, extra))
-    asked = probes.select(*SERIES, at, F.lit(1).alias("kind"), F.lit(None).cast(packed.schema["found"].dataType).alias("found"), *extra)
-    running = Window.partitionBy(*SERIES).orderBy(at, "kind").rowsBetween(Window.unboundedPreceding, 0)
+    tie = F.struct(*(ties or carried)).alias("tie")
+    packed = rows.select(*keys, at, F.lit(0).alias("kind"), tie, F.struct(*carried).alias("found"), *empty(probes, extra))
+    asked = probes.select(*keys, at, F.lit(1).alias("kind"), *empty(packed, ("tie", "found")), *extra)
+    running = Window.partitionBy(*keys).orderBy(at, "kind", "tie").rowsBetween(Window.unboundedPreceding, 0)
     both = packed.unionByName(asked).withColumn("found", F.last("found", ignorenulls=True).over(running))
-    return both.where("kind = 1").select(*SERIES, at, *extra, "found")
+    return both.where("kind = 1").select(*keys, at, *extra, "found")
 
 
 def asof_baseline(obs: DataFrame, probes: DataFrame, tolerance: int = 1) -> DataFrame:
@@ -68,7 +76,7 @@ def visible_days(obs: DataFrame) -> DataFrame:
 def anchors(obs: DataFrame, grid: DataFrame) -> DataFrame:
     """Every series and as-of of ``grid`` with the latest observation known by then (by effective time, then by append order)."""
     days = same_day_collapse(obs).withColumn("as_of", F.col("known_at"))
-    series = days.select(*SERIES).distinct().crossJoin(F.broadcast(grid.select(F.col("as_of").cast("timestamp").alias("as_of"))))
+    series = days.select(*SERIES).distinct().crossJoin(grid.select(F.col("as_of").cast("timestamp").alias("as_of")))
     found = _last_before(days, series, "as_of", ("obs_date", "value"))
     return found.select(*SERIES, "as_of", F.col("found.obs_date").alias("anchor_date"), F.col("found.value").alias("anchor_value"))
 
@@ -78,12 +86,12 @@ def revision_panel(obs: DataFrame, grid: DataFrame, windows: tuple[int, ...] = (
     baseline before the window to the anchor at its end, or why there is none.
 
     For histories without later restatements (each day's rows are known on that day). With restatements use
-    :func:`restated_panel`. ``grid`` times ``windows`` is the query, not data, and is the only thing broadcast.
+    :func:`restated_panel`. ``grid`` times ``windows`` is the query: its product with the series, not with their rows, is what is asked for.
 
     Days and probes are brought together by series once: the first running ``last`` over effective time finds the anchors, the second
     over dates finds the baselines, and only a sort lies between them."""
     days = same_day_collapse(obs)
-    small = F.broadcast(grid.select(F.col("as_of").cast("timestamp").alias("as_of")))
+    small = grid.select(F.col("as_of").cast("timestamp").alias("as_of"))
     probes = _with_times(obs).select(*SERIES).distinct().crossJoin(small)
     day = F.struct("obs_date", "value")
     rows = days.select(*SERIES, F.col("known_at").alias("at"), F.lit(0).alias("kind"), day.alias("day"), F.lit(None).cast("timestamp").alias("as_of"))
@@ -115,30 +123,66 @@ def _judged(found: DataFrame) -> DataFrame:
 
 
 def restated_panel(obs: DataFrame, grid: DataFrame, windows: tuple[int, ...] = (30, 60, 90), tolerance: int = 1) -> DataFrame:
-    """:func:`revision_panel` for any history. Rows are turned into visibility intervals, and each as-of of the small ``grid``
-    takes the rows visible at it, so a restatement never changes what an earlier as-of saw."""
-    days = visible_days(obs)
-    small = F.broadcast(grid.select(F.col("as_of").cast("timestamp").alias("as_of")))
-    seen = days.join(small, (F.col("known_at") <= F.col("as_of")) & (F.col("until").isNull() | (F.col("as_of") < F.col("until"))))
-    latest = Window.partitionBy(*SERIES, "as_of").orderBy(F.desc("known_at"), F.desc("obs_date"), F.desc("seq"))
-    anchor = seen.withColumn("n", F.row_number().over(latest)).where("n = 1").select(*SERIES, "as_of", F.col("obs_date").alias("anchor_date"), F.col("value").alias("anchor_value"))
-    probes = days.select(*SERIES).distinct().crossJoin(small).join(anchor, [*SERIES, "as_of"], "left")
-    probes = probes.select("*", F.explode(F.array(*[F.lit(n) for n in windows])).alias("days")).withColumn("target", F.date_sub(F.coalesce("anchor_date", F.to_date("as_of")), F.col("days")))
-    rows = seen.select(*SERIES, "as_of", F.col("obs_date").alias("target"), F.lit(0).alias("kind"), F.struct(F.col("obs_date").alias("base_date"), F.col("value").alias("base_value")).alias("found"), *[F.lit(None).cast(t).alias(c) for c, t in (("days", "int"), ("anchor_date", "date"), ("anchor_value", "double"))])
-    asked = probes.select(*SERIES, "as_of", "target", F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["found"].dataType).alias("found"), "days", "anchor_date", "anchor_value")
-    running = Window.partitionBy(*SERIES, "as_of").orderBy("target", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.unionByName(asked).withColumn("found", F.last("found", ignorenulls=True).over(running)).where("kind = 1")
-    gap = weekday_gap(F.col("found.base_date"), F.col("target"))
-    found = found.withColumns({"base_date": F.col("found.base_date"), "base_value": F.when(gap <= tolerance, F.col("found.base_value"))})
-    return _judged(found)
+    """:func:`revision_panel` for any history. An as-of only sees the rows known by then, so a restatement never changes what an earlier
+    as-of saw. Work grows with rows and probes, not with their product:
+
+    * the anchor is a running ``last`` over the times at which rows became known;
+    * a day is prompt if it was first known on the day itself. Every as-of from the next day on knows it, so a running ``last`` over dates
+      finds the prompt day at or before a target. A day known late or early counts against it only between it and the next prompt
+      day, which is an equality join on the prompt day before both; so does the as-of's own day;
+    * what the day then showed is a running ``last`` over the versions of that day."""
+    shown = visible_days(obs)
+    small = grid.select(F.col("as_of").cast("timestamp").alias("as_of"))
+    packed = shown.select(*SERIES, F.col("known_at").alias("as_of"), "obs_date", "seq", "value")
+    probes = shown.select(*SERIES).distinct().crossJoin(small)
+    anchor = _last_before(packed, probes, "as_of", ("obs_date", "value"), ("obs_date", "seq"))
+    anchor = anchor.select(*SERIES, "as_of", F.col("found.obs_date").alias("anchor_date"), F.col("found.value").alias("anchor_value"))
+    asked = anchor.withColumn("days", F.explode(F.array(*[F.lit(n) for n in windows])))
+    asked = asked.withColumn("target", F.date_sub(F.coalesce("anchor_date", F.to_date("as_of")), F.col("days")))
+    asked = asked.withColumn("at", F.least("target", F.date_sub(F.to_date("as_of"), 1)))  # prompt days up to here are known for sure
+
+    days = shown.groupBy(*SERIES, "obs_date").agg(F.min("known_at").alias("first_known"))
+    prompt = F.to_date("first_known") == F.col("obs_date")
+    of_day = days.select(*SERIES, F.col("obs_date").alias("at"), F.lit(0).alias("kind"), F.when(prompt, F.col("obs_date")).alias("mark"), "obs_date", "first_known", *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("as_of", "days", "target", "anchor_date", "anchor_value")])
+    of_probe = asked.select(*SERIES, "at", F.lit(1).alias("kind"), F.lit(None).cast("date").alias("mark"), F.lit(None).cast("date").alias("obs_date"), F.lit(None).cast("timestamp").alias("first_known"), "as_of", "days", "target", "anchor_date", "anchor_value")
+    running = Window.partitionBy(*SERIES).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    marked = of_day.unionByName(of_probe).withColumn("prompt_day", F.last("mark", ignorenulls=True).over(running))
+    asked = marked.where("kind = 1").drop("kind", "mark", "obs_date", "first_known", "at")
+    # a candidate is met under the prompt day before it, the as-of's own day under itself
+    others = marked.where("kind = 0 and mark is null").select(*SERIES, F.coalesce("prompt_day", F.lit(NO_DAY)).alias("key"), F.col("obs_date").alias("other"), "first_known")
+    own = marked.where("kind = 0 and mark is not null").select(*SERIES, F.col("obs_date").alias("key"), F.col("obs_date").alias("other"), "first_known")
+    keyed = asked.withColumn("key", F.explode(F.array_distinct(F.array(F.coalesce("prompt_day", F.lit(NO_DAY)), F.to_date("as_of")))))
+    found = keyed.join(others.unionByName(own), [*SERIES, "key"], "left")
+    there = (F.col("first_known") <= F.col("as_of")) & (F.col("other") <= F.col("target"))
+    found = found.groupBy(*SERIES, "as_of", "days", "target", "anchor_date", "anchor_value", "prompt_day").agg(F.max(F.when(there, F.col("other"))).alias("other"))
+    found = found.withColumn("base_date", F.greatest("prompt_day", "other")).drop("prompt_day", "other")
+
+    versions = shown.select(*SERIES, F.col("obs_date").alias("base_date"), F.col("known_at").alias("as_of"), "seq", "value")
+    wanted = found.select(*SERIES, "base_date", "as_of", "days", "target", "anchor_date", "anchor_value")
+    found = _last_before(versions, wanted, "as_of", ("value",), ("seq",), within=("base_date",))
+    gap = weekday_gap(F.col("base_date"), F.col("target"))
+    return _judged(found.withColumn("base_value", F.when(gap <= tolerance, F.col("found.value"))))
 
 
 def momentum_table(panel: DataFrame) -> DataFrame:
-    """One row per series and as-of with the percentage of each length, in the order of entity, period year and month."""
+    """One row per series and as-of with the percentage of each length. :func:`momentum_order` sorts it for display."""
     wide = panel.groupBy(*SERIES, "as_of").pivot("days", [30, 60, 90]).agg(F.first("pct"))
     return wide.select(*SERIES, "as_of", *[F.col(f"`{n}`").alias(f"pct_{n}") for n in (30, 60, 90)])
 
 
+def with_reported(table: DataFrame, reported: DataFrame) -> DataFrame:
+    """``table`` with the source's own one, three and six month percentages (``rev_1m, rev_3m, rev_6m`` as raw texts by entity and period), beside the
+    computed ones and never in their place."""
+    typed = reported.select(*SERIES, *[to_num(F.col(c)).alias(f"reported_{c[4:]}") for c in ("rev_1m", "rev_3m", "rev_6m")])
+    return table.join(typed, list(SERIES), "left")
+
+
+def momentum_order() -> list[Column]:
+    """Entity, then the period's year and month; labels that are no period come last, by text."""
+    period = F.col("period")
+    return [F.col("entity").asc(), period_year(period).asc_nulls_last(), period_month(period).asc_nulls_last(), period.asc()]
+
+
 def readiness(panel: DataFrame) -> DataFrame:
     """Per entity and as-of: is there a period with a valid window of each length?"""
     ok = lambda n: F.bool_or((F.col("status") == "ok") & (F.col("days") == n)).alias(f"ready_{n}")
