@@ -33,10 +33,13 @@ def _record(fields: Column, schema: T.StructType) -> Column:
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Every line of the files at ``path`` as ``file, line_no, raw, parsed``; a line that isn't one object of the schema has no ``parsed``.
-    Line numbers count within a file, in the order of the file's blocks."""
+    Line numbers count within a file. The texts stay where they are read: only the first place and the number of lines of each block of a
+    file are gathered, added up by file and joined back."""
     raw = spark.read.text(path).select(F.col("value").alias("raw"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    numbered = raw.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("block", "at")))
-    numbered = numbered.where(F.trim("raw") != "")
+    blocks = raw.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    numbered = raw.join(blocks.select("file", "block", (before + 1 - F.col("first")).alias("shift")), ["file", "block"])
+    numbered = numbered.withColumn("line_no", F.col("at") + F.col("shift")).where(F.trim("raw") != "")
     if all(isinstance(f.dataType, T.StringType) for f in schema):
         rows = numbered.withColumn("fields", F.from_json("raw", FLAT))
         return rows.select("file", "line_no", "raw", F.when(F.trim("raw").startswith("{") & F.col("fields").isNotNull(), _record(F.col("fields"), schema)).alias("parsed"))

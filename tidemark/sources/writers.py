@@ -34,13 +34,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def write_months(rows: DataFrame, path: str) -> list[str]:
     """Merge ``rows`` into the month-partitioned history at ``path`` and rewrite only the months that gain rows; returns those months. A
-    conflict or a value that is not finite raises before any write."""
+    conflict or a value that is not finite raises before any write. An identity has a date, so only the months of ``rows`` are read."""
     spark = rows.sparkSession
     incoming = assert_finite(rows.select(*history.OBSERVATION))
     if not exists(spark, path):
         existing = spark.createDataFrame([], incoming.schema)
     else:
-        existing = spark.read.parquet(path).select(*history.OBSERVATION)
+        mine = [r["month"] for r in incoming.select(month_key(F.col("obs_date")).alias("month")).distinct().collect()]  # a row per month
+        existing = spark.read.parquet(path).where(F.col("month").isin(mine)).select(*history.OBSERVATION)
     if not (found := history.conflicts_between(existing, incoming)).isEmpty():
         raise history.ConflictError(f"identity with several payloads: {found.first().asDict()}")
     fresh = history.new_observations(existing, incoming)
@@ -54,6 +55,11 @@ def write_months(rows: DataFrame, path: str) -> list[str]:
     return sorted(months)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(rows: DataFrame, path: str) -> None:
     """Write a runtime table in canonical order after all of it was validated."""
     assert_finite(rows).sortWithinPartitions(*history.canonical_order(rows)).write.mode("overwrite").parquet(path)

@@ -50,6 +50,20 @@ def gated(snaps: DataFrame, watch: DataFrame, fiscal_end: DataFrame, known_good:
     return quality.gate_decision(quality.timestamp_gate(flags, now, backfill)), rows
 
 
+def known_good(spark: SparkSession, store: Store, before: str | None = None) -> tuple[DataFrame | None, list[str]]:
+    """The current value and price of every (entity, period), as the last publishable snapshot (named before ``before``, if given) left them, and
+    the names of the states that are kept."""
+    path = store.path("known_good")
+    if not writers.exists(spark, path):
+        return None, []
+    states = spark.read.parquet(path)
+    names = sorted(str(r["state"]) for r in states.select("state").distinct().collect())  # the partitions that are kept: two or three
+    usable = [n for n in names if before is None or n < before]
+    if not usable:
+        return None, names
+    return states.where(F.col("state") == usable[-1]).select("entity", "period", "value", "price"), names
+
+
 def ingest_batch(snaps: DataFrame, store: Store, watch: DataFrame, fiscal_end: DataFrame, now: Column, backfill: bool = False) -> None:
     """One batch of snapshots in the order of their names. Rejected ones go to quarantine; publishable ones give revision events against the last
     known good value and observations. A failure raises, so the stream's checkpoint does not advance."""
@@ -58,10 +72,7 @@ def ingest_batch(snaps: DataFrame, store: Store, watch: DataFrame, fiscal_end: D
     names = [r["snapshot_id"] for r in snaps.select("snapshot_id").distinct().orderBy("snapshot_id").collect()]  # files of one batch
     for name in names:
         one = snaps.where(F.col("snapshot_id") == name)
-        good = spark.read.parquet(store.path("known_good")) if writers.exists(spark, store.path("known_good")) else None
-        if good is not None:
-            newest = good.groupBy("entity", "period").agg(F.max_by(F.struct("value", "price"), "snapshot_id").alias("v")).select("entity", "period", "v.*")
-            good = newest
+        good, states = known_good(spark, store, before=name)
         gate, rows = gated(one, watch, fiscal_end, good, now, backfill)
         decision = gate.first()
         if not decision["publishable"]:
@@ -79,8 +90,15 @@ def ingest_batch(snaps: DataFrame, store: Store, watch: DataFrame, fiscal_end: D
         observations = valid.select("entity", "period", F.to_date(F.substring(stamp, 1, 10)).alias("obs_date"), stamp.alias("update_time"), "value", to_num(F.col("coverage")).alias("coverage"))
         writers.append_events(events, store.path("events"))
         writers.write_months(observations.dropDuplicates(["entity", "period"]), store.path("history"))
-        # the known good comes last: a batch that failed before it is done again from the same state
-        writers.assert_finite(valid.select("snapshot_id", "entity", "period", "value", "price")).write.mode("append").parquet(store.path("known_good"))
+        # the known good comes last: a batch that failed before it is done again from the same state. One row for each identity is
+        # written beside the state before, which stays for a replay; older states go
+        now_good = valid.select("entity", "period", "value", "price").dropDuplicates(["entity", "period"])
+        if good is not None:
+            now_good = now_good.unionByName(good.join(now_good.select("entity", "period"), ["entity", "period"], "left_anti"))
+        path = store.path("known_good")
+        writers.assert_finite(now_good).write.mode("overwrite").parquet(f"{path}/state={name}")
+        for old in [n for n in states if n < name][:-1]:
+            writers.remove(spark, f"{path}/state={old}")
     snaps.unpersist()
 
 
