@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, fiscal, ids, numbers, text, urls
@@ -33,7 +33,7 @@ def source_severity(spark, sf_dir):
 
 def _events(spark, sf_dir) -> DataFrame:
     """Order pairs as raw revision events; some are baselines, some lack a previous number, some have no percentage."""
-    rows = Views(spark, sf_dir).table("lineitem").where("l_linenumber = 1")
+    rows = Views(spark, sf_dir).table("lineitem")
     return rows.select(
         F.concat(F.lit("E"), F.col("l_suppkey")).alias("entity"),
         F.concat(F.year("l_shipdate"), F.lit("E")).alias("period"),
@@ -43,7 +43,7 @@ def _events(spark, sf_dir) -> DataFrame:
         F.when(F.col("l_partkey") % 11 == 0, "First baseline").otherwise("update").alias("reason"),
         F.to_date("l_shipdate").cast("string").alias("date"),
         F.lit(None).cast("string").alias("update_time"),
-        F.col("l_orderkey").alias("seq"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
     )
 
 
@@ -60,7 +60,7 @@ def event_ids(spark, sf_dir):
 
 
 def _alert_rows(spark, sf_dir) -> DataFrame:
-    rows = Views(spark, sf_dir).table("lineitem").where("l_linenumber <= 2")
+    rows = Views(spark, sf_dir).table("lineitem")
     pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col("l_partkey") % len(v) + 1).cast("int"))
     return rows.select(
         F.concat_ws(":", F.lit("a"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
@@ -78,7 +78,7 @@ def _alert_rows(spark, sf_dir) -> DataFrame:
         F.lit(None).cast("timestamp").alias("created_at"),
         F.lit(None).cast("timestamp").alias("expires_at"),
         (F.col("l_linenumber") == 1).alias("one_shot"),
-        F.col("l_orderkey").alias("seq"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
     )
 
 
@@ -105,12 +105,14 @@ def newest_open(spark, sf_dir):
 
 def first_by_id(spark, sf_dir):
     rows = _alert_rows(spark, sf_dir).withColumn("id", F.concat_ws(":", "rule", "entity", "severity"))
-    return alerts.first_by_id(rows.withColumn("seq", F.col("seq") * 10 + F.when(F.col("one_shot"), 1).otherwise(2))).select("id", "seq", "status")
+    return alerts.first_by_id(rows).select("id", "seq", "status")
 
 
 def alert_upsert(spark, sf_dir):
-    rows = _alert_rows(spark, sf_dir).withColumns({"created_at": F.col("event_at"), "opened_at": F.when(F.col("one_shot"), F.col("event_at"))})
-    old, new = rows.where("seq % 3 <> 0"), rows.where("seq % 2 = 0").withColumns({"created_at": F.col("event_at") + F.expr("INTERVAL 1 DAY"), "event_at": F.col("event_at") + F.expr("INTERVAL 2 DAYS"), "pct": F.lit(9.0)})
+    rows = _alert_rows(spark, sf_dir)
+    again = F.row_number().over(Window.partitionBy("id").orderBy("event_at", "pct"))  # ids of a history are unique
+    rows = rows.withColumn("id", F.concat_ws("#", "id", again)).withColumns({"created_at": F.col("event_at"), "opened_at": F.when(F.col("one_shot"), F.col("event_at"))})
+    old, new = rows.where("seq % 3 <> 0"), rows.where("seq % 2 = 0 or seq % 3 = 0").withColumns({"created_at": F.col("event_at") + F.expr("INTERVAL 1 DAY"), "event_at": F.col("event_at") + F.expr("INTERVAL 2 DAYS"), "pct": F.lit(9.0)})
     out = alerts.upsert(old, new)
     return out.select("id", "status", "lifecycle", "pct", *[F.to_date(c).alias(c) for c in ("created_at", "opened_at", "event_at")])
 
@@ -125,7 +127,7 @@ def gm_bps_text(spark, sf_dir):
 
 
 def _digests(spark, sf_dir) -> DataFrame:
-    rows = Views(spark, sf_dir).table("lineitem").where("l_linenumber = 1")
+    rows = Views(spark, sf_dir).table("lineitem")
     q = F.col("l_quantity").cast("int")
     pct = lambda c: F.concat(c.cast("string"), F.lit("%"))
     vs = lambda k: F.when(F.col("l_orderkey") % k == 0, "Above").when(F.col("l_orderkey") % k == 1, " below ").when(F.col("l_orderkey") % k == 2, "in line")
@@ -207,7 +209,7 @@ def extracted_estimates(spark, sf_dir):
 
 
 def repeated_rows(spark, sf_dir):
-    rows = Views(spark, sf_dir).obs_ev().where("day(obs_date) <= 3")
+    rows = Views(spark, sf_dir).obs_ev()
     rows = rows.select("entity", F.when(F.col("seq") % 9 == 0, F.lit("Feb 2028")).otherwise(F.col("period")).alias("fiscal_period"), F.floor(F.col("value") / 400).cast("string").alias("consensus"), "seq")
     return digests.repeated_row_policy(rows)
 
@@ -221,13 +223,13 @@ def queries() -> dict:
 SER = MOVES + ", ser AS (SELECT entity, period, snap_date AS as_of, CASE WHEN coverage % 13 <> 0 THEN near END AS pct FROM m2), sg AS (SELECT *, CASE WHEN abs(pct) >= 5 THEN 1 WHEN abs(pct) < 4 THEN 0 END AS signal FROM ser WHERE pct IS NOT NULL), st AS (SELECT *, coalesce(last_value(signal IGNORE NULLS) OVER (PARTITION BY entity, period ORDER BY as_of ROWS UNBOUNDED PRECEDING), 0) AS state FROM sg), bf AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY entity, period ORDER BY as_of), 0) AS before FROM st), ep AS (SELECT *, sum(CASE WHEN state = 1 AND before = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY entity, period ORDER BY as_of ROWS UNBOUNDED PRECEDING)::bigint AS episode FROM bf)"
 EVENTS = """ev AS (SELECT 'E' || l_suppkey AS entity, year(l_shipdate) || 'E' AS period, CASE WHEN l_partkey % 7 = 0 THEN 'n/a (baseline)' ELSE CAST(CAST(l_quantity * 2 AS int) AS VARCHAR) END AS previous,
   CAST(CAST(l_quantity + l_orderkey % 40 AS int) AS VARCHAR) AS current, CASE WHEN l_partkey % 5 = 0 THEN 'n/a' END AS revision, CASE WHEN l_partkey % 11 = 0 THEN 'First baseline' ELSE 'update' END AS reason,
-  CAST(CAST(l_shipdate AS date) AS VARCHAR) AS "date", l_orderkey AS seq FROM lineitem WHERE l_linenumber = 1)"""
+  CAST(CAST(l_shipdate AS date) AS VARCHAR) AS "date", l_orderkey * 10 + l_linenumber AS seq FROM lineitem)"""
 ALERTS = f"""al AS (SELECT 'a:' || l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS id,
   ['{alerts.SINGLE}', '{alerts.CUMULATIVE}', '{alerts.GUIDANCE}', '{alerts.RESULTS}', '{alerts.PRESSURE}', '{alerts.DRIVER}', '{alerts.HISTORY}'][CAST(l_partkey % 7 + 1 AS int)] AS rule,
   ['high', 'medium', 'low', 'odd'][CAST(l_suppkey % 4 + 1 AS int)] AS severity, 'E' || (l_suppkey % 9) AS entity, CASE l_orderkey % 4 WHEN 0 THEN 'marked below' WHEN 1 THEN 'marked above' ELSE 'x' END AS message,
   CASE WHEN l_orderkey % 2 = 0 THEN 'deteriorating' ELSE 'improving' END AS current_status, CASE WHEN l_orderkey % 3 <> 0 THEN l_quantity - 25 END AS pct, l_shipdate AS event_at,
-  CASE WHEN l_orderkey % 5 = 0 THEN 'resolved' ELSE 'open' END AS status, CASE WHEN l_orderkey % 7 = 0 THEN 'Hold' ELSE 'Open' END AS lifecycle, l_linenumber = 1 AS one_shot, l_orderkey AS seq
-  FROM lineitem WHERE l_linenumber <= 2),
+  CASE WHEN l_orderkey % 5 = 0 THEN 'resolved' ELSE 'open' END AS status, CASE WHEN l_orderkey % 7 = 0 THEN 'Hold' ELSE 'Open' END AS lifecycle, l_linenumber = 1 AS one_shot, l_orderkey * 10 + l_linenumber AS seq
+  FROM lineitem),
 ac AS (SELECT *, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 9 END AS severity_rank FROM al WHERE rule <> '{alerts.HISTORY}' AND status <> 'resolved'
   AND (NOT one_shot OR TIMESTAMP '1998-06-15' <= event_at + INTERVAL 21 DAY))"""
 
@@ -241,7 +243,7 @@ def oracle_sql() -> dict:
     rank = "CASE bucket WHEN 'driver_deteriorating' THEN 0 WHEN 'revision_downside' THEN 1 WHEN 'guidance_downside' THEN 2 WHEN 'margin_pressure' THEN 3 WHEN 'driver_improving' THEN 4 WHEN 'results_beat' THEN 5 ELSE 9 END"
     vs = lambda k: f"CASE l_orderkey % {k} WHEN 0 THEN 'Above' WHEN 1 THEN 'Below' END"
     digest = f"""dg AS (SELECT 'D' || l_orderkey AS entity, CASE WHEN l_partkey % 9 <> 0 THEN 'Q' || quarter(l_shipdate) ELSE 'na' END AS period, CAST(CAST(l_shipdate AS date) AS VARCHAR) AS d, CAST(l_quantity AS int) AS q, l_partkey,
-      coalesce({vs(5)}, CASE WHEN l_orderkey % 5 <> 0 AND l_orderkey % 5 <> 1 THEN {vs(7)} END) AS rv, {vs(6)} AS gv FROM lineitem WHERE l_linenumber = 1),
+      coalesce({vs(5)}, CASE WHEN l_orderkey % 5 <> 0 AND l_orderkey % 5 <> 1 THEN {vs(7)} END) AS rv, {vs(6)} AS gv FROM lineitem),
       mg AS (SELECT *, CASE WHEN l_partkey % 3 = 0 AND q * 10 >= 10 THEN -q * 10.0 END AS tb, CASE WHEN l_partkey % 2 <> 0 AND 60 <> q + 30 THEN (60 - (q + 30)) * 100.0 END AS gb, (q + 25 - 50) * 100.0 AS db FROM dg),
       pm AS (SELECT *, CASE WHEN abs(tb) > 200 THEN tb WHEN abs(db) > 200 THEN db END AS pb FROM mg)"""
     state = lambda q: f"CASE WHEN ({q}) % 3 = 0 THEN 'improving' WHEN ({q}) % 3 = 1 THEN 'deteriorating' ELSE 'stable' END"
@@ -264,10 +266,10 @@ def oracle_sql() -> dict:
           SELECT id, entity, bucket, severity FROM n WHERE n <= 2 ORDER BY bucket_rank, severity_rank, event_at DESC, id LIMIT 5""",
         "changed_since": f"WITH {ALERTS} SELECT id, rule, entity FROM al WHERE rule <> '{alerts.HISTORY}' AND lifecycle <> 'Hold' AND event_at > TIMESTAMP '1998-06-15'",
         "newest_open": f"WITH {ALERTS} SELECT id, rule, entity FROM (SELECT *, row_number() OVER (PARTITION BY rule, entity ORDER BY event_at DESC, id DESC) AS n FROM al WHERE status <> 'resolved') WHERE n = 1",
-        "first_by_id": f"WITH {ALERTS}, k AS (SELECT rule || ':' || entity || ':' || severity AS id, seq * 10 + CASE WHEN one_shot THEN 1 ELSE 2 END AS seq, status FROM al) SELECT id, min(seq) AS seq, arg_min(status, seq) AS status FROM k GROUP BY id",
-        "alert_upsert": f"""WITH {ALERTS}, r AS (SELECT *, CASE WHEN one_shot THEN event_at END AS opened_at FROM al WHERE rule <> '{alerts.HISTORY}')
-          SELECT id, status, lifecycle, CASE WHEN seq % 2 = 0 THEN 9.0::double ELSE pct END AS pct, CAST(CASE WHEN seq % 3 <> 0 THEN event_at ELSE event_at + INTERVAL 1 DAY END AS date) AS created_at, CAST(opened_at AS date) AS opened_at,
-          CAST(CASE WHEN seq % 2 = 0 AND NOT (seq % 3 <> 0 AND lifecycle = 'Hold') THEN event_at + INTERVAL 2 DAY ELSE event_at END AS date) AS event_at FROM r WHERE seq % 3 <> 0 OR seq % 2 = 0""",
+        "first_by_id": f"WITH {ALERTS}, k AS (SELECT rule || ':' || entity || ':' || severity AS id, seq, status FROM al) SELECT id, min(seq) AS seq, arg_min(status, seq) AS status FROM k GROUP BY id",
+        "alert_upsert": f"""WITH {ALERTS}, r AS (SELECT * REPLACE (id || '#' || row_number() OVER (PARTITION BY id ORDER BY event_at, pct NULLS FIRST) AS id), CASE WHEN one_shot THEN event_at END AS opened_at FROM al WHERE rule <> '{alerts.HISTORY}')
+          SELECT id, status, lifecycle, CASE WHEN seq % 2 = 0 OR seq % 3 = 0 THEN 9.0::double ELSE pct END AS pct, CAST(CASE WHEN seq % 3 <> 0 THEN event_at ELSE event_at + INTERVAL 1 DAY END AS date) AS created_at, CAST(opened_at AS date) AS opened_at,
+          CAST(CASE WHEN (seq % 2 = 0 OR seq % 3 = 0) AND NOT (seq % 3 <> 0 AND lifecycle = 'Hold') THEN event_at + INTERVAL 2 DAY ELSE event_at END AS date) AS event_at FROM r""",
         "gm_bps_text": """WITH t AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS int) * 10 AS q, l_partkey % 5 AS k, CAST(l_quantity + 20 AS int) + 0.5 AS m FROM lineitem)
           SELECT l_orderkey, l_linenumber, CASE WHEN q BETWEEN 10 AND 9999 THEN CASE WHEN k IN (0, 3) THEN -q WHEN k = 2 THEN -q ELSE q END END::double AS bps, CASE WHEN m BETWEEN 20 AND 95 THEN CAST(m::double AS VARCHAR) ELSE '' END AS margins FROM t""",
         "digest_alerts": f"""WITH {digest}
@@ -295,7 +297,7 @@ def oracle_sql() -> dict:
           greatest(0, {w.format(d=b)} - {w.format(d=a)})::bigint AS gap FROM l""",
         "extracted_estimates": """SELECT page_id, 0::bigint AS place, 'Jan 2028' AS fiscal_period, CAST(page_id AS VARCHAR) AS consensus, NULL AS high FROM pages WHERE page_id % 3 = 0
           UNION ALL SELECT page_id, i, ['Jan 2027', 'Jun 2027'][i + 1], CAST(page_id + i AS VARCHAR), '9.5' FROM pages, (SELECT unnest([0, 1])::bigint AS i) WHERE page_id % 3 <> 0""",
-        "repeated_rows": """WITH r AS (SELECT entity, CASE WHEN seq % 9 = 0 THEN 'Feb 2028' ELSE period END AS period, floor(value / 400)::bigint AS v, seq FROM v_obs_ev WHERE day(obs_date) <= 3),
+        "repeated_rows": """WITH r AS (SELECT entity, CASE WHEN seq % 9 = 0 THEN 'Feb 2028' ELSE period END AS period, floor(value / 400)::bigint AS v, seq FROM v_obs_ev),
           p AS (SELECT entity, period, CASE WHEN period IN ('Mar 2028', 'Feb 2028') OR period = 'Jan 2027' THEN CAST(right(period, 4) AS int) - 1 ELSE CAST(right(period, 4) AS int) END AS slot, count(DISTINCT coalesce(CAST(v AS VARCHAR), '')) AS k, min(seq) AS f, count(*) AS n FROM r GROUP BY 1, 2, 3),
           b AS (SELECT entity, f AS pos, 'duplicate_conflicting_fiscal_row' AS violation FROM p WHERE k > 1 UNION ALL SELECT entity, max(f), 'mapped_slot_collision' FROM p GROUP BY entity, slot HAVING count(*) > 1),
           v AS (SELECT entity, arg_min(violation, {'a': pos, 'v': violation}) AS violation FROM b GROUP BY entity)
