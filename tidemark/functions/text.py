@@ -65,9 +65,16 @@ def versus(text: Column) -> Column:
     return F.when(s.isin("above", "below"), s)
 
 
-def first_alias(fields: Column, names: tuple[str, ...]) -> Column:
-    """The first of the named keys of a map that has a value that isn't blank."""
-    return F.coalesce(*[F.when(F.trim(fields[n]) != "", F.trim(fields[n])) for n in names])
+#: The keys under which a source may give its own counts of analysts, in the order in which they are tried.
+UP_ANALYST_KEYS = ("upAnalysts", "analystsUp", "numUp", "upCount", "up_analysts", "analystsRaising", "upRevisions", "numberOfUpwardRevisions")
+DOWN_ANALYST_KEYS = ("downAnalysts", "analystsDown", "numDown", "downCount", "down_analysts", "analystsLowering", "downRevisions", "numberOfDownwardRevisions")
+
+
+def analyst_direction(fields: Column) -> Column:
+    """``up, down, status, reason`` from a map of a row's fields: the source's own counts, never derived from anything else."""
+    up, down = (to_num(F.coalesce(*[fields[k] for k in keys])) for keys in (UP_ANALYST_KEYS, DOWN_ANALYST_KEYS))
+    there = up.isNotNull() | down.isNotNull()
+    return F.struct(up.alias("up"), down.alias("down"), F.when(there, "ok").otherwise("unavailable").alias("status"), F.when(~there, "not_in_source").alias("reason"))
 
 
 def transition_date(*candidates: Column) -> Column:

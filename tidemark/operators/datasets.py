@@ -66,18 +66,24 @@ def summary_values(rows: DataFrame, today: Column) -> DataFrame:
     return last.select("entity", "period", "obs_date", "value", F.datediff(today, F.col("obs_date")).alias("age_days"))
 
 
-def evaluate(rules: dict[str, Callable[[], DataFrame]], history: DataFrame, previous: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, list[tuple[str, str, str]]]:
+def evaluate(rules: dict[str, Callable[[], DataFrame]], history: DataFrame, previous: DataFrame, now: Column, folder: str | None = None) -> tuple[DataFrame, DataFrame, list[tuple[str, str, str]]]:
     """All alert rules of a run: generated alerts, deduplicated, merged into the history; the active ones; and a status per rule.
 
-    A rule that fails to plan keeps its alerts of ``previous`` and is reported, so one bad source never empties the others. Rules give
+    A rule that fails keeps its alerts of ``previous`` and is reported, so one bad source never empties the others. Without a ``folder`` this
+    holds for rules that fail to plan. With one (shared by all executors, new for each run) every rule's rows are written below it first,
+    so that a rule which fails while it runs is kept apart as well. Rules give
     ``id, rule, status, lifecycle, pct, created_at, opened_at, event_at, seq``."""
     columns = ["id", "rule", "status", "lifecycle", "pct", "created_at", "opened_at", "event_at", "seq"]
     made, report = None, []
     for name, rule in rules.items():
         try:
             rows = rule().select(*columns)
+            if folder is not None:
+                path = f"{folder.rstrip('/')}/{len(report)}"
+                rows.write.mode("overwrite").parquet(path)
+                rows = history.sparkSession.read.schema(rows.schema).parquet(path)
             report.append((name, "ok", ""))
-        except Exception as error:  # planning fails here, on the driver; what fails in tasks fails the run before any write
+        except Exception as error:
             rows = previous.where(F.col("rule") == name).select(*columns)
             report.append((name, "error", str(error).split("\n", 1)[0][:200]))
         made = rows if made is None else made.unionByName(rows)

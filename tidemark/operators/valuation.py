@@ -9,6 +9,8 @@ from tidemark.functions.numbers import cagr, growth_adjusted_pe, growth_label, g
 
 #: Texts that sort after every number.
 AFTER_NUMBERS = ("", "—", "N/M", "Data unavailable")
+#: Rows from which the ranges of a ranking are chosen.
+RANK_SAMPLE = 4096
 
 
 def growth_from_prior(rows: DataFrame) -> DataFrame:
@@ -50,17 +52,33 @@ def comparison(long: DataFrame, year: str, momentum: DataFrame | None = None) ->
 def comparison_order(column: str, descending: bool = False, label: str | None = None, text: bool = False) -> list[Column]:
     """Sort keys: numbers in the asked order, everything else after them in either order, ties by entity from A to Z. ``label`` names a
     column whose text stands in for a number and so sorts after them."""
+    after, key = _after_and_key(column, label, text)
+    return [after.asc(), key.desc() if descending else key.asc(), F.col("entity").asc()]
+
+
+def _after_and_key(column: str, label: str | None, text: bool = False) -> tuple[Column, Column]:
     c = F.col(column)
     after = c.isNull() | (F.trim(c.cast("string")).isin(*AFTER_NUMBERS)) if text else c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     if label is not None:
         after = after | F.col(label).isNotNull()
-    key = F.when(~after, c)
-    return [after.asc(), key.desc() if descending else key.asc(), F.col("entity").asc()]
+    return after, F.when(~after, c)
 
 
 def ranked(rows: DataFrame, column: str, descending: bool = False, label: str | None = None) -> DataFrame:
-    """``rows`` with ``place`` in :func:`comparison_order`. One entity set is one page of a report; the window is over it."""
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(*comparison_order(column, descending, label))))
+    """``rows`` with ``place`` in :func:`comparison_order` of a numeric column. Rows are dealt to ranges whose bounds come from RANK_SAMPLE rows
+    at most; places count within a range and go on from the rows of the ranges before, a number a range."""
+    after, key = _after_and_key(column, label)
+    rows = rows.withColumn("rank_key", F.struct(after.cast("int").alias("after"), (-key if descending else key).alias("key"), F.col("entity").alias("entity")))
+    sample = [r[0] for r in rows.select("rank_key").orderBy(F.xxhash64("rank_key")).limit(RANK_SAMPLE).orderBy("rank_key").collect()]
+    ranges = max(1, min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(sample) // 16))
+    bounds = [sample[k * len(sample) // ranges] for k in range(1, ranges)]
+    kind = rows.schema["rank_key"].dataType
+    below = F.filter(F.array(*[F.struct(*[F.lit(v) for v in x]).cast(kind) for x in bounds]), lambda x: x <= F.col("rank_key")) if bounds else F.array()
+    rows = rows.withColumn("rank_range", F.size(below))
+    counts = rows.groupBy("rank_range").agg(F.count("*").alias("n"))
+    starts = counts.select("rank_range", (F.sum("n").over(Window.orderBy("rank_range")) - F.col("n")).alias("rank_start"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("rank_range").orderBy("rank_key")) + F.col("rank_start")
+    return rows.join(starts, "rank_range").withColumn("place", place).drop("rank_key", "rank_range", "rank_start")
 
 
 def leaders(rows: DataFrame) -> DataFrame:
@@ -93,7 +111,7 @@ def aligned_series(rows: DataFrame, entity: str) -> DataFrame:
     mine = rows.where(F.col("entity") == entity)
     series = mine.groupBy("period").agg(F.count("value").alias("n")).where("n > 0").select("period")
     dates = mine.select("obs_date").distinct()
-    grid = dates.crossJoin(F.broadcast(series))  # a handful of display years
+    grid = dates.crossJoin(series)  # a handful of display years
     return grid.join(mine.select("obs_date", "period", "value"), ["obs_date", "period"], "left")
 
 

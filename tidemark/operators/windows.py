@@ -178,9 +178,9 @@ def with_reported(table: DataFrame, reported: DataFrame) -> DataFrame:
 
 
 def momentum_order() -> list[Column]:
-    """Entity, then the period's year and month; labels that are no period come last, by text."""
+    """Entity, then the period's month and year; labels that are no period come last."""
     period = F.col("period")
-    return [F.col("entity").asc(), period_year(period).asc_nulls_last(), period_month(period).asc_nulls_last(), period.asc()]
+    return [F.col("entity").asc(), period_month(period).asc_nulls_last(), period_year(period).asc_nulls_last(), period.asc()]
 
 
 def readiness(panel: DataFrame) -> DataFrame:
