@@ -5,7 +5,7 @@ import zlib
 import corpus_pipeline
 import pytest
 from compare import DATA
-from test_copies import slow_fingerprint
+from test_near_copies import brute_firsts
 from test_text_filters import brute_chunks, brute_repeats
 
 from tidemark.llm import contamination, language_id
@@ -65,15 +65,7 @@ def test_line_stage(stages):
 
 def test_near_copy_stage(stages):
     before, after, _ = stages[2]
-    prints = {r["doc_id"]: slow_fingerprint(r["text"]) for r in before}
-    group = dict.fromkeys(sorted(prints))
-    for i in group:
-        stack = [i] if group[i] is None else []
-        while stack:
-            x = stack.pop()
-            group[x] = i
-            stack += [j for j in group if group[j] is None and (prints[x] ^ prints[j]).bit_count() <= 2]
-    assert {r["doc_id"] for r in after} == {i for i, g in group.items() if i == g}
+    assert {r["doc_id"] for r in after} == brute_firsts([(r["doc_id"], r["text"]) for r in before])
 
 
 def test_decontamination_stage(spark, stages):

@@ -14,13 +14,14 @@ def similarity(x, y):
 
 def brute_firsts(rows):
     group = dict.fromkeys(sorted(i for i, _ in rows))
-    text = dict(rows)
+    own = {i: near_copies.own_shingles((t or "").lower().encode().split(), 5) for i, t in rows}
+    near = lambda x, y: x == y or len(x & y) >= 0.8 * len(x | y)
     for i in group:
         stack = [i] if group[i] is None else []
         while stack:
             x = stack.pop()
             group[x] = i
-            stack += [j for j in group if group[j] is None and similarity(text[x], text[j]) >= 0.8]
+            stack += [j for j in group if group[j] is None and near(own[x], own[j])]
     return {i for i, g in group.items() if i == g}
 
 
@@ -50,3 +51,44 @@ def test_chains_and_empty_texts(docs, words):
     got = [r["doc_id"] for r in near_copies.first_of_each_group(docs(rows)).collect()]
     assert sorted(map(str, got)) == ["5", "None"]
     assert near_copies.first_of_each_group(docs([])).count() == 0
+
+
+def test_large_groups_in_blocks(docs, words, monkeypatch):
+    """Copies of one text with few to very many changes, so that many pairs of a bucket are near the threshold."""
+    rng, base = random.Random(5), words(140)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        copy = list(base)
+        for k in rng.sample(range(140), rng.randint(1, 14)):
+            copy[k] = f"new{i}x{k}"
+        rows.append((i, " ".join(copy)))
+    rows += [(200 + i, " ".join(words(30) + base[:100])) for i in range(20)]
+    want = brute_firsts(rows)
+    assert 20 < len(want) < 120
+    for block, sketch in ((4096, 512), (16, 512), (50, 64)):
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        monkeypatch.setattr(near_copies, "SKETCH", sketch)
+        assert {r["doc_id"] for r in near_copies.first_of_each_group(docs(rows)).collect()} == want
+
+
+def test_sketches_lose_no_similar_pair(words):
+    rng = random.Random(6)
+    for n in (40, 400, 4000):
+        base = [w.encode() for w in words(n)]
+        for changed in range(1, n // 25 + 2):
+            copy = list(base)
+            for k in rng.sample(range(n), changed):
+                copy[k] = b"changed"
+            sketch = [near_copies.np.unique(near_copies.own_hashes(x, 5))[: near_copies.SKETCH] for x in (base, copy)]
+            x, y = near_copies.own_shingles(base, 5), near_copies.own_shingles(copy, 5)
+            reach = near_copies.may_reach(sketch[0], [sketch[1]], 0.8)[0]
+            exact = len(x & y) >= 0.8 * len(x | y)
+            assert reach or not exact
+            if len(x | y) <= near_copies.SKETCH:
+                assert reach == exact
+
+
+def test_clashing_columns_stay(docs, words):
+    rows = docs([(1, " ".join(words(20))), (2, None), (3, None)]).withColumns({"key_id": near_copies.F.lit("x"), "kept_id": near_copies.F.lit(1), "digest": near_copies.F.lit(2)})
+    got = near_copies.first_of_each_group(rows)
+    assert got.columns == rows.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 2]

@@ -23,13 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, stored, table
+from tidemark.llm.common import free_name, shuffle_partitions, stored, table
 from tidemark.llm.components import components
 from tidemark.llm.spans import NULL_ID, keyed
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
-#: Fingerprints of a leaf, as aimed at; sampled fingerprints for each leaf; most sampled; block that is compared in full.
-LEAF, SAMPLE_PER_LEAF, MAX_SAMPLE, BLOCK = 4096, 64, 1 << 18, 192
+#: Fingerprints of a leaf, as aimed at: at least, so that few rows still make some leaves, and at most, since every level of the tree
+#: repeats a fifth of them. Sampled fingerprints for each leaf; most sampled; block that is compared in full.
+LEAF, LARGE_LEAF, SAMPLE_PER_LEAF, MAX_SAMPLE, BLOCK = 4096, 65_536, 64, 1 << 18, 192
 
 
 def fingerprint(raw: bytes | None) -> int:
@@ -41,8 +42,12 @@ def fingerprint(raw: bytes | None) -> int:
         h = [digest(b" ".join(words), SEED)]
     else:
         h = [digest(s, SEED) for s in map(b" ".join, zip(*[words[k:] for k in range(SHINGLE)], strict=False))]
+    return majority(np.array(h, "<u8"))
+
+
+def majority(values: np.ndarray) -> int:
+    """The fingerprint of a text from the hashes of its shingles: the bits that are set in over half of them."""
     bits = np.zeros(64, np.int64)
-    values = np.array(h, "<u8")
     for at in range(0, len(values), 65536):
         part = values[at : at + 65536]
         bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -157,7 +162,7 @@ def near_links(distinct: DataFrame) -> DataFrame:
     """``a, b``: links between distinct fingerprints (column ``fp``) that connect all that lie within RADIUS."""
     spark = distinct.sparkSession
     n = distinct.count()
-    leaves = -(-n // LEAF)
+    leaves = -(-n // min(LARGE_LEAF, max(LEAF, n // (4 * shuffle_partitions(spark)))))
     sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(min(MAX_SAMPLE, SAMPLE_PER_LEAF * leaves)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     nodes = spark.sparkContext.broadcast(build(sample, leaves))
 
