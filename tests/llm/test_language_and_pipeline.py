@@ -3,8 +3,10 @@
 import zlib
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from compare import DATA
+from pyspark.sql import functions as F
 from test_near_copies import brute_firsts
 from test_text_filters import brute_chunks, brute_repeats
 
@@ -22,6 +24,49 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def slow_features(text):
+    """Counts of the buckets, one n-gram at a time."""
+    raw = [b if chr(b).isalpha() and b < 128 or b >= 128 else 32 for b in f" {text.lower()} ".encode()]
+    counts = {}
+    for i in range(len(raw)):
+        for size in language_id.SIZES:
+            gram = raw[i : i + size]
+            if len(gram) == size and any(b != 32 for b in gram):
+                h = gram[0] * 2654435761 % 2**32
+                for k in range(1, size):
+                    h = (h ^ gram[k] * (2 * (k + 1) + 1) % 2**32) * 2654435761 % 2**32
+                counts[h >> 16] = counts.get(h >> 16, 0) + 1
+    return counts
+
+
+def test_prediction_against_brute_force(spark, docs, words):
+    """Every score from the counts of each n-gram, one at a time, with the model's tables."""
+    texts = [" ".join(words(12)) + x for x in ("", " 12 ½ é", "!", " Über") for _ in range(12)]
+    model = language_id.train(texts, [["en", "de", "fr"][k % 3] for k in range(len(texts))], [k % 5 == 0 for k in range(len(texts))])
+    rows = list(enumerate([*texts, " ".join(words(9000)), "a", "½ ² Ⅷ ①", "٣", "字", "x1"]))
+    got = {r["doc_id"]: r for r in language_id.predict(docs([*rows, (None, "null id"), (3, rows[3][1])]), model).collect()}
+    assert len(got) == len(rows) + 1
+    for i, text in rows:
+        if not any(map(str.isalpha, text)):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        counts = slow_features(text)
+        z = sum(n * model.logits[k].astype("f8") for k, n in counts.items()) / max(1, sum(counts.values())) + model.bias
+        p = np.exp(z / model.temperature - (z / model.temperature).max())
+        p /= p.sum()
+        assert got[i]["score"] == pytest.approx(p.max(), abs=1e-3) and p[model.languages.index(got[i]["lang_pred"])] >= p.max() - 1e-3
+    with pytest.raises(ValueError, match="lang_pred"):
+        language_id.predict(docs(rows).withColumn("lang_pred", F.lit("x")), model, carried=("doc_id", "lang_pred"))
+
+
+def test_no_language_is_left_out(docs, words, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_ROWS", 500)
+    rows = [(10 * k + j, f"kind{k} " + " ".join(words(5)), f"l{k:03d}", "s", 1) for k in range(300) for j in range(4)]
+    model = language_id.fit(docs(rows).withColumn("key", F.col("doc_id")))
+    assert len(model.languages) == 300
+    assert language_id.fit(docs([]).withColumn("key", F.col("doc_id"))) is None
+
+
 def test_language_edges(spark, docs, words):
     en, de = [" ".join(["the", "and", *words(10)]) for _ in range(30)], [" ".join(["über", "straße", *words(10)]) for _ in range(30)]
     model = language_id.train(en + de, ["en"] * 30 + ["de"] * 30, [i % 5 == 0 for i in range(60)])

@@ -8,8 +8,9 @@ embedding table and the layer are multiplied once into a bucket-by-language tabl
 fixed by the parameters.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; without any labelled row every
-answer is ``und``; rows without a language are never learned from; repeated rows each get a row; further columns are
-ignored.
+answer is ``und``; rows without a language are never learned from; of equal scores the first language from A to Z wins; repeated rows
+each get a row; a null id is carried; a very long text is scored whole, in one task; an empty table gives an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,22 +24,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import free_name, table
 
 BUCKETS, WIDTH, SIZES = 1 << 16, 16, (2, 3, 4)
-#: Rows per language that the training sample aims at, and languages at most.
-SAMPLE, LANGUAGES = 400, 256
+#: Rows per language that the training sample aims at, fewer where there are so many languages that all of them would pass MOST_ROWS, but
+#: LEAST at least.
+SAMPLE, MOST_ROWS, LEAST = 400, 200_000, 20
 #: Passes over the sample, more of them where a small one gives fewer than STEPS updates.
 EPOCHS, STEPS, BATCH, RATE, SEED = 12, 800, 32, 0.5, 7
 #: Of the sampled rows, those whose hash has this remainder modulo 5 set the temperature and the threshold.
 CALIBRATION, CALIBRATION_OF = 0, 5
 #: Share of right calibration answers that the threshold may reject.
 REJECTED_RIGHT = 0.005
-LETTER = re.compile(r"[^\W\d_]")
+WORD_SIGN = re.compile(r"[^\W\d_]+")
 #: Bytes that are no letters: ASCII but A-Z and a-z.
 _PLAIN = np.array([not (chr(b).isalpha() or b >= 128) for b in range(256)])
 
 
+def has_letter(text: str) -> bool:
+    """Signs like ½ and ② count as word signs for ``re``, but are no letters."""
+    return any(any(map(str.isalpha, found.group())) for found in WORD_SIGN.finditer(text))
+
+
 def features(text: str) -> np.ndarray:
     """Bucket of every n-gram of the text, repeats included."""
     raw = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
@@ -86,11 +93,16 @@ class Model:
 
 
 def train(texts: list[str], labels: list[str], calibrate: list[bool], seed: int = SEED) -> Model | None:
+    return learn(averages(texts), labels, calibrate, seed)
+
+
+def learn(x: list[tuple[np.ndarray, np.ndarray]], labels: list[str], calibrate: list[bool], seed: int = SEED) -> Model | None:
+    """The model of texts that are given as :func:`averages` gives them."""
     languages = sorted(set(labels))
     if not languages:
         return None
-    code = {x: i for i, x in enumerate(languages)}
-    x, y = averages(texts), np.array([code[v] for v in labels])
+    code = {v: i for i, v in enumerate(languages)}
+    y = np.array([code[v] for v in labels])
     rng = np.random.default_rng(seed)
     held = np.array(calibrate, bool)
     learn = np.flatnonzero(~held) if (~held).any() else np.arange(len(y))
@@ -131,34 +143,49 @@ def train(texts: list[str], labels: list[str], calibrate: list[bool], seed: int
 
 
 def training_sample(labelled: DataFrame, key: Column) -> DataFrame:
-    """About SAMPLE rows of each language, chosen by the hash of ``key`` at a rate from the counts of all rows; twice the
-    aim at most over all, so what the driver gets is bounded."""
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return labelled.limit(0)
-    rates = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], SAMPLE / r["count"])])
+    """About SAMPLE rows of each language (see MOST_ROWS), chosen by the hash of ``key`` at a rate from the counts of all rows; twice the aim at
+    most over all, so that what the driver gets is bounded. No language is left out."""
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    languages = counts.count()
+    aim = max(LEAST, min(SAMPLE, MOST_ROWS // max(1, languages)))
+    rates = counts.select(F.col("lang").alias("of_lang"), (F.lit(float(aim)) / F.col("n")).alias("rate"))
     draw = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return labelled.where(draw < rates[F.col("lang")]).limit(2 * SAMPLE * len(counts))
+    drawn = labelled.join(rates, F.col("lang") == F.col("of_lang")).where(draw < F.col("rate")).drop("of_lang", "rate")
+    return drawn.limit(2 * aim * languages)
 
 
 def fit(labelled: DataFrame) -> Model | None:
-    """``labelled`` has ``key, lang, text``. The sample's rows come to the driver in the order of their hash."""
-    rows = training_sample(labelled, F.col("key")).select(F.xxhash64("key").alias("h"), "lang", "text").collect()
-    rows = sorted((r for r in rows if r["text"] and LETTER.search(r["text"])), key=lambda r: (r["h"], r["lang"], r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows], [r["h"] % CALIBRATION_OF == CALIBRATION for r in rows])
+    """``labelled`` has ``key, lang, text``. The sampled texts are averaged whole where they lie; what comes to the driver, in the order of the rows'
+    hashes, is at most a share for each bucket and row."""
+
+    def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            keep = [k for k, x in enumerate(texts) if x and has_letter(x)]
+            made = averages([texts[k] for k in keep])
+            columns = [pa.array([a.astype("<i4").tobytes() for a, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], *columns], ["h", "lang", "at", "shares"])
+
+    sample = training_sample(labelled, F.col("key")).select(F.xxhash64("key").alias("h"), "lang", "text")
+    rows = sample.mapInArrow(averaged, "h long, lang string, at binary, shares binary").collect()
+    rows.sort(key=lambda r: (r["h"], r["lang"], bytes(r["at"]), bytes(r["shares"])))
+    x = [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["shares"], np.float32)) for r in rows]
+    return learn(x, [r["lang"] for r in rows], [r["h"] % CALIBRATION_OF == CALIBRATION for r in rows])
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text", carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carried`` columns with ``lang_pred``, ``score`` and ``rejected``."""
+    """``carried`` columns with ``lang_pred``, ``score`` and ``rejected``; carried columns of these names must be renamed before."""
+    if clash := {c.lower() for c in carried} & {"lang_pred", "score", "rejected"}:
+        raise ValueError(f"carried columns have names of the result: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*carried, F.col(text).alias("predicted_text"))
+    rows = docs.select(*carried, F.col(text).alias(free_name(docs, "predicted_text")))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             langs, scores = [], []
             for x in batch.column(batch.num_columns - 1).to_pylist():
-                if m is None or x is None or not LETTER.search(x):
+                if m is None or x is None or not has_letter(x):
                     langs.append("und")
                     scores.append(0.0)
                 else:
