@@ -6,7 +6,8 @@ with a beta prior fitted to all hosts by moments, and a host whose shrunk rate p
 documents with it.
 
 Defined results: a null or empty text has no words and fails; a null host gets no host verdict; repeated rows each
-count and each get a row; an empty table gives an empty result; further columns of the input are left alone.
+count and each get a row; a very long text is measured whole, in one task; hosts of equal rates get equal verdicts; an empty table gives
+an empty result; further columns of the input, whatever their names, are left alone.
 """
 
 from __future__ import annotations
@@ -115,13 +116,13 @@ def quality_verdicts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their own columns. Texts are measured in place twice instead
-    of being shuffled."""
-    m, at = free_name(docs, "measures"), free_name(docs, "verdict_host")
-    measured = docs.withColumn(m, _metrics(F.col(text)))
-    bad = host_verdicts(measured.select(F.col(host).alias("host"), base_failed(F.col(m)).alias("failed"))).where("host_rejected")
-    bad = bad.select(F.col("host").alias(at))
-    return measured.where(~base_failed(F.col(m))).join(bad, F.col(host) == F.col(at), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that the rules keep, with their own columns. Every text is measured once: rows that pass the base rules are stored
+    with their host, of the others the host alone, and the hosts' verdicts come from that table."""
+    failed = base_failed(_metrics(F.col(text)))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = stored(docs.select(F.col(host).alias("host"), failed.alias("failed"), F.when(~failed, whole).alias("whole")), "judged")
+    bad = host_verdicts(judged.select("host", "failed")).where("host_rejected").select(F.col("host").alias("bad_host"))
+    return judged.where("not failed").join(bad, F.col("host") == F.col("bad_host"), "left_anti").select("whole.*")
 
 
 def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

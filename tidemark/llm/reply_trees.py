@@ -11,7 +11,7 @@ again; a real mark stands at the start of a line and so never follows a backslas
 
 Defined results: a null role or text is empty; a null parent, or one that the table lacks, makes a root; messages on a
 parent cycle have no root and are on no path; ties in rank go to the deeper, then to the smaller node; an empty table
-gives an empty result. In a flat conversation table, repeated (conversation, turn) rows are all kept, ordered by role and
+gives an empty result; further columns are ignored; a path is formatted as one row, however long its texts. In a flat conversation table, repeated (conversation, turn) rows are all kept, ordered by role and
 text; null turns come first; rows with a null conversation id form one conversation.
 """
 
@@ -125,7 +125,8 @@ def read_back(conversations: DataFrame) -> DataFrame:
 
 def op1_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turn = lambda n, role: F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(n).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text"))
+    extra = spark.range(1).select(F.inline(F.array(turn(0, "user"), turn(1, "assistant"))))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     messages = flat_messages(rows)
     read = read_back(format_paths(messages, ranked_paths(messages)))
