@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import simhash_vp, suffix_dedup
 from tidemark.llm.components import components
@@ -134,11 +135,22 @@ def test_substrings_against_brute_force(docs):
     rows += [(200, "a" * 500), (201, "a" * 99), (202, "a" * 100), (203, ""), (204, None), (205, rows[5][1]), (206, "ab" * 400)]
     want = brute_substrings(rows)
     # groups of two: every repeated anchor is dealt to several buckets
-    for group_max in (suffix_dedup.GROUP_MAX, 2):
-        got = {r[0]: tuple(r[1:]) for r in suffix_dedup.dedup_substrings(docs(rows), group_max=group_max).collect()}
+    same = lambda windows: (np.zeros(len(windows), np.int64), windows[:, 0].astype(np.int64) % 2)  # noqa: E731  nearly all windows collide
+    clash = docs(rows).withColumns({"key_id": F.lit("x"), "entries": F.lit(1), "raw": F.lit(2)})
+    for group_max, hashes in ((suffix_dedup.GROUP_MAX, suffix_dedup.window_hashes), (2, suffix_dedup.window_hashes), (2, same)):
+        got = {r[0]: tuple(r[1:]) for r in suffix_dedup.dedup_substrings(clash, group_max=group_max, hashes=hashes).collect()}
         assert got == want
 
 
+def test_entries_in_slices(monkeypatch):
+    keys = np.repeat(np.arange(40).reshape(-1, 1), [k % 5 + 1 for k in range(40)], axis=0).repeat(2, axis=1)
+    spans = np.arange(2 * len(keys)).astype("<u4").view(suffix_dedup.SPAN)
+    whole = suffix_dedup.by_document(keys, spans)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 64)
+    assert suffix_dedup.by_document(keys, spans).combine_chunks().equals(whole.combine_chunks()) and whole.num_rows == 40
+    assert suffix_dedup.by_document(keys[:0], spans[:0]).num_rows == 0
+
+
 def test_stretches_keep_every_window_s_anchor(monkeypatch):
     rng = random.Random(8)
     texts = ["".join(rng.choice("abcdefgh ") for _ in range(n)).encode() for n in (3000, 0, 99, 100, 650, 4000)]

@@ -65,9 +65,8 @@ def test_large_groups_in_blocks(docs, words, monkeypatch):
     rows += [(200 + i, " ".join(words(30) + base[:100])) for i in range(20)]
     want = brute_firsts(rows)
     assert 20 < len(want) < 120
-    for block, sketch in ((4096, 512), (16, 512), (50, 64)):
+    for block in (4096, 16, 50):
         monkeypatch.setattr(near_copies, "BLOCK", block)
-        monkeypatch.setattr(near_copies, "SKETCH", sketch)
         assert {r["doc_id"] for r in near_copies.first_of_each_group(docs(rows)).collect()} == want
 
 

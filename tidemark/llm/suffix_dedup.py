@@ -11,8 +11,9 @@ deep-shallow method, but only where a repeat is possible:
    then blind tries over the distinct strings of what still ties. With the longest common prefixes on both sides, two windows
    with the same place of the anchor are equal if both sides agree far enough; all but the first of each class are marked.
    An anchor hash that more than GROUP_MAX anchors share is dealt to several buckets by document. Each marks all but its own
-   first windows; those go on as 128-bit hashes, are grouped over the corpus with partial minima, and all but the first are marked
-   as well. So no bucket holds more than a bounded part of a passage that very many documents share.
+   first windows; those go on as 128-bit hashes, the bytes of the ones whose hash recurs are fetched and grouped over the corpus with
+   partial minima, and all but the first are marked as well. So no bucket holds more than a bounded part of a passage that very many
+   documents share, and bytes are compared everywhere.
 4. Marks are merged by document and cut out of the text.
 
 A document whose whole text is there earlier is settled by its hash and takes part in none of this.
@@ -25,7 +26,7 @@ table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,6 +45,8 @@ SHALLOW = 16
 STRETCH = 1 << 19
 #: Anchors of one hash that a bucket takes together.
 GROUP_MAX = 100_000
+#: Bytes of text for each bucket of anchors, at most, and of entries in one array.
+BUCKET_TEXT, SLICE = 128 << 20, 1 << 30
 PLACE_BITS = np.uint64(20)
 FACTOR = 0x9E3779B97F4A7C15
 ANCHOR = np.dtype([("id", "<u8"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("parts", "<u2")])
@@ -151,12 +154,20 @@ def unblob(raw: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
 def by_document(keys: np.ndarray, entries: np.ndarray) -> pa.Table:
     """A row for each document: its key and its entries' bytes. Entries are grouped by document."""
     first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else np.zeros(0, np.int64)
-    offsets = (np.concatenate([first, [len(keys)]]) * entries.dtype.itemsize).astype(np.int32)
-    data = pa.py_buffer(np.ascontiguousarray(entries).tobytes())
-    packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), data])
-    return pa.table({"key_id": pa.array(keys[first, 0] if len(keys) else [], pa.int64()), "key_text": pa.array(keys[first, 1] if len(keys) else [], pa.int64()), "entries": packed})
-
-
+    stops = np.concatenate([first[1:], [len(keys)]])
+    tables = []
+    # Arrow's binary arrays end at 2 GB, so that very many entries make several
+    for at in np.split(np.arange(len(first)), np.flatnonzero(np.diff(stops * entries.dtype.itemsize // SLICE)) + 1):
+        low, high = (int(first[at[0]]), int(stops[at[-1]])) if len(at) else (0, 0)
+        offsets = (np.concatenate([first[at], [high]]) - low) * entries.dtype.itemsize
+        data = pa.py_buffer(np.ascontiguousarray(entries[low:high]).tobytes())
+        packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), data])
+        tables.append(pa.table({"key_id": pa.array(keys[first[at], 0] if len(at) else [], pa.int64()), "key_text": pa.array(keys[first[at], 1] if len(at) else [], pa.int64()), "entries": packed}))
+    return pa.concat_tables(tables)
+
+
+#: Two 64-bit hashes of each row of bytes.
+Hashes = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 BY_DOCUMENT = "key_id long, key_text long, entries binary"
 
 
@@ -287,8 +298,8 @@ def sides(data: np.ndarray, base: np.ndarray, lo: np.ndarray, hi: np.ndarray) ->
     return after, before
 
 
-def marked(group: pa.Table) -> pa.Table:
-    """Of one bucket's windows all but the first of each class, as spans of their documents."""
+def marked(group: pa.Table, hashes: Hashes) -> pa.Table:
+    """Of one bucket's windows all but the first of each class, as spans of their documents; of hashes that several buckets share the first ones too."""
     parts = [unblob(x) for x in group.column("packed").to_pylist()]
     keys, entries = np.concatenate([k for k, _, _ in parts]), np.concatenate([e for _, e, _ in parts])
     data = np.frombuffer(b"".join([x for _, _, x in parts]), np.uint8)
@@ -328,32 +339,19 @@ def marked(group: pa.Table) -> pa.Table:
         at = base[rank][row] + hi[row] - o
         for k in range(0, len(row), 1 << 15):
             mine = slice(k, k + (1 << 15))
-            firsts["h1"][mine], firsts["h2"][mine] = window_hashes(data[at[mine, None] + np.arange(LENGTH)])
+            firsts["h1"][mine], firsts["h2"][mine] = hashes(data[at[mine, None] + np.arange(LENGTH)])
         more = by_document(keys[row], firsts)
         more = more.append_column("firsts", more.column("entries")).set_column(2, "entries", pa.nulls(len(more), pa.binary()))
         out = pa.concat_tables([out, more])
     return out
 
 
-def window_hashes(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of each row of bytes."""
-    padded = np.zeros((len(windows), -(-LENGTH // 8) * 8), np.uint8)
-    padded[:, :LENGTH] = windows
-    out = []
-    for factor, start in ((FACTOR, 17), (0xC2B2AE3D27D4EB4F, 91)):
-        h = np.full(len(windows), start, np.uint64)
-        for column in padded.view("<u8").T:
-            h = (h ^ column) * np.uint64(factor)
-            h ^= h >> np.uint64(31)
-        out.append(h.view(np.int64))
-    return out[0], out[1]
-
-
 MARKS = f"{BY_DOCUMENT}, firsts binary"
 
 
-def _marks_of_firsts(marks: DataFrame) -> DataFrame:
-    """Spans of the windows that are first in their bucket and not first in the corpus."""
+def _marks_of_firsts(marks: DataFrame, texts: DataFrame) -> DataFrame:
+    """Spans of the windows that are first in their bucket and not first in the corpus. Windows whose hash is there once are settled; the bytes of the
+    others are fetched from ``texts`` and grouped, so that no hash decides."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,6 +362,12 @@ def _marks_of_firsts(marks: DataFrame) -> DataFrame:
             values = [keys[0], keys[1], np.ascontiguousarray(whole["h1"]), np.ascontiguousarray(whole["h2"]), whole["start"].astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], ["key_id", "key_text", "h1", "h2", "start"])
 
+    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (raw, starts) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                keys = [pa.array(np.repeat(batch.column(i)[k].as_py(), len(starts)), pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(starts, pa.int64()), pa.array([raw[x : x + LENGTH] for x in starts], pa.binary())], ["key_id", "key_text", "start", "bytes"])
+
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
@@ -376,9 +380,13 @@ def _marks_of_firsts(marks: DataFrame) -> DataFrame:
 
     given = marks.where("firsts is not null").select("key_id", "key_text", "firsts")
     windows = stored(given.mapInArrow(rows, "key_id long, key_text long, h1 long, h2 long, start long"), "windows")
+    again = stored(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "again")
+    wanted = windows.join(again, ["h1", "h2"]).groupBy("key_id", "key_text").agg(F.collect_list("start").alias("starts"))
+    read = texts.join(stored(wanted, "wanted"), ["key_id", "key_text"]).select("key_id", "key_text", "raw", "starts")
+    read = stored(read.mapInArrow(fetched, "key_id long, key_text long, start long, bytes binary"), "fetched")
     at = F.struct("key_id", "key_text", "start")
-    first = stored(windows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"), "firsts")
-    later = windows.join(first, ["h1", "h2"]).where(at != F.col("first"))
+    first = stored(read.groupBy("bytes").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("bytes", "first"), "firsts")
+    later = read.join(first, "bytes").where(at != F.col("first"))
     return later.groupBy("key_id", "key_text").agg(F.collect_list("start").alias("starts")).mapInArrow(spans, BY_DOCUMENT)
 
 
@@ -464,6 +472,20 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, CUT)
 
 
+def window_hashes(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each row of bytes."""
+    padded = np.zeros((len(windows), -(-LENGTH // 8) * 8), np.uint8)
+    padded[:, :LENGTH] = windows
+    out = []
+    for factor, start in ((FACTOR, 17), (0xC2B2AE3D27D4EB4F, 91)):
+        h = np.full(len(windows), start, np.uint64)
+        for column in padded.view("<u8").T:
+            h = (h ^ column) * np.uint64(factor)
+            h ^= h >> np.uint64(31)
+        out.append(h.view(np.int64))
+    return out[0], out[1]
+
+
 def _once_each(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with one row for each key of ``facts``; only rows whose key is there twice or more move."""
     doubled = stored(facts.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "doubled")
@@ -473,15 +495,16 @@ def _once_each(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(doubled, keys, "left_anti").unionByName(one)
 
 
-def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_max: int = GROUP_MAX) -> DataFrame:
+def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group_max: int = GROUP_MAX, hashes: Hashes = window_hashes) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row of ``docs``."""
     spark = docs.sparkSession
-    n = shuffle_partitions(spark)
     keyed_docs, a, b = keyed(docs.select(F.col(doc_id), F.col(text)), doc_id, text)
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = keyed_docs.select(F.col(a).alias("key_id"), F.col(b).alias("key_text"), raw.alias("raw"))
     key = F.struct("key_id", "key_text")
     facts = stored(rows.select("key_id", "key_text", F.length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("sha")), "facts")
+    total = facts.agg(F.sum("n_bytes")).first()[0] or 0
+    n = max(shuffle_partitions(spark), total // BUCKET_TEXT)
     texts = _once_each(rows, facts, ["key_id", "key_text"])
     # stored, so that the join reads two plain shuffles and adaptive execution can split a text with very many copies
     firsts = stored(facts.groupBy("sha").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "firsts")
@@ -492,10 +515,10 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     twice = _dealt(texts, n, False).groupBy("bucket").applyInArrow(lambda group: repeated(group, group_max), BY_DOCUMENT)
     wanted = twice.groupBy("key_id", "key_text").agg(F.collect_list("entries").alias("entries")).join(lead, ["key_id", "key_text"], "left_semi")
     once = lambda rows: texts.join(rows, ["key_id", "key_text"]).select("key_id", "key_text", "raw", "entries")
-    marks = stored(_dealt(once(stored(wanted, "anchors")), n, True).groupBy("bucket").applyInArrow(marked, MARKS), "marks")
+    marks = stored(_dealt(once(stored(wanted, "anchors")), n, True).groupBy("bucket").applyInArrow(lambda group: marked(group, hashes), MARKS), "marks")
     entries = marks.where("entries is not null").select("key_id", "key_text", "entries")
     if not marks.where("firsts is not null").isEmpty():
-        entries = entries.unionByName(_marks_of_firsts(marks))
+        entries = entries.unionByName(_marks_of_firsts(marks, texts))
     spans = entries.groupBy("key_id", "key_text").agg(F.collect_list("entries").alias("entries"))
     found = _cut(once(spans)).dropDuplicates(["key_id", "key_text"])
 
