@@ -50,32 +50,83 @@ def test_empty_tables(spark, docs):
     assert contamination.find_items(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def removed_of(out, kept, removed):
+    return {r["doc_id"]: (r[kept], [(s["start"], s["stop"]) for s in r[removed] or []]) for r in out.collect()}
+
+
 def test_lines_keep_the_earliest_with_offsets(docs):
     line = "One two  three four FIVE"
-    rows = [(5, f"first\n{line}\nlast"), (3, line.lower()), (7, f"é {line}\n{line} "), (8, None), (9, "")]
-    out, kept, removed = line_hash.dedup_units(docs(rows).withColumn("removed_spans", F.lit("mine")))
-    got = {r["doc_id"]: (r[kept], [(s["start"], s["stop"]) for s in r[removed] or []]) for r in out.collect()}
+    rows = [(5, f"first\n{line}\nlast"), (3, line.lower()), (7, f"é {line}\n{line} "), (8, None), (9, ""), (10, " \n\n")]
+    out, kept, removed = line_hash.dedup_units(docs(rows).withColumn("found_spans", F.lit("mine")).withColumn("cut", F.lit(1)), unit="line", run_chars=0)
+    got = removed_of(out, kept, removed)
     assert got[3] == (line.lower(), [])
-    assert got[5] == ("first\nlast", [(6, 6 + len(line))])
-    assert got[7] == (f"é {line}", [(len(line) + 3, 2 * len(line) + 4)])
-    assert got[8] == (None, []) and got[9] == ("", [])
+    assert got[5] == ("first\nlast", [(6, 7 + len(line))])
+    assert got[7] == (f"é {line}\n", [(len(line) + 3, 2 * len(line) + 4)])
+    assert got[8] == (None, []) and got[9] == ("", []) and got[10] == (" \n\n", [])
 
 
 def test_paragraphs(docs):
     p = "alpha beta gamma\ndelta epsilon"
-    out, kept, _ = line_hash.dedup_units(docs([(1, f"{p}\n\nrest"), (2, f"head\n\n{p}\n")]), unit="paragraph")
+    out, kept, _ = line_hash.dedup_units(docs([(1, f"{p}\n\nrest"), (2, f"head\n\n{p}\n")]), unit="paragraph", run_chars=0)
     assert {r["doc_id"]: r[kept] for r in out.collect()} == {1: f"{p}\n\nrest", 2: "head\n\n"}
 
 
+def brute_runs(rows, run_chars):
+    """(kept text, removed spans) by document, one unit at a time."""
+    seen, out = set(), {}
+    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        units, start = [], 0
+        for k in range(1, len(text or "") + 1):
+            end = k == len(text) or (text[k - 1] in " \t\n" and text[k] not in " \t\n")
+            if end and (k == len(text) or "\n" in text[len(text[:k].rstrip()) : k] or text[:k].rstrip()[-1:] in (".", "!", "?")):
+                units.append((start, k))
+                start = k
+        names = [" ".join(text[a:b].lower().split()) for a, b in units]
+        real = [k for k, x in enumerate(names) if x]
+        runs = []
+        for k in real:
+            if names[k] in seen:
+                if runs and real.index(runs[-1][-1]) + 1 == real.index(k):
+                    runs[-1].append(k)
+                else:
+                    runs.append([k])
+            seen.add(names[k])
+        gone = [(units[r[0]][0], units[r[-1]][1]) for r in runs if sum(len(names[k]) for k in r) >= run_chars]
+        kept = "".join(c for k, c in enumerate(text or "") if not any(a <= k < b for a, b in gone))
+        out[i] = (None if text is None else kept, gone)
+    return out
+
+
+def test_runs_against_brute_force(docs, words):
+    rng = random.Random(4)
+    pool = [" ".join(words(rng.randint(1, 9))) for _ in range(40)]
+    passages = [[rng.choice(pool) + "." for _ in range(rng.randint(1, 6))] for _ in range(8)]
+    rows = [(None, "A b. C d.\nE f"), (400, ""), (401, None), (402, pool[0]), (403, pool[0]), (404, ". ".join([" ".join(words(9)) for _ in range(4000)]))]
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            parts += rng.choice(passages) if rng.random() < 0.6 else [" ".join(words(7)) + rng.choice([".", "!", ""])]
+        rows.append((i, "".join(x + rng.choice([" ", "\n", "\n\n", "  "]) for x in parts)))
+    for run_chars in (0, 60, 150):
+        assert removed_of(*line_hash.dedup_units(docs(rows), run_chars=run_chars)) == brute_runs(rows, run_chars)
+
+
+def test_units_of_equal_rows_and_other_scripts(docs, words):
+    text = " ".join(" ".join(words(8)) + "." for _ in range(6))
+    han = "".join(chr(0x4E00 + k) + ("。" if k % 20 == 19 else "") for k in range(400))
+    got = sorted((r[0], r["kept_text"]) for r in line_hash.dedup_units(docs([(1, text), (1, text), (2, text), (3, han), (4, "x y. " + han)]))[0].collect())
+    assert got == [(1, text), (1, text), (2, ""), (3, han), (4, "x y. ")]
+
+
 def brute_chunks(rows):
     seen, out = {}, {}
     for i, text in sorted(rows):
         lines, keep = (text or "").encode().split(b"\n"), []
         for first, n in line_chunks.chunks(lines):
             raw = b"\n".join(lines[first : first + n])
-            if n >= 2 and len(raw.split()) >= 5 and raw in seen and seen[raw] != (i, first):
+            if n >= 2 and len(raw.decode()) >= 25 and raw in seen and seen[raw] != (i, first):
                 continue
-            if n >= 2 and len(raw.split()) >= 5:
+            if n >= 2 and len(raw.decode()) >= 25:
                 seen.setdefault(raw, (i, first))
             keep += lines[first : first + n]
         out[i] = b"\n".join(keep).decode()
@@ -106,6 +157,15 @@ def test_chunk_boundaries_resist_shifts(words):
     assert len(alone & shifted) >= len(alone) - 3
 
 
+def test_last_lines_go_with_the_chunk_before(docs, words):
+    assert all(n >= 2 for lines in range(2, 40) for _, n in line_chunks.chunks([str(k).encode() for k in range(lines)]))
+    text = "\n".join(" ".join(words(6)) for _ in range(9))
+    han = "\n".join("".join(chr(0x4E00 + 40 * k + j) for j in range(30)) for k in range(5))
+    rows = [(1, text), (2, text), (3, han), (4, han), (None, han), (5, "one line"), (6, "one line")]
+    out, kept, _ = line_chunks.dedup_chunks(docs(rows))
+    assert {r["doc_id"]: r[kept] for r in out.collect()} == {1: text, 2: "", 3: "", 4: "", None: han, 5: "one line", 6: "one line"}
+
+
 def test_equal_rows_are_one_document(docs, words):
     text = "\n".join(" ".join(words(6)) for _ in range(8))
     out, kept, _ = line_chunks.dedup_chunks(docs([(1, text), (1, text), (2, text)]))

@@ -28,7 +28,7 @@ def kept_lines(texts: pd.Series, removed: pd.Series) -> pd.Series:
     """Each text without the lines whose numbers ``removed`` has, None where there was no text."""
 
     def cut(text, gone):
-        if text is None or gone is None or not len(gone):
+        if text is None or gone is None:
             return text
         gone = set(gone)
         return "\n".join([x for i, x in enumerate(text.split("\n")) if i not in gone])
@@ -36,18 +36,26 @@ def kept_lines(texts: pd.Series, removed: pd.Series) -> pd.Series:
     return pd.Series([cut(x, g) for x, g in zip(texts, removed, strict=True)], dtype=object)
 
 
+def joined_spans(docs: DataFrame, key: tuple[str, str], spans: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, str]:
+    """``docs`` (with its key columns, which go) with a sorted array of its ``spans``, null for none, and the name of that column.
+    ``spans`` has ``key_id, key_text`` and ``fields``; documents that occur as several equal rows list a span once."""
+    name = free_name(docs, "found_spans")
+    a, b = free_name(docs, "spans_id"), free_name(docs, "spans_tie")
+    listed = F.array_sort(F.collect_set(F.struct(*fields))).alias(name)
+    found = spans.groupBy("key_id", "key_text").agg(listed).withColumnsRenamed({"key_id": a, "key_text": b})
+    same = (F.col(key[0]) == F.col(a)) & (F.col(key[1]) == F.col(b))
+    return docs.join(found, same, "left").drop(*key, a, b), name
+
+
 def cut_lines(docs: DataFrame, key: tuple[str, str], later: DataFrame, text: str) -> tuple[DataFrame, str, str]:
-    """``docs`` (with its key columns, which go) with the removed spans and the kept text, and the names of the two new columns. ``later``
-    has a row per span to remove: ``key_id, key_text, start, stop, line, n_lines``; documents that occur as several equal rows
-    list a span once."""
-    removed, kept = free_name(docs, "removed_spans"), free_name(docs, "kept_text")
-    a, b = free_name(docs, "gone_id"), free_name(docs, "gone_text")
-    spans = F.array_sort(F.collect_set(F.struct("start", "stop", "line", "n_lines")))
-    gone = later.groupBy("key_id", "key_text").agg(spans.alias(removed)).withColumnsRenamed({"key_id": a, "key_text": b})
+    """``docs`` (with its key columns, which go) with the removed spans and the kept text, and the names of the two new columns.
+    ``later`` has a row per span to remove: ``key_id, key_text, start, stop, line, n_lines``."""
+    out, removed = joined_spans(docs, key, later, ("start", "stop", "line", "n_lines"))
+    kept = free_name(out, "kept_text")
     lines = F.flatten(F.transform(removed, lambda s: F.sequence(s["line"], s["line"] + s["n_lines"] - 1)))
-    same = (F.col(key[0]) == F.col(a)) & (F.col(key[1]) == F.col(b))
-    out = docs.join(gone, same, "left").withColumn(kept, kept_lines(F.col(text), lines))
-    return out.drop(*key, a, b), kept, removed
+    # a text that loses nothing never leaves the JVM
+    cut = kept_lines(F.when(F.col(removed).isNotNull(), F.col(text)), lines)
+    return out.withColumn(kept, F.coalesce(cut, F.col(text))), kept, removed
 
 
 def spans_text(spans: Column) -> Column:
