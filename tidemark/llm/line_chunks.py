@@ -1,13 +1,14 @@
 """Line dedup with content-defined chunks.
 
 A rolling hash over the hashes of the last lines chooses where a chunk of lines ends, so that a passage of lines is cut the
-same way wherever it stands, but for its edges. Chunks of at least ``MIN_LINES`` lines whose 128-bit digest recurs over
-the corpus are fetched from their documents and compared byte by byte with the earliest one by (document id, place); equal
-ones are removed. A chunk whose digest agrees but whose bytes don't stays.
-
-Defined results: null and empty texts stay; chunks of fewer than ``MIN_WORDS`` words stay; rows that share an id are ranked
-by the hash of their texts, and exact repeats of a row are one document whose result each of them gets; an empty table gives
-an empty result; further columns stay.
+same way wherever it stands, but for its edges. Lines at the end of a text that are too few for a chunk belong to the chunk before
+them. Chunks of at least ``MIN_LINES`` lines whose 128-bit digest recurs over the corpus are fetched from their documents and compared
+byte by byte with the earliest one by (document id, place); equal ones are removed. A chunk whose digest agrees but whose bytes
+don't stays. A passage inside a line is not found here.
+
+Defined results: null and empty texts stay; chunks of fewer than ``MIN_CHARS`` code points stay; rows that share an id are ranked
+by the hash of their texts, and exact repeats of a row are one document whose result each of them gets; of equal chunks in one document
+the first stays; a very long text is cut whole, in one task; an empty table gives an empty result; further columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from tidemark.llm.common import stored, table
 from tidemark.llm.spans import cut_lines, keyed, spans_text
 
 #: Lines under the rolling hash; a line ends a chunk if the hash is divisible by DIVISOR; least and most lines of a chunk.
-WINDOW, DIVISOR, MIN_LINES, MAX_LINES, MIN_WORDS = 2, 2, 2, 64, 5
+WINDOW, DIVISOR, MIN_LINES, MAX_LINES = 2, 2, 2, 64
+#: Code points of a chunk, at least, so that a few empty or very short lines that recur by chance stay.
+MIN_CHARS = 25
 FACTOR, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 CHUNKS = "key_id long, key_text long, line int, n_lines int, start long, stop long, digest binary"
 
@@ -42,8 +45,11 @@ def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
         if size >= MAX_LINES or (size >= MIN_LINES and (rolled >> 32) % DIVISOR == 0):
             made.append((first, size))
             first = n + 1
-    if first < len(lines):
-        made.append((first, len(lines) - first))
+    rest = len(lines) - first
+    if rest and rest < MIN_LINES and made:
+        made[-1] = made[-1][0], made[-1][1] + rest  # too few lines for a chunk of their own
+    elif rest:
+        made.append((first, rest))
     return made
 
 
@@ -58,7 +64,7 @@ def chunk_table(docs: DataFrame, text: str, keys: tuple[str, str]) -> DataFrame:
                 for first, n in chunks(lines):
                     size = sum(map(len, lines[first : first + n])) + n - 1
                     raw = x[start : start + size]
-                    if n >= MIN_LINES and len(raw.split()) >= MIN_WORDS:
+                    if n >= MIN_LINES and len(raw.decode()) >= MIN_CHARS:
                         rows.append((i, t, first, n, start, start + size, hashlib.md5(raw, usedforsecurity=False).digest()))
                     start += size + 1
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
