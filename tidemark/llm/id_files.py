@@ -57,7 +57,10 @@ def pack(values: np.ndarray) -> np.ndarray:
         if further:
             need = np.maximum(need[:-further], need[further:])
         runs = int(COUNTS[s])
-        np.putmask(selector, need[:n] <= BITS[s], s)
+        fits = need[:n] <= BITS[s]
+        if not fits.any():
+            break  # longer runs need as many bits at least, and have fewer
+        np.putmask(selector, fits, s)
     steps = COUNTS[selector].tolist()
     starts, at = [], 0
     while at < n:
