@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import contamination, host_quality, line_chunks, line_hash
@@ -193,6 +194,15 @@ def test_items_without_an_id(spark, docs, words):
     bench = spark.createDataFrame([(None, one), (None, two), (7, three)], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in contamination.find_items(docs(rows), bench).collect()} == {(1, None), (2, None), (3, 7)}
     assert [r["doc_id"] for r in contamination.without_items(docs(rows), bench).collect()] == [4]
+    # items of one id match each, so do repeated rows; names that the search uses itself may be there
+    bench = spark.createDataFrame([(7, one), (7, two), (7, one)], "item_id long, text string")
+    clash = docs([*rows, (None, f"{one} {two}"), rows[0]]).withColumns({"found_item": F.lit(1), "found_items": F.lit(2), "item_id": F.lit(3)})
+    got = sorted(((r["doc_id"], r["item_id"]) for r in contamination.find_items(clash, bench).collect()), key=str)
+    assert got == sorted([(1, 7)] * 4 + [(2, 7)] + [(None, 7)] * 3, key=str)
+    left = contamination.without_items(clash, bench)
+    assert left.columns == clash.columns and sorted(r["doc_id"] for r in left.collect()) == [3, 4]
+    with pytest.raises(ValueError, match="item_id"):
+        contamination.find_items(clash, bench, carried=("doc_id", "item_id"))
 
 
 def test_blocks_split_the_items(spark, docs, words, monkeypatch):
@@ -202,3 +212,4 @@ def test_blocks_split_the_items(spark, docs, words, monkeypatch):
     assert len(list(contamination.blocks(bench))) > 2
     rows = [(i, f"a b c {t} d e") for i, t in items]
     assert {(r["doc_id"], r["item_id"]) for r in contamination.find_items(docs(rows), bench).collect()} == {(i, i) for i, _ in items}
+    assert [r["doc_id"] for r in contamination.without_items(docs([*rows, (50, "clean")]), bench).collect()] == [50]

@@ -6,28 +6,33 @@ so that a document with a share of at least THRESHOLD of the item's shingles can
 with the hashes of all its shingles, not with a signature of its own: signatures of equal length lose items that are a few
 thousandths of a document. Candidates are verified by exact shingle containment, on words and not on hashes.
 
-The items are the stated query set. They are taken in blocks of at most BLOCK_SHINGLES shingles, so what every task holds is
-bounded whatever the size of the benchmark; each block goes once over the documents, which never move.
+The items are the stated query set. They are taken in blocks of at most BLOCK_SHINGLES shingles, so that what the driver and every task
+hold is bounded whatever the size of the benchmark; each block goes once over the documents, which never move, and is done and
+given up before the next one is read.
 
 Words are what stands between white space and ASCII punctuation, in lower case. Defined results: a null or empty text and an item
-without a word match nothing; an item without an id matches like any other; repeated rows and items match each; empty tables give an empty result; further columns stay.
+without a word match nothing; an item without an id matches like any other; repeated rows and items, and items of one id, match each;
+a document that matches several items has a row for each; a null document id is carried; a very long text is searched whole, in one
+task; empty tables give an empty result; further columns stay, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from math import ceil
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import free_name, table
+from tidemark.llm.common import free_name, stored, table
 
 SHINGLE, THRESHOLD, BLOCK_SHINGLES = 5, 0.8, 500_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -133,9 +138,8 @@ def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -
         yield block.close()
 
 
-def contained(block: Block, spark: SparkSession):
-    """A column function: the items of ``block`` that a text contains."""
-    shared = spark.sparkContext.broadcast(block)
+def contained(shared: Broadcast) -> Callable[[Column], Column]:
+    """A column function: the items of a broadcast block that a text contains."""
 
     @F.pandas_udf(MATCH)
     def search(texts: pd.Series) -> pd.Series:
@@ -144,28 +148,41 @@ def contained(block: Block, spark: SparkSession):
     return search
 
 
+def by_block(spark: SparkSession, benchmark: DataFrame, rows_of: Callable[[Callable], DataFrame]) -> Iterator[DataFrame]:
+    """``rows_of(search)`` for each block. The rows of all blocks but the last are stored before the next block is made."""
+    ahead = blocks(benchmark)
+    block = next(ahead, None)
+    while block is not None:
+        shared = spark.sparkContext.broadcast(block)
+        rows, block = rows_of(contained(shared)), next(ahead, None)
+        if block is not None:
+            rows = stored(rows, "searched")
+            shared.destroy()
+        yield rows
+
+
+RESULT = ("item_id", "n_shingles", "n_shared", "containment")
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """A row for each document and item that it contains: carried columns, ``item_id, n_shingles, n_shared, containment``."""
-    out = None
-    for block in blocks(benchmark):
-        found: Column = F.explode(contained(block, docs.sparkSession)(F.col(text)))
-        rows = docs.select(*carried, found.alias("found_item"))
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        out = docs.limit(0).select(*carried, F.explode(F.lit(None).cast(MATCH)).alias("found_item"))
-    found = F.col("found_item")
-    return out.select(
-        *carried, found["item"].alias("item_id"), found["n_shingles"].alias("n_shingles"), found["n_shared"].alias("n_shared"), (found["n_shared"] / found["n_shingles"]).alias("containment")
-    )
+    """A row for each document and item that it contains: carried columns, ``item_id, n_shingles, n_shared, containment``. Carried columns of these
+    names must be renamed before."""
+    if clash := {c.lower() for c in carried} & set(RESULT):
+        raise ValueError(f"carried columns have names of the result: {sorted(clash)}")
+    name = free_name(docs, "found_item")
+    parts = list(by_block(docs.sparkSession, benchmark, lambda search: docs.select(*carried, F.explode(search(F.col(text))).alias(name))))
+    out = reduce(DataFrame.unionByName, parts) if parts else docs.limit(0).select(*carried, F.explode(F.lit(None).cast(MATCH)).alias(name))
+    found = F.col(name)
+    shares = (found["item"], found["n_shingles"], found["n_shared"], found["n_shared"] / found["n_shingles"])
+    return out.select(*carried, *[c.alias(n) for c, n in zip(shares, RESULT, strict=True)])
 
 
 def without_items(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that contain no item, with their own columns."""
-    columns = docs.columns
-    for block in blocks(benchmark):
-        flag = free_name(docs, "found_items")
-        docs = docs.withColumn(flag, contained(block, docs.sparkSession)(F.col(text))).where(F.size(flag) == 0).select(*columns)
-    return docs
+    columns, flag, left = docs.columns, free_name(docs, "found_items"), [docs]
+    for rest in by_block(docs.sparkSession, benchmark, lambda search: left[-1].withColumn(flag, search(F.col(text))).where(F.size(flag) == 0).select(*columns)):
+        left.append(rest)
+    return left[-1]
 
 
 def op6_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,16 +190,16 @@ def op6_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D!-/:-@\[-`{-~]+') AS ws FROM documents),
-b AS (SELECT item_id, ws, least(5, len(ws)) AS k FROM
-  (SELECT item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D!-/:-@\[-`{-~]+') AS ws FROM benchmark) WHERE len(ws) > 0),
-bs AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS s
-  FROM (SELECT item_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM b)),
-n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
+WITH d AS (SELECT row_number() OVER () AS did, doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D!-/:-@\[-`{-~]+') AS ws FROM documents),
+b AS (SELECT iid, item_id, ws, least(5, len(ws)) AS k FROM
+  (SELECT row_number() OVER () AS iid, item_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D!-/:-@\[-`{-~]+') AS ws FROM benchmark) WHERE len(ws) > 0),
+bs AS (SELECT DISTINCT iid, k, array_to_string(ws[i:i + k - 1], ' ') AS s
+  FROM (SELECT iid, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM b)),
+n AS (SELECT iid, count(*) AS n_shingles FROM bs GROUP BY iid),
 ks AS (SELECT DISTINCT k FROM bs),
-ds AS (SELECT DISTINCT doc_id, k, array_to_string(ws[i:i + k - 1], ' ') AS s
-  FROM (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM d, ks WHERE len(ws) >= k)),
-m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (k, s) GROUP BY doc_id, item_id)
+ds AS (SELECT DISTINCT did, k, array_to_string(ws[i:i + k - 1], ' ') AS s
+  FROM (SELECT did, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM d, ks WHERE len(ws) >= k)),
+m AS (SELECT did, iid, count(*) AS n_shared FROM ds JOIN bs USING (k, s) GROUP BY did, iid)
 SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
-FROM m JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_shingles - 1e-9
+FROM m JOIN n USING (iid) JOIN d USING (did) JOIN b USING (iid) WHERE n_shared >= 0.8 * n_shingles - 1e-9
 """
