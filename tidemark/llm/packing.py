@@ -1,14 +1,15 @@
 """Best-fit packing with certified bounds.
 
-Documents become pieces of at most ``capacity`` tokens; only longer ones are cut. Pieces are dealt by hash to groups of a
-bounded size, and each group is packed by best-fit decreasing. Dual-feasible functions give each group a lower bound on
-its number of bins: a group that meets it is certified, and packing it again alone is of no use. A group with a gap to its bound,
-or to its volume (which pieces of other groups may fill), gives up all bins that are not full, any other only its emptiest. What
-was given up is dealt to fewer and larger groups (up to MAX_GROUP pieces) and packed again, as long as that saves bins or until the bound of the whole table (from
-the histogram of lengths) is met.
-
-Defined results: a null text is empty and has the end id only; repeated rows are packed each; an empty table gives an empty
-result; further columns are ignored.
+Documents become pieces of at most ``capacity`` tokens; only longer ones are cut. Pieces get a stored draw, so that equal ones spread
+too, are dealt by it to groups of a bounded size, and each group is packed by best-fit decreasing. Dual-feasible functions give each
+group a lower bound on its number of bins: a group that meets it is certified, and packing it again alone is of no use. A group
+with a gap to its bound, or to its volume (which pieces of other groups may fill), gives up all bins that are not full, any other only
+its emptiest. What was given up is dealt to fewer and larger groups (up to MAX_GROUP pieces) and packed again, until the bound of
+the whole table (from the histogram of lengths) is met or a round saves fewer than LEAST_SAVED of the bins that it opened.
+
+Defined results: a null text is empty and has the end id only; a null id is carried; repeated rows are packed each; pieces of equal length are
+taken by id, piece and checksum; a very long text is encoded whole, in one task, and makes many pieces; an empty table gives an empty
+result; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +29,10 @@ from tidemark.llm.tokens import batched, encoder
 CAPACITY, END_ID = 2048, 0
 #: Pieces of a group, as aimed at: in the first round, and at most (each round has four times the pieces of the one before).
 GROUP, MAX_GROUP = 32_768, 131_072
-MAX_ROUNDS = 6
+#: A round of exchange that saves a smaller share of the bins that it opened is the last; with few bins every saving counts.
+LEAST_SAVED = 1e-4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = f"{PIECES}, sequence_id long, offset long, released boolean, n_bins long, bound long"
+PLACED = f"{PIECES}, draw long, sequence_id long, offset long, released boolean, n_bins long, bound long"
 
 
 def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
@@ -109,32 +111,39 @@ def _packed(rows: DataFrame, n_groups: int, turn: int, capacity: int) -> DataFra
         frame["offset"], frame["released"], frame["n_bins"], frame["bound"] = offsets, given[bins], len(fill), bound
         return frame[[c.split()[0] for c in PLACED.split(", ")]]
 
-    key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece", "start", "ids_crc32", F.lit(turn))
+    key = F.xxhash64("draw", F.lit(turn))
     return rows.withColumn("group", F.pmod(key, F.lit(n_groups)).cast("int")).groupBy("group").applyInPandas(pack, PLACED)
 
 
+def with_draw(rows: DataFrame) -> DataFrame:
+    """``rows``, stored with a number of their own."""
+    return stored(rows.withColumn("draw", F.monotonically_increasing_id()), "pieces")
+
+
 def pack_pieces(rows: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """``rows`` (a stored table of pieces) with ``sequence_id`` and ``offset``."""
+    """Pieces with ``sequence_id`` and ``offset``."""
+    names = [*rows.columns, "sequence_id", "offset"]
+    rows = with_draw(rows)
     histogram = rows.groupBy("length").count().toPandas()  # a row per length: at most ``capacity``
     if not len(histogram):
-        return rows.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+        return rows.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).select(*names)
     total = int(histogram["count"].sum())
     bound = lower_bound(histogram["length"].to_numpy(), histogram["count"].to_numpy(), capacity)
-    names = [*rows.columns, "sequence_id", "offset"]
     closed: list[DataFrame] = []
     current = stored(_packed(rows, -(-total // group), 0, capacity), "packed")
-    n_closed = 0
-    for turn in range(1, MAX_ROUNDS + 1):
+    n_closed, turn, going = 0, 1, True
+    while going:
         bins = current.groupBy("sequence_id").agg(F.first("released").alias("released"), F.count("*").alias("n"))
         n_open, n_done, n_pieces = (int(x or 0) for x in bins.agg(F.sum(F.col("released").cast("long")), F.sum((~F.col("released")).cast("long")), F.sum(F.when(F.col("released"), F.col("n")))).first())
         if n_closed + n_done + n_open <= bound or n_open < 2:
             break
         again = stored(_packed(current.where("released").select(*rows.columns), -(-n_pieces // min(group * 4**turn, max(group, MAX_GROUP))), turn, capacity), "packed")
-        if again.select("sequence_id").distinct().count() >= n_open:
+        saved = n_open - again.select("sequence_id").distinct().count()
+        if saved <= 0:
             break
         closed.append(current.where(~F.col("released")).select(*names))
         n_closed += n_done
-        current = again
+        current, turn, going = again, turn + 1, saved >= LEAST_SAVED * n_open
     out = current.select(*names)
     for part in closed:
         out = out.unionByName(part)
@@ -146,7 +155,7 @@ def packed_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return pack_pieces(stored(pieces(docs, tokenizer), "pieces"))
+    return pack_pieces(pieces(docs, tokenizer))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
