@@ -1,10 +1,11 @@
 """The near-copy stage against exact similarity, with planted near copies."""
 
+import os
 import random
 
 import corpus_pipeline
 
-from tidemark.llm import near_copies
+from tidemark.llm import common, near_copies
 
 
 def similarity(x, y):
@@ -91,3 +92,10 @@ def test_clashing_columns_stay(docs, words):
     rows = docs([(1, " ".join(words(20))), (2, None), (3, None)]).withColumns({"key_id": near_copies.F.lit("x"), "kept_id": near_copies.F.lit(1), "digest": near_copies.F.lit(2)})
     got = near_copies.first_of_each_group(rows)
     assert got.columns == rows.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 2]
+
+
+def test_stored_tables_go(spark, docs):
+    kept = common.stored(docs([(1, "a")]), "kept")
+    (path,) = {f.rsplit("/", 1)[0] for f in kept.inputFiles()}
+    assert common.clear_stored(spark) >= 1 and not os.path.exists(path.removeprefix("file://"))
+    assert common.clear_stored(spark) == 0

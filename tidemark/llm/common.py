@@ -31,9 +31,24 @@ def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", compression).parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders that :func:`stored` has written in this session.
+_written: list[str] = []
+
+
+def clear_stored(spark: SparkSession) -> int:
+    """Delete all tables that :func:`stored` wrote since the last call; returns how many. To be called once the results that read them are
+    written: they are needed until then, also to make up for lost executors."""
+    gone, _written[:] = list(_written), []
+    for path in gone:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(gone)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores before it until no column of ``df`` has that name (case ignored)."""
     taken = {c.lower() for c in df.columns}
