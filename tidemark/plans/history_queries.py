@@ -135,7 +135,13 @@ def last_write(spark, sf_dir):
 
 
 def dataset_fingerprint(spark, sf_dir):
-    return history.dataset_fingerprint(Views(spark, sf_dir).obs())
+    """The fingerprint does not depend on the order of the rows, and tells one changed value."""
+    rows = Views(spark, sf_dir).obs()
+    mark = lambda df, name: history.dataset_fingerprint(df).select("n_rows", F.col("fingerprint").alias(name))
+    moved = rows.repartition(7, "period").sortWithinPartitions(F.desc("seq"))
+    changed = rows.withColumn("value", F.col("value") + F.when(F.col("seq") == 1, 0.01).otherwise(0.0))
+    all_ = mark(rows, "one").join(mark(moved, "two"), "n_rows").join(mark(changed, "three"), "n_rows")  # a row each
+    return all_.select("n_rows", (F.col("one") == F.col("two")).alias("same_in_any_order"), (F.col("one") != F.col("three")).alias("tells_a_change"))
 
 
 def queries() -> dict:
@@ -199,6 +205,7 @@ def oracle_sql() -> dict:
         "change_only_append": """WITH c AS (SELECT entity, period, obs_date, seq, floor(value / 50) AS value FROM v_obs_ev),
           w AS (SELECT *, lag(value) OVER s AS p, row_number() OVER s AS n FROM c WINDOW s AS (PARTITION BY entity, period, obs_date ORDER BY seq))
           SELECT entity, period, obs_date, seq, value FROM w WHERE n = 1 OR abs(value - p) >= 1e-9""",
+        "dataset_fingerprint": "SELECT count(*) AS n_rows, true AS same_in_any_order, bool_or(seq = 1) AS tells_a_change FROM v_obs",
         "last_write": "SELECT entity, period, obs_date, max(seq) AS seq, arg_max(value, seq) AS value FROM v_obs GROUP BY 1, 2, 3",
     }
     dates = {
