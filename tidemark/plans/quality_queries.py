@@ -73,9 +73,10 @@ def momentum_regime(spark, sf_dir):
 
 
 def leaders(spark, sf_dir):
-    rows = _moves(spark, sf_dir).where("snap_date = DATE'1998-06-01'").select(F.concat_ws(" ", "entity", "period").alias("entity"), "near", "far")
-    val = valuation.comparison(_valuation(spark, sf_dir), "1998E").select("entity", "pe", "cagr_2y")
-    out = valuation.leaders(rows.join(val, "entity", "left"))
+    """Over all months of all series."""
+    rows = _moves(spark, sf_dir).select(F.concat_ws(" ", "entity", "period").alias("series"), F.concat_ws(" ", "entity", "period", F.date_format("snap_date", "yyyy-MM")).alias("entity"), "near", "far")
+    val = valuation.comparison(_valuation(spark, sf_dir), "1998E").select(F.col("entity").alias("series"), "pe", "cagr_2y")
+    out = valuation.leaders(rows.join(val, "series", "left"))
     return out.select("headline", "entity", F.round("metric", 6).alias("metric"))
 
 
@@ -111,7 +112,7 @@ def entity_gate(spark, sf_dir):
 
 
 def watchlist_diff(spark, sf_dir):
-    rows = Views(spark, sf_dir).snap().where("snap_date = DATE'1997-03-01'")
+    rows = Views(spark, sf_dir).snap()
     received = rows.where("entity <> 'ASIA'").select("entity")
     expected = rows.where("entity <> 'EUROPE'").select("entity").unionByName(spark.createDataFrame([("ARCTIC",)], "entity string"))
     return quality.watchlist_diff(received, expected)
@@ -163,15 +164,16 @@ def gate_report(spark, sf_dir):
 
 
 def completeness(spark, sf_dir):
-    gate = quality.entity_gate(_rows(spark, sf_dir), _prices(spark, sf_dir)).where("snapshot_id = '1997-03-01'")
+    gate = quality.entity_gate(_rows(spark, sf_dir), _prices(spark, sf_dir))
     return quality.completeness(gate.withColumn("collected", ~F.col("rejected")))
 
 
 def known_good_fill(spark, sf_dir):
+    """Current values of the entities before C; the newest month of each is the last known good."""
     snap = Views(spark, sf_dir).snap().groupBy("entity", "snap_date").agg(F.round(F.avg("value"), 4).alias("value"))
+    newest = snap.groupBy("entity").agg(F.max_by("value", "snap_date").alias("value"))
     watch = snap.select("entity").distinct().unionByName(spark.createDataFrame([("ARCTIC",)], "entity string"))
-    current = snap.where("snap_date = DATE'1997-03-01' AND entity < 'C'")
-    return quality.filled_from_known_good(watch, current, snap.where("snap_date = DATE'1997-02-01'"), ("value",))
+    return quality.filled_from_known_good(watch, newest.where("entity < 'C'"), newest.where("entity <> 'ASIA'"), ("value",))
 
 
 def queries() -> dict:
@@ -232,7 +234,7 @@ def oracle_sql() -> dict:
             WHEN near >= 3 AND far >= 3 THEN 'Broad Upward Revision' WHEN near <= -3 AND far <= -3 THEN 'Broad Downward Revision' WHEN abs(near) < 1 AND abs(far) < 1 THEN 'Stable'
             WHEN near > 0 AND far > 0 THEN 'Mild Upward' WHEN near < 0 AND far < 0 THEN 'Mild Downward' ELSE 'Divergent / Mixed' END AS regime,
           CASE WHEN coverage >= 10 THEN 'High' WHEN coverage >= 5 THEN 'Medium' WHEN coverage >= 2 THEN 'Low' WHEN coverage = 1 THEN 'Single estimate' ELSE 'Unknown' END AS confidence FROM m2""",
-        "leaders": f"WITH {MOVES}, {GROWTH}, jn AS (SELECT concat_ws(' ', m2.entity, period) AS entity, near, far, v.pe, v.cagr_2y FROM m2 LEFT JOIN v ON v.entity = concat_ws(' ', m2.entity, period) AND slot = '1998E' WHERE snap_date = DATE '1998-06-01') "
+        "leaders": f"WITH {MOVES}, {GROWTH}, jn AS (SELECT concat_ws(' ', m2.entity, period, strftime(snap_date, '%Y-%m')) AS entity, near, far, v.pe, v.cagr_2y FROM m2 LEFT JOIN v ON v.entity = concat_ws(' ', m2.entity, period) AND slot = '1998E') "
         + " UNION ALL ".join(
             f"SELECT * FROM ({lead.format(n, c, f, w)}) WHERE entity IS NOT NULL"
             for n, c, f, w in (("largest_up", "near", "max", "near > 0"), ("largest_down", "near", "min", "near < 0"), ("largest_far_up", "far", "max", "far > 0"), ("lowest_pe", "pe", "min", "pe > 0"), ("fastest_cagr", "cagr_2y", "max", "true"))
@@ -243,7 +245,7 @@ def oracle_sql() -> dict:
           SELECT d.snap_date AS obs_date, p.period, round(a.value, 6) AS value FROM d CROSS JOIN p LEFT JOIN a ON a.snap_date = d.snap_date AND a.period = p.period""",
         "row_errors": f"WITH {ERRORS} SELECT snapshot_id, entity, period_name, array_to_string(errors, ';') AS errors FROM er",
         "entity_gate": f"WITH {ERRORS} SELECT snapshot_id, entity, n_usable, zero_coverage, len(errors) > 0 AS rejected, array_to_string(errors, ';') AS errors FROM gt",
-        "watchlist_diff": """WITH s AS (SELECT DISTINCT entity FROM v_snap WHERE snap_date = DATE '1997-03-01'), r AS (SELECT entity FROM s WHERE entity <> 'ASIA'),
+        "watchlist_diff": """WITH s AS (SELECT DISTINCT entity FROM v_snap), r AS (SELECT entity FROM s WHERE entity <> 'ASIA'),
           e AS (SELECT entity FROM s WHERE entity <> 'EUROPE' UNION ALL SELECT 'ARCTIC') SELECT coalesce(e.entity, r.entity) AS entity,
           CASE WHEN r.entity IS NULL THEN 'missing' WHEN e.entity IS NULL THEN 'unexpected' ELSE 'received' END AS status FROM e FULL OUTER JOIN r ON e.entity = r.entity""",
         "last_known_good": """WITH r AS (SELECT CAST(snap_date AS VARCHAR) AS snapshot_id, entity, period, CAST(round(value, 4) AS VARCHAR) AS value, month(snap_date) % 3 = 0 AS failed FROM v_snap),
@@ -261,11 +263,11 @@ def oracle_sql() -> dict:
           s AS (SELECT *, CASE WHEN reason IS NULL THEN 'ok' WHEN reason = 'missing_watchlist_tickers' THEN 'partial'
             WHEN reason IN ('validation_failed', 'invalid_snapshot_timestamp', 'future_snapshot_timestamp') THEN 'reject' ELSE 'needs_verification' END AS status FROM d)
           SELECT snapshot_id, status, reason, status IN ('ok', 'partial') AS publishable FROM s""",
-        "completeness": f"""WITH {ERRORS}, o AS (SELECT count(*) FILTER (len(errors) = 0) AS n_ok, count(*) AS n_expected FROM gt WHERE snapshot_id = '1997-03-01'),
+        "completeness": f"""WITH {ERRORS}, o AS (SELECT count(*) FILTER (len(errors) = 0) AS n_ok, count(*) AS n_expected FROM gt),
           s AS (SELECT *, CASE WHEN n_ok = 0 THEN 'failed' WHEN n_ok < n_expected THEN 'partial' ELSE 'complete' END AS status FROM o)
           SELECT *, CASE WHEN status = 'partial' THEN 'PARTIAL · ' || n_ok || '/' || n_expected ELSE upper(status) END AS label FROM s""",
         "known_good_fill": """WITH s AS (SELECT entity, snap_date, round(avg(value), 4) AS value FROM v_snap GROUP BY 1, 2), w AS (SELECT DISTINCT entity FROM s UNION ALL SELECT 'ARCTIC'),
-          c AS (SELECT * FROM s WHERE snap_date = DATE '1997-03-01' AND entity < 'C'), p AS (SELECT * FROM s WHERE snap_date = DATE '1997-02-01'),
+          nw AS (SELECT entity, arg_max(value, snap_date) AS value FROM s GROUP BY 1), c AS (SELECT * FROM nw WHERE entity < 'C'), p AS (SELECT * FROM nw WHERE entity <> 'ASIA'),
           j AS (SELECT w.entity, coalesce(c.value, p.value) AS value, CASE WHEN c.entity IS NOT NULL THEN NULL WHEN p.entity IS NOT NULL THEN 'STALE' ELSE 'FAILED' END AS badge
             FROM w LEFT JOIN c ON c.entity = w.entity LEFT JOIN p ON p.entity = w.entity)
           SELECT entity, value, badge, CASE badge WHEN 'STALE' THEN 'last known good shown' WHEN 'FAILED' THEN 'no data' END AS gap_note, badge IS NOT NULL AS is_filled FROM j""",
