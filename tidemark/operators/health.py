@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import month_key
@@ -14,26 +14,26 @@ from tidemark.operators import history
 HEALTHY, DEGRADED, FAILED = 0, 1, 2
 
 
-def check(name: str, counted: DataFrame, level: int, unless: str = "n = 0") -> DataFrame:
-    """One check: healthy if ``unless`` holds for the row count ``n``, else of ``level``."""
-    return counted.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n", F.when(F.expr(unless), HEALTHY).otherwise(level).alias("rank"))
+def checked(rows: DataFrame, *checks: tuple[str, Column, int, bool]) -> DataFrame:
+    """A row for each of ``checks`` (name, which rows count, level, whether there must be some instead of none), from one pass over ``rows``."""
+    counts = rows.agg(*[F.count_if(counted).alias(name) for name, counted, _, _ in checks])
+    found = [F.struct(F.lit(name).alias("check"), F.col(name).alias("n"), F.when((F.col(name) > 0) == some, HEALTHY).otherwise(level).alias("rank")) for name, _, level, some in checks]
+    return counts.select(F.inline(F.array(*found)))
 
 
 def history_health(rows: DataFrame, runtime: DataFrame, readiness: DataFrame, quarantined: DataFrame, freshness: DataFrame) -> DataFrame:
     """``check, n, rank``: conflicts, exact duplicates, emptiness, rows in a wrong month partition, difference to the runtime table, entities without a valid
     window, quarantined snapshots, stale entities."""
-    groups = history.identity_groups(rows)
     columns = list(history.OBSERVATION)
-    misplaced = rows.where(month_key(F.col("obs_date")) != F.col("month")) if "month" in rows.columns else rows.limit(0)
+    every, kind = F.lit(True), F.col("kind")
+    misplaced = month_key(F.col("obs_date")) != F.col("month") if "month" in rows.columns else F.lit(False)
     checks = [
-        check("conflicting_identities", groups.where("kind = 'conflict'"), FAILED),
-        check("exact_duplicates", groups.where("kind = 'exact_duplicate'"), DEGRADED),
-        check("history_rows", rows, FAILED, "n > 0"),
-        check("wrong_month", misplaced, FAILED),
-        check("runtime_differences", history.table_differences(rows.select(*columns), runtime.select(*columns)), FAILED),
-        check("not_ready", readiness.where("not (ready_30 or ready_60 or ready_90)"), DEGRADED),
-        check("quarantined", quarantined, DEGRADED),
-        check("stale_entities", freshness.where("stale"), DEGRADED),
+        checked(history.identity_groups(rows), ("conflicting_identities", kind == "conflict", FAILED, False), ("exact_duplicates", kind == "exact_duplicate", DEGRADED, False)),
+        checked(rows, ("history_rows", every, FAILED, True), ("wrong_month", misplaced, FAILED, False)),
+        checked(history.table_differences(rows.select(*columns), runtime.select(*columns)), ("runtime_differences", every, FAILED, False)),
+        checked(readiness, ("not_ready", ~F.col("ready_30") & ~F.col("ready_60") & ~F.col("ready_90"), DEGRADED, False)),
+        checked(quarantined, ("quarantined", every, DEGRADED, False)),
+        checked(freshness, ("stale_entities", F.col("stale"), DEGRADED, False)),
     ]
     return reduce(DataFrame.unionByName, checks)
 
