@@ -20,7 +20,7 @@ def finite(value: Column) -> Column:
 def to_num(text: Column) -> Column:
     """Text to a finite double: thousands separators, percent and dollar signs go; anything else that is not a plain
     number, "true" and sentinels included, is NULL."""
-    s = F.trim(F.regexp_replace(F.trim(text.cast("string")), "[,%$]", ""))
+    s = F.trim(F.translate(F.trim(text.cast("string")), ",%$", ""))
     return finite(F.when(s.rlike(NUMBER), s.try_cast("double")))
 
 

@@ -51,18 +51,17 @@ def classified(raw: DataFrame) -> DataFrame:
     """``raw`` with the canonical columns and ``reject_reason``, the first reason that applies (NULL: admitted)."""
     rows = canonical_columns(raw, ALIASES)
     c = lambda n: F.col(f"c_{n}")
-    # each parsed once: the optimizer keeps columns that are used several times apart
-    rows = rows.withColumns(
-        {
-            "p_month": period_month(c("period")),
-            "p_year": period_year(c("period")),
-            "p_value": to_num(c("value")),
-            "p_coverage": to_num(c("coverage")),
-            "p_date": strict_date_of(F.substring(F.trim(c("date")), 1, 10)),
-            "p_entity": entity_key(c("entity")),
-            "p_slot": looks_like_slot(c("period")),
-        }
-    )
+    # each parsed once, by a generator: the optimizer would push filters on what follows below a projection, and parse again there
+    parsed = {
+        "p_month": period_month(c("period")),
+        "p_year": period_year(c("period")),
+        "p_value": to_num(c("value")),
+        "p_coverage": to_num(c("coverage")),
+        "p_date": strict_date_of(F.substring(F.trim(c("date")), 1, 10)),
+        "p_entity": entity_key(c("entity")),
+        "p_slot": looks_like_slot(c("period")),
+    }
+    rows = rows.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in parsed.items()]))))
     no_period, day = c("period").isNull() | F.col("p_slot"), F.col("p_date")
     reason = (
         F.when(F.coalesce(c("source").isin(*SEED_SOURCES), F.lit(False)), "seed_from_revision_history")
