@@ -30,6 +30,8 @@ BUCKETS, WIDTH, SIZES = 1 << 16, 16, (2, 3, 4)
 #: Rows per language that the training sample aims at, fewer where there are so many languages that all of them would pass MOST_ROWS, but
 #: LEAST at least.
 SAMPLE, MOST_ROWS, LEAST = 400, 200_000, 20
+#: So many languages have a table of rates that is broadcast, a row for each.
+FEW_LANGUAGES = 20_000
 #: Passes over the sample, more of them where a small one gives fewer than STEPS updates.
 EPOCHS, STEPS, BATCH, RATE, SEED = 12, 800, 32, 0.5, 7
 #: Of the sampled rows, those whose hash has this remainder modulo 5 set the temperature and the threshold.
@@ -149,6 +151,8 @@ def training_sample(labelled: DataFrame, key: Column) -> DataFrame:
     languages = counts.count()
     aim = max(LEAST, min(SAMPLE, MOST_ROWS // max(1, languages)))
     rates = counts.select(F.col("lang").alias("of_lang"), (F.lit(float(aim)) / F.col("n")).alias("rate"))
+    if languages <= FEW_LANGUAGES:
+        rates = F.broadcast(rates)  # the texts stay where they are
     draw = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     drawn = labelled.join(rates, F.col("lang") == F.col("of_lang")).where(draw < F.col("rate")).drop("of_lang", "rate")
     return drawn.limit(2 * aim * languages)
