@@ -91,6 +91,7 @@ def range_position(value: Column, low: Column, high: Column) -> Column:
 
 def price_scale_hit(ratio: Column) -> Column:
     """The new price is about ten or a hundred times the old one, or a tenth or a hundredth."""
+    # fixed values: the factors, and the shares by which a ratio may miss them
     hits = [
         (F.abs(ratio - f) < 0.05 * f) | (F.abs(ratio - 1.0 / f) < 0.05 / f) | (F.abs(ratio - f) / f < 0.02) | (F.abs(ratio * f - 1.0) < 0.02)
         for f in (10.0, 100.0)

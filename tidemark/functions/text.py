@@ -46,6 +46,7 @@ def event_display(raw: Column, status: Column) -> Column:
     return F.when(~is_unavailable(raw, at_export=True), F.concat_ws(" · ", shown, event_session(raw), label))
 
 
+# The phrases and units that the patterns of the next two functions match, and the range of a margin.
 def margin_numbers(text: Column) -> Column:
     """All percentages from 20 to 95."""
     found = F.regexp_extract_all(text, F.lit(r"([0-9]{1,3}(?:\.[0-9]+)?)\s*%"), 1)
