@@ -24,12 +24,13 @@ def components(links: DataFrame) -> DataFrame:
     before = _state(links)
     for _ in range(MAX_ROUNDS if before[0] else 0):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # stored, so that adaptive execution can split a node with very many links in the join
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         # large star: every larger neighbour of a node gets a link to the least node around it
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(large.where("a <> b").distinct(), "links")
         # small star: the smaller neighbours of a node, and the node, get a link to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         links = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "links")
         now = _state(links)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import contamination, host_quality, id_files, language_id, line_chunks, line_hash, packing, reply_trees, simhash_vp, suffix_dedup, target_draw, whitening
+from tidemark.llm import contamination, embedding_links, host_quality, id_files, language_id, line_chunks, line_hash, packing, reply_trees, simhash_vp, suffix_dedup, target_draw, whitening
 from tidemark.plans.session import ready
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_language_id": language_id.op8_language_id,
         "op9_line_hash": line_hash.op9_line_hash,
         "op10_line_chunks": line_chunks.op10_line_chunks,
+        "op11_nn_descent": embedding_links.op11_nn_descent,
         "op12_qd_whitening": whitening.op12_qd_whitening,
         "op13_importance_draw": target_draw.op13_importance_draw,
         "pipeline": corpus_pipeline.run,
