@@ -6,7 +6,7 @@ saturated with near entries grows, and nothing near is ever dropped.
 
 The first lists come from sorted orders of the sketches. In each round a node takes a bounded draw of its list and of those that list it, and
 compares all of them that it didn't compare before; each learns what is near or better than what it has. Rounds go on until few lists
-change, and begin again from new sorted orders until the audit says that enough links are found.
+change, and begin again from new sorted orders until the audit says that enough links are found and a start brings hardly any new near entries.
 """
 
 from __future__ import annotations
@@ -25,14 +25,15 @@ from tidemark.llm.vector_clumps import SIGNS, in_order
 #: Farther entries of a list; entries of a list and of those that list a node in one round; what a node learns of farther ones in a group or block.
 LIST, DRAWN, LEARNED = 8, 8, 2
 #: Rows compared with each other in a sorted order, and orders at a start.
-BLOCK, ORDERS = 32, 2
-#: Rounds of a start, the share of changed entries that ends it, starts.
-ROUNDS, CHANGED, STARTS = 3, 0.02, 8
+BLOCK, ORDERS = 32, 4
+#: Rounds of a start, the share of changed entries that ends it, starts at most, and the share of new near entries under which a start was the last.
+ROUNDS, CHANGED, STARTS, GROWN = 2, 0.02, 10, 0.01
 EDGE = "a long, b long, d short"
 
 
 def differing(s: np.ndarray) -> np.ndarray:
     """Differing bits of all pairs within each group: ``s`` is groups x members x signs."""
+    s = s.view(np.uint64)  # of signed numbers the bits of the magnitude would count
     return np.bitwise_count(s[:, :, None, :] ^ s[:, None, :, :]).sum(axis=3, dtype=np.int16)
 
 
@@ -122,8 +123,8 @@ def one_round(nodes: DataFrame, lists: DataFrame, turn: int, near: int) -> DataF
 
 def neighbour_lists(nodes: DataFrame, near: int, recall: Callable[[DataFrame], float], target: float) -> tuple[DataFrame, float]:
     """``a, b, d`` and the audited recall. ``nodes`` has ``node, label, dim, r`` (radius in bits) and the sketch, is stored, and ``recall`` audits lists; only
-    nodes of one label and vector length are compared. The lists with the best recall count, if the target isn't met."""
-    lists, turn, found = None, 0, 0.0
+    nodes of one label and vector length are compared."""
+    lists, turn, found, before = None, 0, 0.0, 0
     for _ in range(STARTS):
         learned = from_order(nodes, turn, near)
         for k in range(1, ORDERS):
@@ -136,7 +137,8 @@ def neighbour_lists(nodes: DataFrame, near: int, recall: Callable[[DataFrame], f
                 break
             lists = one_round(nodes, lists, turn, near)
             turn += 1
-        found = recall(lists)
-        if found >= target:
+        found, now = recall(lists), lists.where(F.col("d") <= near).count()
+        if found >= target and now <= before * (1 + GROWN):
             break
+        before = now
     return lists.select("a", "b", "d"), found
