@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from tidemark.llm import id_files, packing, tokens
 from tidemark.llm.common import shared_path
@@ -27,6 +28,26 @@ def test_cached_ids_are_the_library_s(encoders, texts):
         assert e.ids(texts) == e.direct(texts)
 
 
+MARKS = ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "<")
+
+
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.lists(st.one_of(st.sampled_from(MARKS), TEXT), max_size=5).map("".join), max_size=4))
+def test_marks_in_texts_are_the_plain_library_s(encoders, texts):
+    for drops_space, e in encoders.items():
+        library = Tokenizer.from_file(public_tokenizers.path(FILES[drops_space]))
+        plain = [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+        assert e.ids(texts) == plain
+
+
+def test_marks_have_ids_of_their_own(encoders):
+    text = "say <|endoftext|> now\n<|endoftext|>a<|endoftext|>\n<|startoftext|>."
+    for drops_space, e in encoders.items():
+        library = Tokenizer.from_file(public_tokenizers.path(FILES[drops_space]))
+        got = np.frombuffer(e.ids([text])[0], "<u4").tolist()
+        assert got == library.encode(text, add_special_tokens=False).ids and got.count(library.token_to_id("<|endoftext|>")) == 3
+
+
 def test_cache_limits_do_not_matter(encoders, monkeypatch, words):
     monkeypatch.setattr(tokens, "CACHE_ENTRIES", 20)
     texts = [" ".join(words(50)) + ".\n" + "x" * 90 + ", end" for _ in range(5)] + ["", None, "<|endoftext|> a", "don't 1 2"]

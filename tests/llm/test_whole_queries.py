@@ -10,8 +10,9 @@ import pytest
 from compare import DATA
 from test_copies import brute_groups, brute_substrings, slow_fingerprint
 from test_text_filters import brute_chunks
+from tokenizers import Tokenizer
 
-from tidemark.llm import packing, registry, tokens
+from tidemark.llm import packing, registry
 
 QUERIES = registry.queries()
 
@@ -22,8 +23,8 @@ def documents(spark):
 
 
 def library_ids(name, texts, end):
-    e = tokens.Encoder(public_tokenizers.path(name), name.startswith("word"))
-    return [np.append(np.frombuffer(x, "<u4"), end).astype("<u4") for x in e.direct([t or "" for t in texts])]
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    return [np.array([*library.encode(t or "", add_special_tokens=False).ids, end], "<u4") for t in texts]
 
 
 def test_op3(spark, documents):

@@ -12,7 +12,7 @@ here, so each distinct word is encoded by the library once while it stays in the
 Words of Latin letters that the cache lacks go to the library's model directly, since the splitting before it has nothing to do there;
 other words go to the whole library many at a time, as one text, whose ids are cut again at the words.
 
-A batch of texts is cut and its words are numbered by Arrow, so that Python looks up each distinct word of a batch once.
+A text that holds a special token's string, such as an end-of-text mark, goes to the library whole. A batch of the others is cut and its words are numbered by Arrow, so that Python looks up each distinct word of a batch once.
 """
 
 from __future__ import annotations
@@ -66,7 +66,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        # a text that holds the string of a token outside the vocabulary's own pieces is the library's alone
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.tokenize = self.library.model.tokenize
         self.drops_space = drops_space
         self.cache: dict[str, bytes] = {}
@@ -180,7 +181,17 @@ class Encoder:
         stops[order] = np.cumsum(sizes[order])
         return pa.concat_arrays([split, pa.array(rest, pa.large_string())]).dictionary_encode(), stops - sizes, stops
 
+    def holds_added(self, text: str) -> bool:
+        return any(x in text or x.lower() in text.lower() for x in self.added if x[0] in text)
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
+        alone = [k for k, x in enumerate(texts) if x and self.holds_added(x)]
+        if alone:
+            left, made = set(alone), self.direct([texts[k] for k in alone])
+            rest = self.ids([None if k in left else x for k, x in enumerate(texts)])
+            for k, x in zip(alone, made, strict=True):
+                rest[k] = x
+            return rest
         numbered, begun, ended = self.words(texts)
         distinct = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.cache
