@@ -14,6 +14,7 @@ from tidemark.functions.ids import alert_id
 from tidemark.functions.labels import source_severity
 from tidemark.functions.numbers import revision_pct, to_num
 from tidemark.functions.text import bps_change, is_baseline, margin_numbers, transition_date, versus
+from tidemark.operators.slices import slice_of
 
 OPEN_AT, RESOLVE_BELOW, MATERIAL, SINGLE_PCT, MARGIN_BPS = 5.0, 4.0, 1.0, 2.0, 200.0
 # Rule names, the rules of the front page, severities and attention buckets in their order.
@@ -36,7 +37,7 @@ def single_revisions(events: DataFrame) -> DataFrame:
     return rows.select(alert_id(F.lit(SINGLE), F.col("entity"), F.col("period"), date, key).alias("id"), F.lit(SINGLE).alias("rule"), F.lit("high").alias("severity"), "entity", "period", direction.alias("direction"), date.alias("event_date"), "pct")
 
 
-def hysteresis(series: DataFrame, keys: tuple[str, ...] = ("entity", "period"), order: str = "as_of", refresh_in_band: bool = True, open_alerts: DataFrame | None = None) -> DataFrame:
+def hysteresis(series: DataFrame, keys: tuple[str, ...] = ("entity", "period"), order: str = "as_of", refresh_in_band: bool = True, open_alerts: DataFrame | None = None, cut: Column | None = None) -> DataFrame:
     """Lifecycle events of a threshold alert over ``keys, order, pct``; a NULL ``pct`` is an unavailable window, which neither opens nor
     resolves. Rows of a series with equal ``order`` count in the order of their percentages.
 
@@ -46,34 +47,55 @@ def hysteresis(series: DataFrame, keys: tuple[str, ...] = ("entity", "period"),
     band holds give no row.
 
     ``open_alerts`` (``keys, pct``, one row a key: the newest open alert of earlier runs with its stored percentage) is where a series goes on:
-    it is open before its first row, and its episode is number 1."""
-    rows = series.where("pct is not null").select(*keys, order, "pct", F.lit(False).alias("seed"))
-    if open_alerts is not None:
-        rows = rows.unionByName(open_alerts.select(*keys, F.lit(None).cast(rows.schema[order].dataType).alias(order), F.col("pct").cast("double").alias("pct"), F.lit(True).alias("seed")))
-    by = (F.desc("seed"), F.asc(order), F.asc("pct"))
-    w = Window.partitionBy(*keys).orderBy(*by)
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    it is open before its first row, and its episode is number 1.
+
+    A series is worked on by slices (``cut``, or those of :func:`tidemark.operators.slices.slice_of`). Each is summed up as what it does to the state: the state it
+    leaves, if it sets one at all, how often it opens if it begins closed, and whether one of these is none because the state was open already. The summaries
+    are composed in order, one row a slice, and every slice is replayed from the state that it begins with."""
+    rows = series.where("pct is not null").select(*keys, order, "pct")
     size = F.abs("pct")
-    rows = rows.withColumn("signal", F.when(F.col("seed") | (size >= OPEN_AT), 1).when(size < RESOLVE_BELOW, 0))
-    rows = rows.withColumn("state", F.coalesce(F.last("signal", ignorenulls=True).over(past), F.lit(0)))
-    rows = rows.withColumn("before", F.coalesce(F.lag("state").over(w), F.lit(0)))
-    rows = rows.withColumn("episode", F.sum(F.when((F.col("state") == 1) & (F.col("before") == 0), 1).otherwise(0)).over(past))
+    rows = rows.withColumns({"slice": slice_of(rows, order) if cut is None else cut, "signal": F.when(size >= OPEN_AT, 1).when(size < RESOLVE_BELOW, 0), "strong": F.when(size >= OPEN_AT, F.col("pct"))})
+    inside = Window.partitionBy(*keys, "slice").orderBy(order, "pct")
+    past, earlier = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"state": F.last("signal", ignorenulls=True).over(past), "before": F.last("signal", ignorenulls=True).over(earlier)})
+    rows = rows.withColumns({"pct_before": F.lag("pct").over(inside), "strong_before": F.last("strong", ignorenulls=True).over(earlier)})
+    opens = (F.col("state") == 1) & (F.coalesce("before", F.lit(0)) == 0)
+    rows = rows.withColumn("opens", F.sum(F.when(opens, 1).otherwise(0)).over(past))
+
+    at = F.struct(F.col(order).alias("o"), "pct")
+    sums = rows.groupBy(*keys, "slice").agg(
+        F.min_by("signal", F.when(F.col("signal").isNotNull(), at)).alias("first_signal"),
+        F.max_by("state", at).alias("last_state"),
+        F.max_by("pct", at).alias("last_pct"),
+        F.max_by("strong", F.when(F.col("strong").isNotNull(), at)).alias("last_strong"),
+        F.max("opens").alias("opened"),
+    )
+    sums = sums.withColumn("seed", F.lit(False))
+    if open_alerts is not None:
+        one, pct = F.lit(1), F.col("pct").cast("double")
+        seeds = open_alerts.select(*keys, F.lit(None).cast("long").alias("slice"), one.alias("first_signal"), one.alias("last_state"), pct.alias("last_pct"), pct.alias("last_strong"), one.cast("long").alias("opened"), F.lit(True).alias("seed"))
+        sums = sums.unionByName(seeds)
+    so_far = Window.partitionBy(*keys).orderBy(F.desc("seed"), "slice").rowsBetween(Window.unboundedPreceding, -1)
+    entry = lambda c, none=None: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.lit(none)) if none is not None else F.last(c, ignorenulls=True).over(so_far)
+    sums = sums.withColumns({"entry_state": entry("last_state", 0), "entry_pct": entry("last_pct"), "entry_strong": entry("last_strong")})
+    sums = sums.withColumn("already", F.when((F.col("first_signal") == 1) & (F.col("entry_state") == 1), 1).otherwise(0))
+    sums = sums.withColumn("entry_opens", F.coalesce(F.sum(F.col("opened") - F.col("already")).over(so_far), F.lit(0)))
+    entries = sums.where(~F.col("seed")).select(*keys, "slice", "entry_state", "entry_pct", "entry_strong", "entry_opens", "already")
+
+    rows = rows.join(entries, [*keys, "slice"], "left")
+    state, before = F.coalesce("state", "entry_state"), F.coalesce("before", "entry_state")
+    episode = F.col("entry_opens") + F.col("opens") - F.when(F.col("opens") > 0, F.col("already")).otherwise(0)
+    stored = F.coalesce("pct_before", "entry_pct") if refresh_in_band else F.coalesce("strong_before", "entry_strong")
+    moved = F.abs(F.col("pct") - stored) >= MATERIAL
     if refresh_in_band:
-        rows = rows.withColumn("stored", F.lag("pct").over(w))
-        moved = (F.signum("pct") != F.signum("stored")) | (F.abs(F.col("pct") - F.col("stored")) >= MATERIAL)
-    else:
-        strong = F.when(F.col("seed") | (size >= OPEN_AT), F.col("pct"))
-        of_episode = Window.partitionBy(*keys, "episode").orderBy(*by)
-        rows = rows.withColumn("stored", F.last(strong, ignorenulls=True).over(of_episode.rowsBetween(Window.unboundedPreceding, -1)))
-        moved = F.abs(F.col("pct") - F.col("stored")) >= MATERIAL
+        moved = moved | (F.signum("pct") != F.signum(stored))
     event = (
-        F.when(F.col("seed"), None)
-        .when((F.col("state") == 1) & (F.col("before") == 0), "Open")
-        .when((F.col("state") == 0) & (F.col("before") == 1), "Resolved")
-        .when((F.col("state") == 1) & (size < OPEN_AT), "Hold" if refresh_in_band else None)
-        .when(F.col("state") == 1, F.when(moved, "Updated").otherwise("Hold"))
+        F.when((state == 1) & (before == 0), "Open")
+        .when((state == 0) & (before == 1), "Resolved")
+        .when((state == 1) & (size < OPEN_AT), "Hold" if refresh_in_band else None)
+        .when(state == 1, F.when(moved, "Updated").otherwise("Hold"))
     )
-    return rows.withColumn("event", event).where("event is not null").select(*keys, order, "pct", "event", F.col("episode").cast("long").alias("episode"))
+    return rows.select(*keys, order, "pct", event.alias("event"), episode.cast("long").alias("episode")).where("event is not null")
 
 
 def insufficient_history(panel: DataFrame) -> DataFrame:

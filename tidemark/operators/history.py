@@ -12,6 +12,7 @@ from tidemark.functions.dates import missing_update_time, month_key, strict_date
 from tidemark.functions.fiscal import entity_key, looks_like_slot, month_name, period_month, period_year
 from tidemark.functions.ids import content_hash
 from tidemark.functions.numbers import revision_pct, same_value, to_num, whole_count
+from tidemark.operators.slices import running_last
 
 IDENTITY = ("entity", "period", "obs_date", "update_time")
 PAYLOAD = ("value", "coverage")
@@ -208,12 +209,11 @@ def table_differences(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def change_events(rows: DataFrame, order: tuple[str, ...] = ("obs_date", "seq")) -> DataFrame:
     """Revision events of each series in order: a baseline first, nothing while the value stays, else change, percentage and
-    direction. ``rows`` has ``entity, period, value`` and the order columns."""
-    w = Window.partitionBy("entity", "period").orderBy(*order)
-    rows = rows.where("value is not null").withColumn("previous", F.lag("value").over(w)).withColumn("n", F.row_number().over(w))
-    rows = rows.where((F.col("n") == 1) | ~same_value(F.col("value"), F.col("previous")))
+    direction. ``rows`` has ``entity, period, value`` and the order columns. A series is worked on by slices of its order."""
+    rows = running_last(rows.where("value is not null"), ("entity", "period"), order, {"previous": "value"}, before=True)
+    rows = rows.where(F.col("previous").isNull() | ~same_value(F.col("value"), F.col("previous")))
     change = F.col("value") - F.col("previous")
-    kind = F.when(F.col("n") == 1, "baseline").when(change > 0, "upgrade").otherwise("downgrade")
+    kind = F.when(F.col("previous").isNull(), "baseline").when(change > 0, "upgrade").otherwise("downgrade")
     return rows.select("entity", "period", *order, "previous", "value", change.alias("change"), revision_pct(F.col("previous"), F.col("value")).alias("pct"), kind.alias("kind"))
 
 

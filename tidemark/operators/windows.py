@@ -4,7 +4,7 @@ An observation has ``entity, period, obs_date, value``, an optional ``update_ts`
 and ``seq``, the append order that settles ties. No row that became known after an as-of is ever visible to it.
 
 The as-of joins are a union of probes and observations and one running ``last`` over the series: work and shuffle grow with
-the rows, not with their product. After the collapse a series has one row a day, so a window partition holds its days and probes only.
+the rows, not with their product. The running ``last`` goes by slices (:mod:`tidemark.operators.slices`), so that a long series is many tasks.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.dates import effective_time, weekday_gap
 from tidemark.functions.fiscal import period_month, period_year
 from tidemark.functions.numbers import revision_pct, to_num
+from tidemark.operators.slices import running_last
 
 SERIES = ("entity", "period")
 #: Stands for a prompt day that isn't there.
@@ -47,9 +48,8 @@ def _last_before(rows: DataFrame, probes: DataFrame, at: str, carried: tuple[str
     tie = F.struct(*(ties or carried)).alias("tie")
     packed = rows.select(*keys, at, F.lit(0).alias("kind"), tie, F.struct(*carried).alias("found"), *empty(probes, extra))
     asked = probes.select(*keys, at, F.lit(1).alias("kind"), *empty(packed, ("tie", "found")), *extra)
-    running = Window.partitionBy(*keys).orderBy(at, "kind", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = packed.unionByName(asked).withColumn("found", F.last("found", ignorenulls=True).over(running))
-    return both.where("kind = 1").select(*keys, at, *extra, "found")
+    both = running_last(packed.unionByName(asked), keys, (at, "kind", "tie"), {"last_found": "found"})
+    return both.where("kind = 1").select(*keys, at, *extra, F.col("last_found").alias("found"))
 
 
 def asof_baseline(obs: DataFrame, probes: DataFrame, tolerance: int = 1) -> DataFrame:
@@ -96,13 +96,11 @@ def revision_panel(obs: DataFrame, grid: DataFrame, windows: tuple[int, ...] = (
     day = F.struct("obs_date", "value")
     rows = days.select(*SERIES, F.col("known_at").alias("at"), F.lit(0).alias("kind"), day.alias("day"), F.lit(None).cast("timestamp").alias("as_of"))
     asked = probes.select(*SERIES, F.col("as_of").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["day"].dataType).alias("day"), "as_of")
-    series = Window.partitionBy(*SERIES)
-    so_far = lambda *order: series.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(asked).withColumn("anchor", F.last("day", ignorenulls=True).over(so_far("at", "kind", "day.obs_date")))
+    both = running_last(rows.unionByName(asked), SERIES, ("at", "kind", "day.obs_date"), {"anchor": "day"})
     lengths = F.when(F.col("kind") == 1, F.array(*[F.lit(n) for n in windows])).otherwise(F.array(F.lit(None).cast("int")))
     both = both.select(*SERIES, "kind", "day", "as_of", "anchor", F.explode(lengths).alias("days"))
     target = F.when(F.col("kind") == 0, F.col("day.obs_date")).otherwise(F.date_sub(F.coalesce("anchor.obs_date", F.to_date("as_of")), F.col("days")))
-    found = both.withColumn("target", target).withColumn("base", F.last("day", ignorenulls=True).over(so_far("target", "kind"))).where("kind = 1")
+    found = running_last(both.withColumn("target", target), SERIES, ("target", "kind"), {"base": "day"}).where("kind = 1")
     gap = weekday_gap(F.col("base.obs_date"), F.col("target"))
     base = F.when(gap <= tolerance, F.col("base.value"))
     return _judged(found.withColumns({"anchor_date": F.col("anchor.obs_date"), "anchor_value": F.col("anchor.value"), "base_date": F.col("base.obs_date"), "base_value": base}))
@@ -145,8 +143,7 @@ def restated_panel(obs: DataFrame, grid: DataFrame, windows: tuple[int, ...] = (
     prompt = F.to_date("first_known") == F.col("obs_date")
     of_day = days.select(*SERIES, F.col("obs_date").alias("at"), F.lit(0).alias("kind"), F.when(prompt, F.col("obs_date")).alias("mark"), "obs_date", "first_known", *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("as_of", "days", "target", "anchor_date", "anchor_value")])
     of_probe = asked.select(*SERIES, "at", F.lit(1).alias("kind"), F.lit(None).cast("date").alias("mark"), F.lit(None).cast("date").alias("obs_date"), F.lit(None).cast("timestamp").alias("first_known"), "as_of", "days", "target", "anchor_date", "anchor_value")
-    running = Window.partitionBy(*SERIES).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    marked = of_day.unionByName(of_probe).withColumn("prompt_day", F.last("mark", ignorenulls=True).over(running))
+    marked = running_last(of_day.unionByName(of_probe), SERIES, ("at", "kind"), {"prompt_day": "mark"})
     asked = marked.where("kind = 1").drop("kind", "mark", "obs_date", "first_known", "at")
     # a candidate is met under the prompt day before it, the as-of's own day under itself
     others = marked.where("kind = 0 and mark is null").select(*SERIES, F.coalesce("prompt_day", F.lit(NO_DAY)).alias("key"), F.col("obs_date").alias("other"), "first_known")
