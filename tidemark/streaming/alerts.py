@@ -3,18 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.dates import ONE_SHOT_DAYS
 from tidemark.operators.alerts import MATERIAL, OPEN_AT, RESOLVE_BELOW
 
 EVENTS = "entity string, period string, as_of timestamp, pct double, event string, episode long"
 STATE = "is_open boolean, has_stored boolean, stored double, episode long, seen timestamp"
+LIFE = pd.Timedelta(days=ONE_SHOT_DAYS)
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, off the heap, which the processors here need."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
 
 
 def step(state: tuple, pct: float, refresh_in_band: bool) -> tuple[tuple, str | None]:
@@ -38,15 +52,21 @@ def step(state: tuple, pct: float, refresh_in_band: bool) -> tuple[tuple, str |
     return (is_open, stored, episode), event
 
 
-def alert_stream(series: DataFrame, refresh_in_band: bool = True) -> DataFrame:
-    """Lifecycle events of ``series`` (``entity, period, as_of, pct``), keyed by series. Rows of a batch are taken in the order of ``as_of``, equal times
-    in that of their percentages as in batch; one at or before the last that its series had seen before the batch is late and is
-    ignored. Unavailable windows (NULL) change nothing. The keyed state is four values a series; of a batch's rows of a series two numbers
-    each are held."""
+class Lifecycle(StatefulProcessor):
+    """The state machine of a series: five values in a value state."""
+
+    def __init__(self, refresh_in_band: bool):
+        self.refresh_in_band = refresh_in_band
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        is_open, has, stored, episode, seen = state.get if state.exists else (False, False, 0.0, 0, None)
-        pieces = [(f["as_of"].to_numpy("datetime64[us]"), f["pct"].to_numpy("float64")) for f in frames]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("lifecycle", STATE)
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N803
+        self.state.update((True, True, float(initialState["pct"].iloc[0]), 1, None))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        is_open, has, stored, episode, seen = self.state.get() if self.state.exists() else (False, False, 0.0, 0, None)
+        pieces = [(f["as_of"].to_numpy("datetime64[us]"), f["pct"].to_numpy("float64")) for f in rows]
         times, values = (np.concatenate(x) for x in zip(*pieces, strict=True))
         late = None if seen is None else pd.Timestamp(seen)
         now, out = (is_open, stored if has else None, episode), []
@@ -54,36 +74,77 @@ def alert_stream(series: DataFrame, refresh_in_band: bool = True) -> DataFrame:
             as_of, pct = pd.Timestamp(times[k]), float(values[k])
             if np.isnan(pct) or pd.isna(as_of) or (late is not None and as_of <= late):
                 continue
-            now, event = step(now, pct, refresh_in_band)
+            now, event = step(now, pct, self.refresh_in_band)
             seen = as_of
             if event:
                 out.append((*key, as_of, pct, event, now[2]))
-        state.update((now[0], now[1] is not None, now[1] if now[1] is not None else 0.0, now[2], seen.to_pydatetime() if isinstance(seen, pd.Timestamp) else seen))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
+        self.state.update((now[0], now[1] is not None, now[1] if now[1] is not None else 0.0, now[2], seen.to_pydatetime() if isinstance(seen, pd.Timestamp) else seen))
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
+
 
+def alert_stream(series: DataFrame, refresh_in_band: bool = True, open_alerts: DataFrame | None = None) -> DataFrame:
+    """Lifecycle events of ``series`` (``entity, period, as_of, pct``), keyed by series. Rows of a batch are taken in the order of ``as_of``, equal times
+    in that of their percentages as in batch; one at or before the last that its series had seen before the batch is late and is
+    ignored. Unavailable windows (NULL) change nothing. The keyed state is five values a series; of a batch's rows of a series two numbers
+    each are held. ``open_alerts`` (``entity, period, pct``, one row a series, not a stream) is what a new stream begins with, as in batch. To be started
+    under :func:`rocksdb`."""
+    initial = None
+    if open_alerts is not None:
+        initial = open_alerts.select("entity", "period", F.col("pct").cast("double").alias("pct")).groupBy("entity", "period")
     rows = series.select("entity", "period", F.col("as_of").cast("timestamp").alias("as_of"), F.col("pct").cast("double").alias("pct"))
-    return rows.groupBy("entity", "period").applyInPandasWithState(run, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("entity", "period").transformWithStateInPandas(Lifecycle(refresh_in_band), EVENTS, "append", "none", initial)
+
+
+def newest_open(events: DataFrame) -> DataFrame:
+    """``entity, period, pct`` of the series that the lifecycle ``events`` leave open: what :func:`alert_stream` and the batch operator go on from. Where
+    holds in the band give no row they store nothing either, so that the last event has the stored percentage in both cases."""
+    last = events.groupBy("entity", "period").agg(F.max_by(F.struct("event", "pct"), F.struct("as_of", "pct")).alias("last"))
+    return last.where("last.event <> 'Resolved'").select("entity", "period", "last.pct")
+
+
+class OneShot(StatefulProcessor):
+    """An alert that lives for a fixed time: its end is a value state and an event-time timer."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.until = handle, handle.getValueState("until", "until timestamp")
+
+    def _ends(self) -> pd.Timestamp | None:
+        return pd.Timestamp(self.until.get()[0]) if self.until.exists() else None
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N803
+        times = np.sort(np.concatenate([f["event_at"].to_numpy("datetime64[us]") for f in rows]))
+        before = ends = self._ends()
+        out = []
+        for t in times[~np.isnat(times)]:
+            if ends is not None and pd.Timestamp(t) < ends:
+                continue  # told again while alive: its end stays
+            if ends is not None:
+                out.append((key[0], "expired", ends))
+            ends = pd.Timestamp(t) + LIFE
+            out.append((key[0], "active", pd.Timestamp(t)))
+        if ends is not None and ends != before:
+            if before is not None:
+                self.handle.deleteTimer(_millis(before))
+            self.until.update((ends.to_pydatetime(),))
+            self.handle.registerTimer(max(_millis(ends), timerValues.getCurrentWatermarkInMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["id", "state", "at"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N803
+        ends = self._ends()
+        self.until.clear()
+        if ends is not None:
+            yield pd.DataFrame({"id": [key[0]], "state": ["expired"], "at": [ends]})
+
+
+def _millis(t: pd.Timestamp) -> int:
+    return -(-int(t.value) // 1_000_000)
 
 
 def one_shot_lifecycle(alerts: DataFrame, delay: str = "1 day") -> DataFrame:
-    """``id, event_at`` alerts that live for 21 days of event time: ``id, state`` when one becomes active and when it has expired. The state of an
-    alert goes with its expiry."""
-    days = pd.Timedelta(days=ONE_SHOT_DAYS)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"id": [key[0]], "state": ["expired"]})
-            return
-        rows = pd.concat(list(frames))
-        known = state.exists
-        until = rows["event_at"].min() + days
-        if not known:
-            state.update((until.to_pydatetime(),))
-            state.setTimeoutTimestamp(max(int(until.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-            yield pd.DataFrame({"id": [key[0]], "state": ["active"]})
-        else:
-            yield pd.DataFrame({"id": [], "state": []}, dtype="object")
-
-    rows = alerts.withWatermark("event_at", delay)
-    return rows.groupBy("id").applyInPandasWithState(run, "id string, state string", "until timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+    """``id, event_at`` alerts that live for 21 days of event time: ``id, state, at`` when one becomes active and when it has expired. An alert that is told
+    again while it lives is not prolonged; after its end it begins anew. The state of an alert goes with its expiry. To be started under
+    :func:`rocksdb`."""
+    rows = alerts.select("id", "event_at").withWatermark("event_at", delay)
+    return rows.groupBy("id").transformWithStateInPandas(OneShot(), "id string, state string, at timestamp", "append", "eventtime")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions.dates import is_stale
 from tidemark.functions.ids import event_id
@@ -115,14 +116,42 @@ def deduplicated(events: DataFrame, delay: str = "14 days") -> DataFrame:
     return events.withWatermark("event_at", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def within_cutoff(rows: DataFrame, now: Column, as_of: Column | None = None, backfill: bool = False) -> DataFrame:
-    """Rows that may be seen: known by ``as_of``, at most ten minutes ahead of ``now``, at most fourteen days old unless backfilled."""
-    ok = F.col("known_at") <= now + F.expr("INTERVAL 10 MINUTES")
+def cutoff_verdict(now: Column, as_of: Column | None = None, backfill: bool = False) -> Column:
+    """Why a row with ``known_at`` may not be seen: more than ten minutes ahead of ``now``, later than ``as_of``, more than fourteen days old and not
+    backfilled, or without a time. Null for a row that may be seen."""
+    known = F.col("known_at")
+    verdict = F.when(known.isNull(), "no_time").when(known > now + F.expr("INTERVAL 10 MINUTES"), "future")
     if as_of is not None:
-        ok = ok & (F.col("known_at") <= as_of)
-    if not backfill:
-        ok = ok & (F.col("known_at") >= now - F.expr("INTERVAL 14 DAYS"))
-    return rows.where(ok)
+        verdict = verdict.when(known > as_of, "after_as_of")
+    return verdict if backfill else verdict.when(known < now - F.expr("INTERVAL 14 DAYS"), "too_old")
+
+
+def within_cutoff(rows: DataFrame, now: Column, as_of: Column | None = None, backfill: bool = False) -> DataFrame:
+    """Rows that may be seen. :func:`route` keeps the others too."""
+    return rows.where(cutoff_verdict(now, as_of, backfill).isNull())
+
+
+def route(rows: DataFrame, now: Column, path: str, as_of: Column | None = None, backfill: bool = False) -> StreamingQuery:
+    """Start a stream that writes the rows that may be seen below ``path/seen`` and the others, with their ``verdict``, below ``path/late``. Each batch has its own folder in
+    both, so that a batch that is done again replaces what it wrote."""
+    verdict = cutoff_verdict(now, as_of, backfill)
+
+    def split(batch: DataFrame, number: int) -> None:
+        judged = batch.withColumn("verdict", verdict)
+        judged.where("verdict IS NULL").drop("verdict").write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+        judged.where("verdict IS NOT NULL").write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+
+    return rows.writeStream.foreachBatch(split).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
+
+
+def routed(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """The two tables of :func:`route`: rows of ``schema``, and late ones with their ``verdict``."""
+    late = StructType([*schema.fields, StructField("verdict", StringType())])
+    tables = []
+    for name, kind in (("seen", schema), ("late", late)):
+        there = writers.exists(spark, f"{path}/{name}")
+        tables.append(spark.read.schema(kind).parquet(f"{path}/{name}").select(*kind.names) if there else spark.createDataFrame([], kind))
+    return tables[0], tables[1]
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> Column:
