@@ -97,6 +97,50 @@ def test_month_writes_touch_only_months_that_gain_rows(spark, tmp_path):
         writers.write_months(rows(("2026-10-01", float("inf"))), path)
 
 
+def test_a_large_month_is_several_files(spark, tmp_path, monkeypatch):
+    rows = spark.range(20_000).select(F.lit("X").alias("entity"), F.concat(F.lit("P"), "id").alias("period"), F.to_date(F.lit("2026-08-01")).alias("obs_date"), F.lit("t").alias("update_time"), F.col("id").cast("double").alias("value"), F.lit(1.0).alias("coverage"))
+    path = str(tmp_path / "history")
+    monkeypatch.setattr(writers, "FILE_ROWS", 3000)
+    assert writers.write_months(rows.unionByName(rows.limit(3).withColumn("obs_date", F.to_date(F.lit("2026-09-01")))), path) == ["2026-08", "2026-09"]
+    assert len(list((tmp_path / "history_staged").glob("part-*"))) > 2 and spark.read.parquet(path).count() == 20_003
+    assert writers.write_months(rows, path) == []
+
+
+def test_events_are_kept_by_day(spark, tmp_path):
+    events = spark.createDataFrame([("a", "2026-09-01T01:00:00Z"), ("b", "2026-09-02T01:00:00Z"), ("c", None), ("d", "soon")], "event_id string, update_time string")
+    path = tmp_path / "log"
+    assert writers.append_events(events, str(path)) == 4 and writers.append_events(events, str(path)) == 0
+    assert {p.name for p in path.glob("day=*")} == {"day=2026-09-01", "day=2026-09-02", "day=none"}
+    for p in path.glob("day=2026-09-01/*"):
+        p.write_bytes(b"not read by a batch of other days")
+    assert writers.append_events(events.where("event_id <> 'a'"), str(path)) == 0
+
+
+def test_a_runtime_table_is_swapped(spark, tmp_path):
+    rows = lambda v: spark.createDataFrame([("X", "P", "t", v)], "entity string, period string, update_time string, value double").withColumn("obs_date", F.to_date(F.lit("2026-09-01")))
+    path = str(tmp_path / "table")
+    for v in (1.0, 2.0):
+        writers.materialize(rows(v), path)
+        assert spark.read.parquet(path).first()["value"] == v
+    with pytest.raises(Exception, match="broken"):
+        writers.materialize(rows(3.0).withColumn("value", F.raise_error(F.lit("broken")).cast("double")), path)
+    assert spark.read.parquet(path).first()["value"] == 2.0
+    writers.moved(spark, path, f"{path}_previous")  # as a run leaves it that fails between the renames
+    with pytest.raises(Exception, match="broken"):
+        writers.materialize(rows(3.0).withColumn("entity", F.raise_error(F.lit("broken")).cast("string")), path)
+    assert spark.read.parquet(path).first()["value"] == 2.0
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith("_next")) == ["table"]
+
+
+def test_volatile_fields_go_at_any_depth(spark):
+    rows = spark.sql("""SELECT 1 AS a, named_struct('run_id', 'r', 'b', 2) AS s, array(array(named_struct('c', 3, 'build_id', 'x'))) AS aa, map('k', named_struct('d', 4, 'run_id', 'r')) AS m,
+      map('run_id', 'r', 'e', 'f') AS keys, map(1, array(map('build_id', 5, 'g', 6))) AS deep, named_struct('run_id', 'r') AS only, array(named_struct('h', named_struct('run_id', 'r'), 'i', 7)) AS inner, 'z' AS run_id""")
+    got = writers.stripped(rows).first().asDict(recursive=True)
+    assert got == {"a": 1, "s": {"b": 2}, "aa": [[{"c": 3}]], "m": {"k": {"d": 4}}, "keys": {"e": "f"}, "deep": {1: [{"g": 6}]}, "inner": [{"i": 7}]}
+    none = writers.stripped(rows.where("false").unionByName(rows.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]))).first()
+    assert all(v is None for v in none)
+
+
 def test_event_append_and_quarantine_are_idempotent(spark, tmp_path):
     events = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0)], "event_id string, value double")
     assert writers.append_events(events, str(tmp_path / "e")) == 2

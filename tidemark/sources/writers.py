@@ -10,6 +10,8 @@ from tidemark.functions.dates import month_key
 from tidemark.functions.ids import content_hash
 from tidemark.operators import history
 
+#: Rows of one file of a month, about.
+FILE_ROWS = 5_000_000
 VOLATILE = ("run_id", "run_status", "quality_gate", "generated_at", "build_id")
 
 
@@ -50,7 +52,11 @@ def write_months(rows: DataFrame, path: str) -> list[str]:
         whole = existing.unionByName(fresh).withColumn("month", month_key(F.col("obs_date"))).where(F.col("month").isin(months))
         # the touched months are read and replaced at once, so what replaces them is written beside them first
         staged = f"{path.rstrip('/')}_staged"
-        whole.repartition("month").sortWithinPartitions("month", "obs_date", "entity", "period", "update_time").write.mode("overwrite").parquet(staged)
+        # a month of many rows is dealt to several tasks and files by its series, which stay together
+        parts = {r["month"]: -(-r["count"] // FILE_ROWS) for r in whole.groupBy("month").count().collect()}  # a row per touched month
+        dealt = F.pmod(F.xxhash64("entity", "period"), F.create_map(*[F.lit(x) for m in parts.items() for x in m])[F.col("month")])
+        whole = whole.repartition(sum(parts.values()), "month", dealt)
+        whole.sortWithinPartitions("month", "obs_date", "entity", "period", "update_time").write.mode("overwrite").parquet(staged)
         spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
     return sorted(months)
 
@@ -60,38 +66,77 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    if not a.getFileSystem(spark._jsc.hadoopConfiguration()).rename(a, b):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
 def materialize(rows: DataFrame, path: str) -> None:
-    """Write a runtime table in canonical order after all of it was validated."""
-    assert_finite(rows).sortWithinPartitions(*history.canonical_order(rows)).write.mode("overwrite").parquet(path)
+    """Write a runtime table in canonical order after all of it was validated: beside the table there is, which is swapped for it at the end. A run that
+    failed leaves the table as it was, or, between the two renames, beside its place, from where the next run takes it back."""
+    spark, place = rows.sparkSession, path.rstrip("/")
+    following, previous = f"{place}_next", f"{place}_previous"
+    if exists(spark, previous):
+        if exists(spark, place):
+            remove(spark, previous)
+        else:
+            moved(spark, previous, place)
+    assert_finite(rows).sortWithinPartitions(*history.canonical_order(rows)).write.mode("overwrite").parquet(following)
+    if exists(spark, place):
+        moved(spark, place, previous)
+    moved(spark, following, place)
+    remove(spark, previous)
 
 
 def append_events(events: DataFrame, path: str) -> int:
-    """Append the events whose ``event_id`` isn't there yet, once each; returns how many."""
+    """Append the events whose ``event_id`` isn't there yet, once each; returns how many. The log is kept by the day of ``update_time``, which is part of an
+    event's identity, so that only the days of the batch are read; events without a time have a day of their own."""
     spark = events.sparkSession
-    fresh = events.dropDuplicates(["event_id"])
+    day = F.lit("none")
+    if "update_time" in events.columns:
+        day = F.coalesce(F.date_format(F.try_to_timestamp(F.col("update_time").cast("string")), "yyyy-MM-dd"), day)
+    fresh = events.dropDuplicates(["event_id"]).withColumn("day", day)
     if exists(spark, path):
-        fresh = fresh.join(spark.read.parquet(path).select("event_id"), "event_id", "left_anti")
+        days = [r["day"] for r in fresh.select("day").distinct().collect()]  # a row per day of the batch
+        there = spark.read.schema(fresh.schema).parquet(path).where(F.col("day").isin(days)).select("event_id", "day")
+        fresh = fresh.join(there, ["event_id", "day"], "left_anti")
     fresh = fresh.cache()
     try:
         n = fresh.count()
         if n:
-            fresh.write.mode("append").parquet(path)
+            fresh.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
         return n
     finally:
         fresh.unpersist()
 
 
 def stripped(df: DataFrame, volatile: tuple[str, ...] = VOLATILE) -> DataFrame:
-    """``df`` without the volatile fields, at the top and inside structs and arrays of structs."""
+    """``df`` without the volatile fields at any depth: in structs, arrays and maps inside each other, also as keys of maps. A struct that has no other
+    fields goes as a whole."""
+
+    def emptied(kind) -> bool:
+        if isinstance(kind, T.ArrayType):
+            return emptied(kind.elementType)
+        return isinstance(kind, T.StructType) and all(f.name in volatile or emptied(f.dataType) for f in kind)
+
+    def nested(kind) -> bool:
+        return isinstance(kind, T.StructType | T.MapType) or isinstance(kind, T.ArrayType) and nested(kind.elementType)
 
     def rebuilt(column, kind):
         if isinstance(kind, T.StructType):
-            return F.when(column.isNotNull(), F.struct(*[rebuilt(column[f.name], f.dataType).alias(f.name) for f in kind if f.name not in volatile]))
-        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            return F.when(column.isNotNull(), F.struct(*[rebuilt(column[f.name], f.dataType).alias(f.name) for f in kept(kind)]))
+        if isinstance(kind, T.ArrayType) and nested(kind.elementType):
             return F.transform(column, lambda x: rebuilt(x, kind.elementType))
+        if isinstance(kind, T.MapType):
+            if isinstance(kind.keyType, T.StringType):
+                column = F.map_filter(column, lambda k, _: ~k.isin(*volatile))
+            if nested(kind.valueType) and not emptied(kind.valueType):
+                return F.transform_values(column, lambda _, v: rebuilt(v, kind.valueType))
         return column
 
-    return df.select(*[rebuilt(F.col(f.name), f.dataType).alias(f.name) for f in df.schema if f.name not in volatile])
+    kept = lambda fields: [f for f in fields if f.name not in volatile and not emptied(f.dataType)]
+    return df.select(*[rebuilt(F.col(f.name), f.dataType).alias(f.name) for f in kept(df.schema)])
 
 
 def quarantine(rejected: DataFrame, path: str) -> int:

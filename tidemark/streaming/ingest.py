@@ -68,8 +68,15 @@ def known_good(spark: SparkSession, store: Store, before: str | None = None) ->
 def ingest_batch(snaps: DataFrame, store: Store, watch: DataFrame, fiscal_end: DataFrame, now: Column, backfill: bool = False) -> None:
     """One batch of snapshots in the order of their names. Rejected ones go to quarantine; publishable ones give revision events against the last
     known good value and observations. A failure raises, so the stream's checkpoint does not advance."""
-    spark = snaps.sparkSession
     snaps = snaps.cache()
+    try:
+        _ingest(snaps, store, watch, fiscal_end, now, backfill)
+    finally:
+        snaps.unpersist()
+
+
+def _ingest(snaps: DataFrame, store: Store, watch: DataFrame, fiscal_end: DataFrame, now: Column, backfill: bool) -> None:
+    spark = snaps.sparkSession
     names = [r["snapshot_id"] for r in snaps.select("snapshot_id").distinct().orderBy("snapshot_id").collect()]  # files of one batch
     for name in names:
         one = snaps.where(F.col("snapshot_id") == name)
@@ -100,7 +107,6 @@ def ingest_batch(snaps: DataFrame, store: Store, watch: DataFrame, fiscal_end: D
         writers.assert_finite(now_good).write.mode("overwrite").parquet(f"{path}/state={name}")
         for old in [n for n in states if n < name][:-1]:
             writers.remove(spark, f"{path}/state={old}")
-    snaps.unpersist()
 
 
 def start(spark: SparkSession, incoming: str, store: Store, watch: DataFrame, fiscal_end: DataFrame, now: Column, backfill: bool = False) -> StreamingQuery:
