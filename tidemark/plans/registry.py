@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import wraps
 
-from tidemark.plans import alert_queries, dataset_queries, history_queries, more_queries, quality_queries, stream_queries, window_queries, write_queries
+from tidemark.plans import alert_queries, dataset_queries, history_queries, ingest_queries, more_queries, quality_queries, stream_queries, window_queries, write_queries
 from tidemark.plans.session import ready
 from tidemark.plans.views import plain
 
-MODULES = (window_queries, history_queries, quality_queries, alert_queries, dataset_queries, more_queries, stream_queries, write_queries)
+MODULES = (window_queries, history_queries, quality_queries, alert_queries, dataset_queries, more_queries, stream_queries, write_queries, ingest_queries)
 
 
 def _plain(query):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tidemark.functions.dates import is_stale
-from tidemark.functions.ids import event_id
-from tidemark.functions.numbers import revision_pct, same_value, to_num
-from tidemark.operators import quality
+from tidemark.functions.numbers import to_num
+from tidemark.operators import gate_chain, quality
 from tidemark.sources import readers, schemas, writers
 
 
@@ -26,34 +26,27 @@ class Store:
         return f"{self.root.rstrip('/')}/{name}"
 
 
-def gated(snaps: DataFrame, watch: DataFrame, fiscal_end: DataFrame, known_good: DataFrame | None, now: Column, backfill: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The decision per snapshot of ``snaps`` and its normalised rows. ``known_good``: ``entity, period, value, price`` of the last known good."""
-    rows = quality.normalized_snapshot(readers.flat_snapshot(snaps), fiscal_end)
+def measured(snaps: DataFrame, watch: DataFrame, fiscal_end: DataFrame, now: Column, backfill: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What ``snaps`` say by themselves: a row for each snapshot with its flags and time check, the typed rows, and the entities."""
+    raw = quality.normalized_snapshot(readers.flat_snapshot(snaps), fiscal_end)
     prices = readers.snapshot_entities(snaps)
-    gate = quality.entity_gate(rows, prices)
-    expected = watch.agg(F.count_distinct("entity").alias("n_expected"))
-    per = gate.groupBy("snapshot_id").agg(F.count("*").alias("n_received"), F.bool_or("zero_coverage").alias("zero_coverage"), F.bool_or("rejected").alias("rejected"))
-    known = gate.join(watch.select("entity").distinct(), "entity", "left_semi").groupBy("snapshot_id").agg(F.count("*").alias("n_known"))
-    flags = snaps.select("snapshot_id", F.col("collectedAt").alias("collected_at"), F.col("sourceDataAsOf").alias("source_as_of"), "snapshot_utc").join(per, "snapshot_id", "left").join(known, "snapshot_id", "left")
-    flags = flags.withColumn("n_expected", expected.scalar()).withColumns({"n_received": F.coalesce("n_received", F.lit(0)), "n_missing": F.col("n_expected") - F.coalesce("n_known", F.lit(0))})
-    if known_good is not None:
-        typed = rows.withColumn("value", to_num(F.col("value"))).join(known_good.select("entity", "period", F.col("value").alias("previous_value")), ["entity", "period"])
-        extreme = quality.extreme_changes(typed).select("snapshot_id").distinct().withColumn("extreme", F.lit(True))
-        old_price = known_good.groupBy("entity").agg(F.first("price", ignorenulls=True).alias("previous_price"), F.count("value").alias("n_old"))
-        both = gate.join(old_price, "entity")
-        price = quality.price_outliers(both).select("snapshot_id").distinct().withColumn("price", F.lit(True))
-        coverage = quality.coverage_regression(both.withColumn("n_new", F.col("n_usable"))).select("snapshot_id").distinct().withColumn("coverage", F.lit(True))
-        for found in (extreme, price, coverage):
-            flags = flags.join(found, "snapshot_id", "left")
-    else:
-        flags = flags.withColumns({c: F.lit(False) for c in ("extreme", "price", "coverage")})
-    flags = flags.fillna(False, ["extreme", "price", "coverage", "zero_coverage", "rejected"])
-    return quality.gate_decision(quality.timestamp_gate(flags, now, backfill)), rows
+    gate = quality.entity_gate(raw, prices)
+    known = watch.select("entity").distinct().withColumn("known", F.lit(True))
+    per = gate.join(known, "entity", "left").groupBy("snapshot_id").agg(
+        F.count("*").alias("n_received"), F.bool_or("zero_coverage").alias("zero_coverage"), F.bool_or("rejected").alias("rejected"), F.count("known").alias("n_known")
+    )
+    flags = snaps.select("snapshot_id", F.col("collectedAt").alias("collected_at"), F.col("sourceDataAsOf").alias("source_as_of"), "snapshot_utc").join(per, "snapshot_id", "left")
+    flags = flags.withColumn("n_expected", known.agg(F.count("*")).scalar()).fillna(0, ["n_received", "n_known"]).fillna(False, ["zero_coverage", "rejected"])
+    flags = quality.timestamp_gate(flags.withColumn("n_missing", F.col("n_expected") - F.col("n_known")), now, backfill)
+    priced = prices.groupBy("snapshot_id", "entity").agg(F.max(to_num(F.col("price"))).alias("price"))
+    value = to_num(F.col("value"))
+    rows = raw.join(priced, ["snapshot_id", "entity"], "left").select("snapshot_id", "entity", "period", value.alias("value"), to_num(F.col("coverage")).alias("coverage"), "price", (~F.col("failed")).alias("valid"))
+    return flags, rows, gate
 
 
 def known_good(spark: SparkSession, store: Store, before: str | None = None) -> tuple[DataFrame | None, list[str]]:
-    """The current value and price of every (entity, period), as the last publishable snapshot (named before ``before``, if given) left them, and
-    the names of the states that are kept."""
+    """The current value and price of every (entity, period), as the last publishable snapshot (named before ``before``, if given) left them, with the
+    ``snapshot_id`` that they are from, and the names of the states that are kept."""
     path = store.path("known_good")
     if not writers.exists(spark, path):
         return None, []
@@ -62,51 +55,52 @@ def known_good(spark: SparkSession, store: Store, before: str | None = None) ->
     usable = [n for n in names if before is None or n < before]
     if not usable:
         return None, names
-    return states.where(F.col("state") == usable[-1]).select("entity", "period", "value", "price"), names
+    return states.where(F.col("state") == usable[-1]).select("entity", "period", "value", "price", "snapshot_id"), names
 
 
 def ingest_batch(snaps: DataFrame, store: Store, watch: DataFrame, fiscal_end: DataFrame, now: Column, backfill: bool = False) -> None:
-    """One batch of snapshots in the order of their names. Rejected ones go to quarantine; publishable ones give revision events against the last
-    known good value and observations. A failure raises, so the stream's checkpoint does not advance."""
+    """One batch of snapshots, as if taken in the order of their names. Rejected ones go to quarantine; publishable ones give revision events against the last
+    known good value and observations. A failure raises, so the stream's checkpoint does not advance. All snapshots are decided and written together
+    (:mod:`tidemark.operators.gate_chain`); only snapshots that are older than a state that is kept are a part of their own."""
     snaps = snaps.cache()
     try:
-        _ingest(snaps, store, watch, fiscal_end, now, backfill)
+        names = sorted(r["snapshot_id"] for r in snaps.select("snapshot_id").distinct().collect())  # files of one batch
+        _, states = known_good(snaps.sparkSession, store)
+        for _, part in groupby(names, key=lambda n: max((s for s in states if s < n), default="")):
+            part = list(part)
+            _ingest(snaps.where(F.col("snapshot_id").between(part[0], part[-1])), part[0], store, watch, fiscal_end, now, backfill)
     finally:
         snaps.unpersist()
 
 
-def _ingest(snaps: DataFrame, store: Store, watch: DataFrame, fiscal_end: DataFrame, now: Column, backfill: bool) -> None:
+def _ingest(snaps: DataFrame, first: str, store: Store, watch: DataFrame, fiscal_end: DataFrame, now: Column, backfill: bool) -> None:
     spark = snaps.sparkSession
-    names = [r["snapshot_id"] for r in snaps.select("snapshot_id").distinct().orderBy("snapshot_id").collect()]  # files of one batch
-    for name in names:
-        one = snaps.where(F.col("snapshot_id") == name)
-        good, states = known_good(spark, store, before=name)
-        gate, rows = gated(one, watch, fiscal_end, good, now, backfill)
-        decision = gate.first()
-        if not decision["publishable"]:
-            writers.quarantine(one.drop(readers.CORRUPT).withColumns({"gate_status": F.lit(decision["status"]), "gate_reason": F.lit(decision["reason"])}), store.path("quarantine"))
-            continue
-        prices = readers.snapshot_entities(one).select("entity", to_num(F.col("price")).alias("price"))
-        valid = rows.withColumn("value", to_num(F.col("value"))).where("value is not null and period is not null and not failed").join(prices, "entity", "left")
-        stamp = F.lit(decision["collected_at"] or decision["snapshot_utc"])
-        before = good.select("entity", "period", F.col("value").alias("previous")) if good is not None else spark.createDataFrame([], "entity string, period string, previous double")
-        changed = valid.join(before, ["entity", "period"], "left").where(F.col("previous").isNull() | ~same_value(F.col("value"), F.col("previous")))
-        events = changed.select(
-            event_id(F.col("entity"), F.col("period"), F.col("previous"), F.col("value"), stamp).alias("event_id"), "entity", "period", "previous", "value", revision_pct(F.col("previous"), F.col("value")).alias("pct"),
-            F.when(F.col("previous").isNull(), "baseline").when(F.col("value") > F.col("previous"), "upgrade").otherwise("downgrade").alias("kind"), stamp.alias("update_time"),
-        )
-        observations = valid.select("entity", "period", F.to_date(F.substring(stamp, 1, 10)).alias("obs_date"), stamp.alias("update_time"), "value", to_num(F.col("coverage")).alias("coverage"))
-        writers.append_events(events, store.path("events"))
-        writers.write_months(observations.dropDuplicates(["entity", "period"]), store.path("history"))
+    work = store.path(f"_work/{first}")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{work}/{name}")
+        return spark.read.parquet(f"{work}/{name}")
+
+    good, states = known_good(spark, store, before=first)
+    flags, rows, entities = measured(snaps, watch, fiscal_end, now, backfill)
+    series = kept(gate_chain.by_identity(rows, good), "series")
+    decisions = gate_chain.decided(kept(flags, "flags"), series, kept(gate_chain.by_entity(entities, series), "entities"), work)
+    rejected = decisions.where("not publishable").select("snapshot_id", F.col("status").alias("gate_status"), F.col("reason").alias("gate_reason"))
+    writers.quarantine(snaps.drop(readers.CORRUPT).join(rejected, "snapshot_id"), store.path("quarantine"))
+    left = kept(gate_chain.left_behind(series, decisions), "left")
+    fresh = left.where(F.col("snapshot_id") != gate_chain.BEFORE)
+    newest = fresh.agg(F.max("snapshot_id")).first()[0]
+    if newest is not None:
+        writers.append_events(gate_chain.revisions(left), store.path("events"))
+        day = F.to_date(F.substring("stamp", 1, 10))
+        writers.write_months(fresh.select("entity", "period", day.alias("obs_date"), F.col("stamp").alias("update_time"), "value", "coverage"), store.path("history"))
         # the known good comes last: a batch that failed before it is done again from the same state. One row for each identity is
         # written beside the state before, which stays for a replay; older states go
-        now_good = valid.select("entity", "period", "value", "price").dropDuplicates(["entity", "period"])
-        if good is not None:
-            now_good = now_good.unionByName(good.join(now_good.select("entity", "period"), ["entity", "period"], "left_anti"))
         path = store.path("known_good")
-        writers.assert_finite(now_good).write.mode("overwrite").parquet(f"{path}/state={name}")
-        for old in [n for n in states if n < name][:-1]:
+        writers.assert_finite(gate_chain.state(left)).write.mode("overwrite").parquet(f"{path}/state={newest}")
+        for old in [n for n in states if n < first][:-1]:
             writers.remove(spark, f"{path}/state={old}")
+    writers.remove(spark, work)
 
 
 def start(spark: SparkSession, incoming: str, store: Store, watch: DataFrame, fiscal_end: DataFrame, now: Column, backfill: bool = False) -> StreamingQuery:
