@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import alerts, digests, history
+from tidemark.operators import alerts, digests, gate_chain, history
 from tidemark.sources import readers, schemas, writers
 from tidemark.streaming import alerts as stream_alerts
 from tidemark.streaming import ingest
@@ -225,3 +225,17 @@ def test_checkpoint_cursor(spark, tmp_path):
     ingest.advance_checkpoint(spark, path, "2026-09-01T00:00:00Z")
     ingest.advance_checkpoint(spark, path, "2026-09-03T00:00:00Z")
     assert spark.range(1).select(F.date_format(ingest.read_checkpoint(spark, path), "dd").alias("x")).first()["x"] == "03"
+
+
+def test_gate_chain_needs_few_rounds(spark, tmp_path):
+    """A level that moves and stays is refused to the end, by its own series in one round."""
+    names = [f"s{k:02d}" for k in range(30)]
+    rows = [(n, e, "P", 10.0 if k < 4 or e == "B" else 20.0 + k % 2, 3.0, 5.0, True) for k, n in enumerate(names) for e in "AB"]
+    rows = spark.createDataFrame(rows, "snapshot_id string, entity string, period string, value double, coverage double, price double, valid boolean")
+    flags = spark.createDataFrame([(n, 2, 0, None, False, False, "t", None) for n in names], "snapshot_id string, n_received int, n_missing int, ts_reason string, zero_coverage boolean, rejected boolean, collected_at string, snapshot_utc string")
+    flags = flags.withColumn("ts_status", F.lit(None).cast("string"))
+    series = gate_chain.by_identity(rows, None)
+    entities = gate_chain.by_entity(rows.select("snapshot_id", "entity", "price", F.lit(1).cast("long").alias("n_usable")), series)
+    out = gate_chain.decided(flags, series, entities, str(tmp_path))
+    assert sorted(r["snapshot_id"] for r in out.where("publishable").collect()) == names[:4]
+    assert len([p for p in tmp_path.iterdir() if p.name.startswith("round=")]) <= 4

@@ -1,10 +1,10 @@
 """The quality gate over many snapshots at once.
 
 A snapshot is compared with what the last publishable ones before it left, and whether those are publishable depends on the ones before them. All snapshots are
-decided together, in rounds: each round carries values over the snapshots that the round before held publishable (at first: those that nothing but their own rows
-speaks against) and decides all of them anew, until no decision changes. A decision is final once all before it are, so the rounds end, and with the decisions
-that taking the snapshots one after the other gives. The work of a round is two windows by series and entity, whatever the number of snapshots; the number of
-rounds is that of decisions in a row that hang on each other, not that of snapshots."""
+decided together, in rounds: in each round every series, and every entity, goes through its own snapshots in order, and is not carried over one that the round
+before refused or that it refuses itself; whatever any of them refuses is refused. Rounds go on until no decision changes. A decision is final once all before
+it are, so the rounds end, and with the decisions that taking the snapshots one after the other gives. A long run of refusals is found in one round, since it
+comes from the same series; a further round is needed where one series' refusal changes what another one is compared with."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ids import event_id
-from tidemark.functions.numbers import revision_pct, same_value
+from tidemark.functions.numbers import price_outlier, revision_pct, same_value
 from tidemark.operators import quality
 
 #: Sorts before every name: what is known before the first snapshot.
@@ -40,22 +40,38 @@ def by_entity(entities: DataFrame, series: DataFrame) -> DataFrame:
     return entities.select("snapshot_id", "entity", "price", "n_usable").join(left, ["snapshot_id", "entity"], "full_outer")
 
 
+def _refusals(rows: DataFrame, keys: tuple[str, ...], kind: str, checks: dict) -> DataFrame:
+    """``snapshot_id, name`` for each check that a snapshot fails. ``rows`` has ``snapshot_id, held, carry`` (of the type ``kind``) and what the checks read; a check
+    is a function of a row and the carried value. The snapshots of one series, a row each, are one array."""
+    found = "array<struct<snapshot_id:string,name:string>>"
+
+    def step(state, row):
+        failed = {n: F.coalesce(check(row, state["past"]), F.lit(False)) for n, check in checks.items()}
+        any_failed = F.greatest(*failed.values(), F.lit(False))
+        named = F.array_compact(F.array(*[F.when(f, F.struct(row["snapshot_id"].alias("snapshot_id"), F.lit(n).alias("name"))) for n, f in failed.items()]))
+        past = F.when(row["held"] & ~any_failed & row["carry"].isNotNull(), row["carry"]).otherwise(state["past"])
+        return F.struct(past.cast(kind).alias("past"), F.concat(state["found"], named).cast(found).alias("found"))
+
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("snapshot_id", "held", *[c for c in rows.columns if c not in (*keys, "snapshot_id", "held")]))).alias("rows"))
+    start = F.struct(F.lit(None).cast(kind).alias("past"), F.array().cast(found).alias("found"))
+    return listed.select(F.explode(F.aggregate("rows", start, step)["found"]).alias("f")).select("f.*")
+
+
 def _compared(series: DataFrame, entities: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Which snapshots have an extreme change, a lost coverage or a price outlier, if ``decisions`` are right."""
-    held = F.coalesce(F.col("publishable"), F.lit(True))  # the state before has no decision
-
-    def past(df: DataFrame, *keys: str) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy("snapshot_id").rowsBetween(Window.unboundedPreceding, -1)
-        known = df.join(decisions.select("snapshot_id", "publishable"), "snapshot_id", "left")
-        return known.withColumn("past", F.last(F.when(held, F.col("carry")), ignorenulls=True).over(w)).where(F.col("snapshot_id") != BEFORE)
-
-    values = past(series, "entity", "period").select("snapshot_id", F.explode(F.array_distinct(F.array("low", "high"))).alias("value"), F.col("past.value").alias("previous_value"))
-    prices = past(entities, "entity").select("snapshot_id", "price", F.col("past.price").alias("previous_price"), F.col("n_usable").alias("n_new"), F.col("past.n").alias("n_old"))
-    found = None
-    for name, rows in (("extreme", quality.extreme_changes(values)), ("price", quality.price_outliers(prices)), ("coverage", quality.coverage_regression(prices))):
-        one = rows.select("snapshot_id", F.lit(name).alias("name"))
-        found = one if found is None else found.unionByName(one)
-    return found.groupBy("snapshot_id").agg(*[F.bool_or(F.col("name") == n).alias(n) for n in ("extreme", "price", "coverage")])
+    """Which snapshots have an extreme change, a lost coverage or a price outlier, after ``decisions`` of the round before."""
+    last = decisions.select("snapshot_id", F.col("publishable").alias("held"))
+
+    def held(df: DataFrame) -> DataFrame:
+        return df.join(last, "snapshot_id", "left").withColumn("held", F.coalesce("held", F.lit(True)))  # the state before has no decision
+
+    pct = lambda row, past: F.greatest(quality.change_pct(row["low"], past), quality.change_pct(row["high"], past)) > quality.EXTREME_PCT
+    values = _refusals(held(series.withColumn("carry", F.col("carry.value"))), ("entity", "period"), "double", {"extreme": pct})
+    checks = {
+        "price": lambda row, past: price_outlier(row["price"], past["price"], quality.PRICE_PCT),
+        "coverage": lambda row, past: quality.coverage_lost(row["n_usable"], past["n"]),
+    }
+    prices = _refusals(held(entities), ("entity",), "struct<price:double,n:bigint>", checks)
+    return values.unionByName(prices).groupBy("snapshot_id").agg(*[F.bool_or(F.col("name") == n).alias(n) for n in ("extreme", "price", "coverage")])
 
 
 def decided(flags: DataFrame, series: DataFrame, entities: DataFrame, work: str) -> DataFrame:

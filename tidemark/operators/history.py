@@ -203,8 +203,43 @@ def missing_at_remote(local: DataFrame, remote: DataFrame) -> DataFrame:
 
 
 def table_differences(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that one table has more often than the other, with ``side``."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    """Rows that one table has more often than the other, as many times as it has them more, with ``side``. One aggregate over both."""
+    both, columns = a.select("*", F.lit(1).alias("_more")).unionByName(b.select("*", F.lit(-1).alias("_more"))), a.columns
+    more = both.groupBy(*columns).agg(F.sum("_more").alias("_more")).where("_more <> 0")
+    return more.select(*columns, F.when(F.col("_more") > 0, "left").otherwise("right").alias("side"), F.explode(F.sequence(F.lit(1), F.abs("_more"))).alias("_copy")).drop("_copy")
+
+
+def leaf_of(rows: DataFrame) -> DataFrame:
+    """``rows`` with their leaf of the hash tree: ``month`` and ``bucket``, one of 256 by entity."""
+    return rows.withColumns({"month": month_key(F.col("obs_date")), "bucket": F.substring(F.md5(F.coalesce("entity", F.lit("")).cast("binary")), 1, 2)})
+
+
+def hash_tree(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The leaves of a hash tree: ``month, bucket, n, fingerprint``, a row for each, to be stored beside the table. A leaf's fingerprint is the sum of its rows' hashes, so the one
+    of a month, or of all, is the sum of its leaves' and partial sums combine before the shuffle."""
+    h = F.xxhash64(*sorted(columns or rows.columns)).cast("decimal(38,0)")
+    return leaf_of(rows.withColumn("h", h)).groupBy("month", "bucket").agg(F.count("*").alias("n"), F.sum("h").alias("fingerprint"))
+
+
+def differing_leaves(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The leaves in which two hash trees differ, ``month, bucket, n_before, n_after``, looked for in months that differ only."""
+    sums = (F.sum("n").alias("n"), F.sum("fingerprint").alias("fingerprint"))
+
+    def other(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+        left = a.select(*keys, F.col("n").alias("n_before"), F.col("fingerprint").alias("fa"))
+        right = b.select(*keys, F.col("n").alias("n_after"), F.col("fingerprint").alias("fb"))
+        same = F.col("n_before").eqNullSafe(F.col("n_after")) & F.col("fa").eqNullSafe(F.col("fb"))
+        return left.join(right, keys, "full_outer").where(~same).select(*keys, F.coalesce("n_before", F.lit(0)).alias("n_before"), F.coalesce("n_after", F.lit(0)).alias("n_after"))
+
+    months = other(before.groupBy("month").agg(*sums), after.groupBy("month").agg(*sums), ["month"]).select("month")
+    return other(before.join(months, "month", "left_semi"), after.join(months, "month", "left_semi"), ["month", "bucket"])
+
+
+def differences_in(before: DataFrame, after: DataFrame, leaves: DataFrame) -> DataFrame:
+    """:func:`table_differences` of the rows in ``leaves`` only, with ``month`` and ``bucket``. Of a table that is kept by ``month`` the other months are not read."""
+    keys = leaves.select("month", "bucket")
+    cut = lambda df: leaf_of(df).join(keys, ["month", "bucket"], "left_semi")
+    return table_differences(cut(before), cut(after))
 
 
 def change_events(rows: DataFrame, order: tuple[str, ...] = ("obs_date", "seq")) -> DataFrame:

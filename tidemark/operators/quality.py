@@ -84,20 +84,27 @@ def against_previous(rows: DataFrame, keys: tuple[str, ...] = ("entity", "period
     return rows.withColumns({f"previous_{c}": F.lag(c).over(w) for c in ("value", "price", order)})
 
 
+def change_pct(value: Column, previous: Column) -> Column:
+    return F.when(previous != 0, F.abs(value - previous) / F.abs(previous) * 100.0)
+
+
 def extreme_changes(rows: DataFrame, threshold: float = EXTREME_PCT) -> DataFrame:
     """``rows`` with ``value`` and ``previous_value``: the changes over ``threshold`` percent."""
-    pct = F.when(F.col("previous_value") != 0, F.abs(F.col("value") - F.col("previous_value")) / F.abs(F.col("previous_value")) * 100.0)
-    return rows.withColumn("change_pct", pct).where(F.col("change_pct") > threshold)
+    return rows.withColumn("change_pct", change_pct(F.col("value"), F.col("previous_value"))).where(F.col("change_pct") > threshold)
 
 
 def price_outliers(rows: DataFrame, threshold: float = PRICE_PCT) -> DataFrame:
     return rows.where(price_outlier(F.col("price"), F.col("previous_price"), threshold))
 
 
+def coverage_lost(new: Column, old: Column) -> Column:
+    """A sudden drop of usable periods by two or more, or to half of four or more."""
+    return (old >= COVERAGE_DROP) & (new < old) & ((new <= old - COVERAGE_DROP) | ((old >= 4) & (new <= F.floor(old / 2))))
+
+
 def coverage_regression(counts: DataFrame) -> DataFrame:
-    """``counts`` has ``n_new`` and ``n_old`` usable periods: a sudden drop of two or more, or to half of four or more."""
-    new, old = F.col("n_new"), F.col("n_old")
-    return counts.where((old >= COVERAGE_DROP) & (new < old) & ((new <= old - COVERAGE_DROP) | ((old >= 4) & (new <= F.floor(old / 2)))))
+    """The rows of ``counts`` (``n_new`` and ``n_old`` usable periods) with :func:`coverage_lost`."""
+    return counts.where(coverage_lost(F.col("n_new"), F.col("n_old")))
 
 
 def timestamp_gate(snapshots: DataFrame, now: Column, backfill: bool = False) -> DataFrame:

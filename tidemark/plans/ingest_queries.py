@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import history
 from tidemark.plans.quality_queries import REGRESSED, _outlier
 from tidemark.plans.stream_queries import _folder
 from tidemark.plans.views import Views, dated, with_views
-from tidemark.sources import schemas
+from tidemark.sources import readers, schemas
 from tidemark.streaming import ingest
 
 # Months as snapshots, numbered. A series jumps and stays there for four months, and again later; an entity loses its periods in some months, or its price
 # is ten times too high; some counts are zero.
 ROWS = """
-SELECT snap_date, year(snap_date) * 12 + month(snap_date) AS i, entity, period, CAST(floor((value - 150000) / 4000) AS bigint) + 100
+SELECT snap_date, year(snap_date) * 12 + month(snap_date) AS i, entity, period, CAST(floor((value - 150000) / 20000) AS bigint) + 100
     + CASE WHEN period = 'Jan 1997' AND (year(snap_date) * 12 + month(snap_date)) % 20 < 4 THEN 70 ELSE 0 END AS value,
   CASE WHEN entity = 'EUROPE' AND (year(snap_date) * 12 + month(snap_date)) % 13 = 7 THEN 500 ELSE 50 END AS price,
   CASE WHEN entity = 'ASIA' AND (year(snap_date) * 12 + month(snap_date)) % 17 = 3 THEN 0 ELSE coverage END AS coverage
@@ -49,8 +50,39 @@ def snapshots_ingested(spark, sf_dir):
     return refused.join(taken, "snap_date", "full_outer").join(events, "snap_date", "full_outer").fillna(0)
 
 
+def differing_leaves(spark, sf_dir):
+    """Two histories that share most rows: the leaves of their hash trees that differ, and how many rows of them are on one side only."""
+    rows = Views(spark, sf_dir).obs().select("entity", "period", "obs_date", "seq", F.round("value", 2).alias("value"))
+    old = rows.where("seq % 97 <> 0")
+    new = rows.where("seq % 89 <> 0").withColumn("value", F.when(F.col("seq") % 101 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    leaves = history.differing_leaves(history.hash_tree(old), history.hash_tree(new))
+    found = history.differences_in(old, new, leaves).groupBy("month", "bucket").agg(*[F.count_if(F.col("side") == x).alias(f"n_{x}") for x in ("left", "right")])
+    return leaves.join(found, ["month", "bucket"], "left")
+
+
+# The texts of events in many shapes: cut off, no object, empty, with nulls, texts, keys of their own and nothing.
+PROPS = """CASE event_id % 9 WHEN 0 THEN replace(props, '}', '') WHEN 1 THEN concat('[', props, ']') WHEN 2 THEN '{"k": null, "tag": "x"}' WHEN 3 THEN '{}' WHEN 4 THEN replace(props, '"k"', '"other"')
+  WHEN 5 THEN '{"k": "later", "tag": null}' WHEN 6 THEN CASE WHEN event_id % 2 = 0 THEN '' END ELSE props END"""
+
+
+def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Views(spark, sf_dir).table("events").select("event_type", F.expr(PROPS).alias("props"))
+
+
+def variant_fields(spark, sf_dir):
+    """By kind of event: texts that can't be taken, by reason, and for each field how often it is there, null, absent or of another type."""
+    rows = readers.variant_fields(_props(spark, sf_dir), "props", {"k": "double", "tag": "string"})
+    items = F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.col(c).alias("state")) for n, c in (("reject", "reject_reason"), ("k", "k_state"), ("tag", "tag_state"))])).alias("x")
+    counted = rows.select("event_type", items, "k").select("event_type", "x.*", "k").where("state IS NOT NULL")
+    return counted.groupBy("event_type", "item", "state").agg(F.count("*").alias("n"), F.sum(F.when(F.col("item") == "k", F.col("k"))).alias("total"))
+
+
+def variant_keys(spark, sf_dir):
+    return readers.variant_keys(_props(spark, sf_dir), "props")
+
+
 def queries() -> dict:
-    return {"snapshots_ingested": snapshots_ingested}
+    return {f.__name__: f for f in (snapshots_ingested, differing_leaves, variant_fields, variant_keys)}
 
 
 def oracle_sql() -> dict:
@@ -73,4 +105,20 @@ def oracle_sql() -> dict:
       SELECT snap_date, CASE WHEN taken THEN NULL WHEN reason IN ('invalid_snapshot_timestamp', 'future_snapshot_timestamp', 'validation_failed') THEN 'reject' ELSE 'needs_verification' END AS status,
         CASE WHEN NOT taken THEN reason END AS reason, count(*) FILTER (taken AND value IS NOT NULL) AS n_observations, count(*) FILTER (taken AND value IS NOT NULL AND old IS NULL) AS n_baseline,
         count(*) FILTER (taken AND value > old) AS n_upgrade, count(*) FILTER (taken AND value < old) AS n_downgrade FROM ev GROUP BY 1, 2, 3"""
-    return {"snapshots_ingested": dated(with_views(sql).replace("WITH v_", "WITH RECURSIVE v_", 1).replace(", RECURSIVE rw", ", rw", 1), "snap_date")}
+    leaves = """WITH r AS (SELECT entity, period, obs_date, seq, round(value, 2) AS value FROM v_obs), o AS (SELECT * FROM r WHERE seq % 97 <> 0),
+      n AS (SELECT * REPLACE (CASE WHEN seq % 101 = 0 THEN value + 1 ELSE value END AS value) FROM r WHERE seq % 89 <> 0),
+      d AS (SELECT *, 1 AS l, 0 AS r FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM n) UNION ALL SELECT *, 0, 1 FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM o)),
+      dl AS (SELECT strftime(obs_date, '%Y-%m') AS month, substr(md5(entity), 1, 2) AS bucket, sum(l)::BIGINT AS n_left, sum(r)::BIGINT AS n_right FROM d GROUP BY 1, 2),
+      ol AS (SELECT strftime(obs_date, '%Y-%m') AS month, substr(md5(entity), 1, 2) AS bucket, count(*) AS n FROM o GROUP BY 1, 2), nl AS (SELECT strftime(obs_date, '%Y-%m') AS month, substr(md5(entity), 1, 2) AS bucket, count(*) AS n FROM n GROUP BY 1, 2)
+      SELECT month, bucket, coalesce(ol.n, 0) AS n_before, coalesce(nl.n, 0) AS n_after, n_left, n_right FROM dl LEFT JOIN ol USING (month, bucket) LEFT JOIN nl USING (month, bucket)"""
+    props = f"""WITH p AS (SELECT event_type, {PROPS} AS props FROM events), j AS (SELECT *, CASE WHEN coalesce(trim(props), '') = '' THEN 'empty' WHEN NOT json_valid(props) THEN 'malformed' WHEN json_type(props) <> 'OBJECT' THEN 'not_an_object' END AS reject FROM p),
+      ok AS (SELECT event_type, CAST(props AS JSON) AS o FROM j WHERE reject IS NULL)"""
+    state = "CASE coalesce(json_type(o, '$.{0}'), 'ABSENT') WHEN 'ABSENT' THEN 'absent' WHEN 'NULL' THEN 'null' {1} END"
+    k = state.format("k", "WHEN 'VARCHAR' THEN 'wrong_type' ELSE 'ok'")
+    made = {
+        "differing_leaves": with_views(leaves),
+        "variant_fields": f"""{props} SELECT event_type, 'reject' AS item, reject AS state, count(*) AS n, NULL::DOUBLE AS total FROM j WHERE reject IS NOT NULL GROUP BY 1, 3
+          UNION ALL SELECT event_type, 'k', {k}, count(*), sum(TRY_CAST(o ->> 'k' AS DOUBLE)) FROM ok GROUP BY 1, 3 UNION ALL SELECT event_type, 'tag', {state.format("tag", "ELSE 'ok'")}, count(*), NULL FROM ok GROUP BY 1, 3""",
+        "variant_keys": f"""{props}, ks AS (SELECT o, unnest(json_keys(o)) AS key FROM ok) SELECT key, count(*) AS n, count(*) FILTER (json_type(o, '$.' || key) = 'NULL') AS n_null FROM ks GROUP BY 1""",
+    }
+    return made | {"snapshots_ingested": dated(with_views(sql).replace("WITH v_", "WITH RECURSIVE v_", 1).replace(", RECURSIVE rw", ", rw", 1), "snap_date")}

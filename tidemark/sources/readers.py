@@ -192,3 +192,25 @@ def staged_batch(spark: SparkSession, path: str) -> DataFrame:
     if not bad.isEmpty() or not parsed.where("rows is null or exists(rows, r -> r is null)").isEmpty():
         raise ValueError(f"the staged batch at {path} is neither a list of objects nor an object with rows")
     return parsed.select(F.explode("rows").alias("fields")).select(_record(F.col("fields"), schemas.RAW_OBSERVATION).alias("r")).select("r.*")
+
+
+def variant_fields(rows: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
+    """``rows`` with the text ``column`` read as JSON of any shape: ``reject_reason`` (``empty``, ``malformed``, ``not_an_object``, null for an object) and, for each name and type of
+    ``fields``, its value and ``<name>_state``: ``ok``, ``absent``, ``null`` or ``wrong_type``. A text is parsed once; no schema is needed, and a key that isn't there is told from a null."""
+    whole = "_variant"
+    kind = F.schema_of_variant(whole)
+    parsed = rows.withColumn(whole, F.try_parse_json(F.col(column)))
+    reason = F.when(F.coalesce(F.trim(column), F.lit("")) == "", "empty").when(F.col(whole).isNull(), "malformed").when(~kind.startswith("OBJECT"), "not_an_object")
+    made = {"reject_reason": reason}
+    for name, kind_of in fields.items():
+        path = f'$["{name}"]'
+        raw, value = F.try_variant_get(whole, path, "variant"), F.try_variant_get(whole, path, kind_of)
+        made[name] = F.when(reason.isNull(), value)
+        made[f"{name}_state"] = F.when(reason.isNull(), F.when(raw.isNull(), "absent").when(F.is_variant_null(raw), "null").when(value.isNull(), "wrong_type").otherwise("ok"))
+    return parsed.withColumns(made).drop(whole)
+
+
+def variant_keys(rows: DataFrame, column: str) -> DataFrame:
+    """Every top-level key of the objects in ``column`` with the number of objects that have it (``n``) and that have null there (``n_null``)."""
+    objects = rows.select(F.try_parse_json(F.col(column)).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
+    return objects.lateralJoin(objects.sparkSession.tvf.variant_explode(F.col("v").outer())).groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.is_variant_null("value")).alias("n_null"))
