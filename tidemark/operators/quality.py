@@ -38,17 +38,19 @@ def row_errors(rows: DataFrame) -> DataFrame:
     return rows.withColumn("errors", F.array_compact(F.array(identity, parsable, numeric, order, count, *revisions)))
 
 
-def entity_gate(rows: DataFrame, prices: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Per snapshot and entity: usable rows and all errors, with invalid prices, too few rows and repeated labels among them."""
+def _by_entity(rows: DataFrame, *more: Column) -> DataFrame:
     value = to_num(F.col("value"))
-    per = row_errors(rows).groupBy("snapshot_id", "entity").agg(
+    return row_errors(rows).groupBy("snapshot_id", "entity").agg(
         F.count_if(value.isNotNull()).alias("n_usable"),
         F.flatten(F.collect_list("errors")).alias("row_errors"),
         F.count(F.when(~is_unavailable(F.col("label")), F.trim("label"))).alias("n_labels"),
         F.count_distinct(F.when(~is_unavailable(F.col("label")), F.trim("label"))).alias("n_distinct"),
         F.bool_or(value.isNotNull() & (to_num(F.col("coverage")) == 0)).alias("zero_coverage"),
+        *more,
     )
-    joined = prices.join(per, ["snapshot_id", "entity"], "full_outer")
+
+
+def _verdict(entities: DataFrame, min_rows: int, *more: str) -> DataFrame:
     price = to_num(F.col("price"))
     n = F.coalesce("n_usable", F.lit(0))
     extra = F.array_compact(
@@ -59,7 +61,35 @@ def entity_gate(rows: DataFrame, prices: DataFrame, min_rows: int = MIN_ROWS) ->
         )
     )
     errors = F.array_sort(F.concat(F.coalesce("row_errors", F.array().cast("array<string>")), extra))
-    return joined.select("snapshot_id", "entity", n.alias("n_usable"), price.alias("price"), F.coalesce("zero_coverage", F.lit(False)).alias("zero_coverage"), errors.alias("errors"), (F.size(errors) > 0).alias("rejected"))
+    return entities.select("snapshot_id", "entity", n.alias("n_usable"), price.alias("price"), F.coalesce("zero_coverage", F.lit(False)).alias("zero_coverage"), errors.alias("errors"), (F.size(errors) > 0).alias("rejected"), *more)
+
+
+def entity_gate(rows: DataFrame, prices: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """Per snapshot and entity: usable rows and all errors, with invalid prices, too few rows and repeated labels among them."""
+    return _verdict(prices.join(_by_entity(rows), ["snapshot_id", "entity"], "full_outer"), min_rows)
+
+
+def snapshot_flags(rows: DataFrame, extreme_pct: float = EXTREME_PCT, price_pct: float = PRICE_PCT, min_rows: int = MIN_ROWS, entity_price: Column | None = None) -> DataFrame:
+    """All checks of all snapshots in one pass, a row for each snapshot: ``n_received, zero_coverage, rejected, extreme, price, coverage``, each snapshot compared with the one
+    before it. ``rows`` is what :func:`row_errors` takes, with ``number`` and ``paid`` (compared with those of the series' snapshot before), ``paid_checked``, ``counted`` (whether the row
+    counts for coverage). ``entity_price`` is an aggregate of an entity's rows in a snapshot, the largest of ``entity_price`` by default.
+
+    The rows are dealt by entity once; series, entities and what each of them had before follow from that, and only the flags of an entity and snapshot, one row
+    for both, are shuffled again. The rows of one entity, which are its periods by its snapshots, meet in one task."""
+    series = Window.partitionBy("entity", "period_name").orderBy("snapshot_id")
+    dealt = rows.repartition("entity").withColumns({"was_number": F.lag("number").over(series), "was_paid": F.lag("paid").over(series)})
+    flags = {
+        "extreme": change_pct(F.col("number"), F.col("was_number")) > extreme_pct,
+        "outlier": F.col("paid_checked") & price_outlier(F.col("paid"), F.col("was_paid"), price_pct),
+    }
+    per = _by_entity(dealt, (F.max("entity_price") if entity_price is None else entity_price).alias("price"), F.count_if("counted").alias("n_new"), *[F.bool_or(c).alias(n) for n, c in flags.items()])
+    past = Window.partitionBy("entity").orderBy("snapshot_id").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("n_old", F.last(F.when(F.col("n_new") > 0, F.col("n_new")), ignorenulls=True).over(past))
+    per = per.withColumn("lost", (F.col("n_new") > 0) & coverage_lost(F.col("n_new"), F.col("n_old")))
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return _verdict(per, min_rows, "extreme", "outlier", "lost").groupBy("snapshot_id").agg(
+        F.count("*").alias("n_received"), any_of("zero_coverage").alias("zero_coverage"), any_of("rejected").alias("rejected"), any_of("extreme").alias("extreme"), any_of("outlier").alias("price"), any_of("lost").alias("coverage")
+    )
 
 
 def watchlist_diff(received: DataFrame, expected: DataFrame) -> DataFrame:

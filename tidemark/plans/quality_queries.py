@@ -91,9 +91,10 @@ def aligned_series(spark, sf_dir):
     return valuation.aligned_series(snap, "ASIA").withColumn("value", F.round("value", 6))
 
 
-def _rows(spark, sf_dir):
-    rows = spark.sql(GATE_ROWS.replace("v_snap", "{v}"), v=Views(spark, sf_dir).snap())
-    ends = rows.select("entity").distinct().withColumn("fiscal_end_month", F.when(F.col("entity").startswith("A"), 6))
+def _rows(spark, sf_dir, more: str = ""):
+    views = Views(spark, sf_dir)
+    rows = spark.sql(GATE_ROWS.replace("SELECT ", f"SELECT {more}", 1).replace("v_snap", "{v}"), v=views.snap())
+    ends = views.table("region").select(F.col("r_name").alias("entity"), F.when(F.col("r_name").startswith("A"), 6).alias("fiscal_end_month"))
     return quality.normalized_snapshot(rows, ends)
 
 
@@ -147,18 +148,10 @@ def coverage_regression(spark, sf_dir):
 
 def gate_report(spark, sf_dir):
     """One decision for each month, from all checks."""
-    snap = quality.against_previous(Views(spark, sf_dir).snap())
-    gate = quality.entity_gate(_rows(spark, sf_dir), _prices(spark, sf_dir))
-    per = gate.groupBy("snapshot_id").agg(F.count("*").alias("n_received"), F.bool_or("zero_coverage").alias("zero_coverage"), F.bool_or("rejected").alias("rejected"))
-    flag = lambda df, name: df.select(F.col("snap_date").cast("string").alias("snapshot_id")).distinct().withColumn(name, F.lit(True))
-    flags = (
-        per.join(flag(quality.extreme_changes(snap, 400.0), "extreme"), "snapshot_id", "left")
-        .join(flag(quality.coverage_regression(_counts(spark, sf_dir)), "coverage"), "snapshot_id", "left")
-        .join(flag(quality.price_outliers(snap.where("coverage < 4"), 900.0), "price"), "snapshot_id", "left")
-    )
+    more = "value AS number, price AS paid, coverage < 4 AS paid_checked, coverage % 4 <> 0 AS counted, "
+    flags = quality.snapshot_flags(_rows(spark, sf_dir, more), 400.0, 900.0, entity_price=(F.sum("paid") - 500000).cast("string"))
     ts = F.concat("snapshot_id", F.when(F.month(F.to_date("snapshot_id")) == 2, "T08:00:00").otherwise("T08:00:00Z"))
     flags = flags.withColumns({"collected_at": ts, "source_as_of": F.lit(None).cast("string"), "snapshot_utc": F.lit(None).cast("string"), "n_missing": F.when(F.month(F.to_date("snapshot_id")) == 5, 1).otherwise(0)})
-    flags = flags.fillna(False, ["extreme", "coverage", "price"])
     out = quality.gate_decision(quality.timestamp_gate(flags, F.lit("2001-05-05T00:00:00Z").cast("timestamp"), backfill=True))
     return out.select("snapshot_id", "status", "reason", "publishable")
 
