@@ -120,20 +120,71 @@ def test_units_of_equal_rows_and_other_scripts(docs, words):
 
 
 def brute_chunks(rows):
-    seen, out = {}, {}
+    """Texts without every line under a chunk that an earlier place has as well."""
+    seen, out = set(), {}
     for i, text in sorted(rows):
-        lines, keep = (text or "").encode().split(b"\n"), []
-        for first, n in line_chunks.chunks(lines):
+        lines, gone = (text or "").encode().split(b"\n"), set()
+        for first, n in line_chunks.all_chunks(lines):
             raw = b"\n".join(lines[first : first + n])
-            if n >= 2 and len(raw.decode()) >= 25 and raw in seen and seen[raw] != (i, first):
-                continue
-            if n >= 2 and len(raw.decode()) >= 25:
-                seen.setdefault(raw, (i, first))
-            keep += lines[first : first + n]
-        out[i] = b"\n".join(keep).decode()
+            if raw in seen:
+                gone |= set(range(first, first + n))
+            seen.add(raw)
+        out[i] = b"\n".join([x for k, x in enumerate(lines) if k not in gone]).decode()
+    return out
+
+
+def repeated_pairs(rows):
+    """By document, the numbers of the lines in two adjacent ones, of 25 code points, that an earlier place has: no boundaries of chunks in it."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        lines = (text or "").split("\n")
+        for k in range(len(lines) - 1):
+            raw = "\n".join(lines[k : k + 2])
+            if len(raw) >= 25 and all(x.strip() for x in lines[k : k + 2]):
+                if raw in seen:
+                    out.setdefault(i, set()).update((k, k + 1))
+                seen.add(raw)
     return out
 
 
+def test_recall_of_repeated_lines(docs, words):
+    rng = random.Random(17)
+    passages = [[" ".join(words(5)) for _ in range(rng.choice((2, 2, 3, 5)))] for _ in range(60)]
+    rows = []
+    for i in range(400):
+        lines = [" ".join(words(6)) for _ in range(rng.randint(1, 6))]
+        if i % 2:
+            at = rng.randint(0, len(lines))
+            lines[at:at] = rng.choice(passages)
+        rows.append((i, "\n".join(lines)))
+    want = repeated_pairs(rows)
+    out, _, removed = line_chunks.dedup_chunks(docs(rows))
+    got = {r["doc_id"]: {k for s in r[removed] for k in range(s["line"], s["line"] + s["n_lines"])} for r in out.collect() if r[removed]}
+    assert len(want) > 100 and set(got) <= set(want) and len(got) >= 0.9 * len(want)
+    assert all(got[i] <= want[i] for i in got)  # nothing but repeated lines goes
+
+
+def test_each_line_is_kept_somewhere(docs, words):
+    rng = random.Random(18)
+    pool = [" ".join(words(5)) for _ in range(12)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for i in range(80)] + [(90, "\n".join([pool[0]] * 5)), (91, "")]
+    out, kept, removed = line_chunks.dedup_chunks(docs(rows))
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert {x for _, t in rows for x in t.split("\n")} == {x for r in got.values() for x in r[kept].split("\n")} | {""}
+    for i, text in rows:
+        lines, raw = text.split("\n"), text.encode()
+        for s in got[i][removed] or []:
+            assert raw[s["start"] : s["stop"]].decode() == "\n".join(lines[s["line"] : s["line"] + s["n_lines"]])
+
+
+def test_one_line_many_times_and_blank_lines(docs, words):
+    a, b = (" ".join(words(8)) for _ in range(2))
+    blank = f"\n\n{a}\n\n \n"
+    rows = [(1, "\n".join([a] * 6)), (2, blank), (3, blank), (4, f"{b}\n\n{b}")]
+    got = {r["doc_id"]: r["kept_text"] for r in line_chunks.dedup_chunks(docs(rows))[0].collect()}
+    assert got[1] == a and got[2] == blank and got[3] == blank and got[4] == rows[3][1]
+
+
 def test_chunks_against_brute_force(docs, words):
     rng = random.Random(9)
     passages = [[" ".join(words(6)) for _ in range(rng.randint(3, 12))] for _ in range(6)]

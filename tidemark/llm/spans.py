@@ -23,17 +23,35 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str, str]
     return docs.withColumns(keys), a, b
 
 
-@F.pandas_udf(T.StringType())
-def kept_lines(texts: pd.Series, removed: pd.Series) -> pd.Series:
-    """Each text without the lines whose numbers ``removed`` has, None where there was no text."""
-
-    def cut(text, gone):
-        if text is None or gone is None:
-            return text
-        gone = set(gone)
-        return "\n".join([x for i, x in enumerate(text.split("\n")) if i not in gone])
-
-    return pd.Series([cut(x, g) for x, g in zip(texts, removed, strict=True)], dtype=object)
+RUN = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "stop", "line", "n_lines")])
+
+
+def runs_of(spans: list) -> list[dict[str, int]]:
+    """The maximal runs of lines that ``spans``, which may overlap, cover."""
+    runs: list[dict[str, int]] = []
+    for s in sorted(spans, key=lambda s: s["line"]):
+        if runs and s["line"] <= runs[-1]["line"] + runs[-1]["n_lines"]:
+            last = runs[-1]
+            last["stop"] = max(last["stop"], s["stop"])
+            last["n_lines"] = max(last["n_lines"], s["line"] + s["n_lines"] - last["line"])
+        else:
+            runs.append({c: int(s[c]) for c in RUN.names})
+    return runs
+
+
+@F.pandas_udf(T.StructType([T.StructField("kept", T.StringType()), T.StructField("runs", T.ArrayType(RUN))]))
+def without_lines(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    """Each text without the lines in ``spans``, and the runs that went; None where there was no text."""
+    kept, removed = [], []
+    for text, mine in zip(texts, spans, strict=True):
+        runs = [] if text is None else runs_of(list(mine))
+        if runs:
+            lines = text.split("\n")
+            edges = [0, *[k for r in runs for k in (r["line"], r["line"] + r["n_lines"])], len(lines)]
+            text = "\n".join([x for a, b in zip(edges[::2], edges[1::2], strict=True) for x in lines[a:b]])
+        kept.append(text)
+        removed.append(runs)
+    return pd.DataFrame({"kept": kept, "runs": removed})
 
 
 def joined_spans(docs: DataFrame, key: tuple[str, str], spans: DataFrame, fields: tuple[str, ...]) -> tuple[DataFrame, str]:
@@ -48,14 +66,16 @@ def joined_spans(docs: DataFrame, key: tuple[str, str], spans: DataFrame, fields
 
 
 def cut_lines(docs: DataFrame, key: tuple[str, str], later: DataFrame, text: str) -> tuple[DataFrame, str, str]:
-    """``docs`` (with its key columns, which go) with the removed spans and the kept text, and the names of the two new columns.
-    ``later`` has a row per span to remove: ``key_id, key_text, start, stop, line, n_lines``."""
-    out, removed = joined_spans(docs, key, later, ("start", "stop", "line", "n_lines"))
-    kept = free_name(out, "kept_text")
-    lines = F.flatten(F.transform(removed, lambda s: F.sequence(s["line"], s["line"] + s["n_lines"] - 1)))
+    """``docs`` (with its key columns, which go) with the removed runs of lines and the kept text, and the names of the two new columns.
+    ``later`` has a row per span to remove: ``key_id, key_text, start, stop, line, n_lines``; spans may overlap."""
+    columns = [c for c in docs.columns if c not in key]
+    out, spans = joined_spans(docs, key, later, ("start", "stop", "line", "n_lines"))
+    made, kept, removed = free_name(out, "cut"), free_name(out, "kept_text"), free_name(out, "removed_runs")
     # a text that loses nothing never leaves the JVM
-    cut = kept_lines(F.when(F.col(removed).isNotNull(), F.col(text)), lines)
-    return out.withColumn(kept, F.coalesce(cut, F.col(text))), kept, removed
+    out = out.withColumn(made, without_lines(F.when(F.col(spans).isNotNull(), F.col(text)), spans))
+    runs = F.col(f"{made}.runs")
+    out = out.select(*columns, F.when(F.size(runs) > 0, runs).alias(removed), F.coalesce(F.col(f"{made}.kept"), F.col(text)).alias(kept))
+    return out, kept, removed
 
 
 def spans_text(spans: Column) -> Column:
