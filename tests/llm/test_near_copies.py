@@ -71,6 +71,37 @@ def test_large_groups_in_blocks(docs, words, monkeypatch):
         assert {r["doc_id"] for r in near_copies.first_of_each_group(docs(rows)).collect()} == want
 
 
+def test_large_buckets_are_dealt_once(spark, monkeypatch):
+    """A bucket of 50,000 members, all but 20 of them in one component, makes about a row for each."""
+    node = near_copies.F.col("id")
+    members = spark.range(50_000).select(near_copies.F.lit(1).alias("band"), node.alias("node"), near_copies.F.when(node % 2500 == 7, node).otherwise(0).alias("root"))
+    dealt = near_copies.in_blocks(members)
+    assert 50_000 <= dealt.count() < 51_000
+    # whatever the blocks, each pair with a member outside meets once
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    few = spark.createDataFrame([(1, i, i if i % 3 else 0) for i in range(24)] + [(2, i, 5 * (i % 2)) for i in range(7)] + [(3, 1, 1), (3, 2, 2)], "band int, node long, root long")
+    met = {}
+    for _, g in near_copies.in_blocks(few).toPandas().groupby(["band", "within", "one", "two"]):
+        across = g["one"].iloc[0] != g["two"].iloc[0]
+        for x in g.itertuples():
+            for y in g.itertuples():
+                if x.within and x.node < y.node and (x.outside or y.outside) and not (across and x.part == y.part) or not x.within and x.outside and not y.outside:
+                    pair = (x.band, *sorted((x.node, y.node)))
+                    met[pair] = met.get(pair, 0) + 1
+    rows = few.collect()
+    most = {1: 0, 2: 0, 3: 2}
+    want = {(x.band, x.node, y.node) for x in rows for y in rows if x.band == y.band and x.node < y.node and not x.root == y.root == most[x.band]}
+    assert set(met) == want and set(met.values()) == {1}
+
+
+def test_equal_rows_with_other_columns(docs):
+    rows = docs([(1, "a b c"), (1, "a b c"), (2, "A b c")]).withColumn("more", near_copies.F.map_from_arrays(near_copies.F.array(near_copies.F.lit("k")), near_copies.F.array(near_copies.F.monotonically_increasing_id())))
+    for parts in (1, 3):
+        (got,) = near_copies.first_of_each_group(rows.coalesce(1).orderBy(near_copies.F.rand()).repartition(parts)).collect()
+        assert got["doc_id"] == 1
+    assert got.asDict().keys() == set(rows.columns)
+
+
 def test_sketches_lose_no_similar_pair(words):
     rng = random.Random(6)
     for n in (40, 400, 4000):

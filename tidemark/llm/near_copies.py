@@ -11,8 +11,8 @@ least ``threshold``:
 Candidates are compared in two rounds. First each text with the first one of its fingerprint or of a linked fingerprint, and each
 member of a band's bucket with the bucket's pivot, the member with the fullest buckets. Then the pairs of a bucket that the
 first round left in different components, but for those that their MinHash signatures and their bottom-k sketches (all shingle
-hashes of a text with at most SKETCH of them) show to be less similar; a pair is compared in the first band that it shares, and large
-buckets in blocks. Components of all confirmed pairs are the groups.
+hashes of a text with at most SKETCH of them) show to be less similar; a pair is compared in the first band that it shares. Members of
+a bucket's largest component are not compared with each other, but, in blocks, with those outside it. Components of all confirmed pairs are the groups.
 
 Defined results: null and empty texts are copies of each other; a text shorter than a shingle is one shingle; null document ids rank
 before all, and rows that share an id are ranked by the hash of their texts; repeated rows are copies; a very long text is read whole, in one
@@ -158,20 +158,23 @@ def may_reach(one: np.ndarray, others: list[np.ndarray], threshold: float) -> np
 
 
 def open_pairs(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """The pairs of a bucket (of two of its blocks) in different components that may be similar enough and share no earlier band."""
+    """The pairs of a group of :func:`in_blocks`, one of them outside the bucket's largest component, that are in different
+    components, may be similar enough and share no earlier band."""
     frame = frame.sort_values("node", ignore_index=True)
-    node, root, part = (frame[c].to_numpy(np.int64) for c in ("node", "root", "part"))
-    band, across = frame["band"][0], part.min() != part.max()
+    node, root, part, outside = (frame[c].to_numpy() for c in ("node", "root", "part", "outside"))
+    band, within, across = frame["band"][0], frame["within"][0], frame["one"][0] != frame["two"][0]
     sig = np.frombuffer(b"".join(frame["sig"]), np.uint8).reshape(len(frame), -1)
     bands = np.array(frame["bands"].tolist(), np.int64)
     sketch = [np.frombuffer(x, np.uint64) for x in frame["sketch"]]
-    most = frame["root"].mode()[0]  # pairs within the largest component need no look
     a, b = [], []
-    for i in np.flatnonzero(root != most).tolist():
+    for i in np.flatnonzero(outside).tolist():
         near = np.flatnonzero((root != root[i]) & ((sig == sig[i]).sum(axis=1) >= LEAST))
-        near = near[(root[near] == most) | (near > i)]
-        if across:
-            near = near[part[near] != part[i]]
+        if within:
+            near = near[~outside[near] | (near > i)]
+            if across:
+                near = near[part[near] != part[i]]
+        else:
+            near = near[~outside[near]]
         if not len(near):
             continue
         near = near[bands[i][(bands[near] == bands[i]).argmax(axis=1)] == band]
@@ -184,11 +187,23 @@ def open_pairs(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def in_blocks(members: DataFrame) -> DataFrame:
-    """``members`` (with ``band``, ``node`` and the bucket's size ``n``) once for each pair of blocks that its block is in: ``one, two``."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    part = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.withColumn("one", F.least("part", "other")).withColumn("two", F.greatest("part", "other")).drop("other", "n")
+    """``members`` (``band, node, root``) dealt to groups ``band, within, one, two`` for comparison. Pairs inside the largest component of a
+    bucket need no look, so blocks of the members outside it meet blocks of those inside it: a bucket of which all but a few members are
+    settled copies each of those once, whatever its size. Pairs of blocks outside are groups ``within``; a bucket of one block of each is one
+    such group."""
+    sizes = members.groupBy("band", "root").agg(F.count("*").alias("k"))
+    facts = sizes.groupBy("band").agg(F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("top"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    facts = facts.select("band", F.col("top.root").alias("most"), blocks(F.col("top.k")).alias("n_in"), blocks(F.col("n") - F.col("top.k")).alias("n_out"))
+    dealt = members.select("band", "node", "root").join(stored(facts, "facts"), "band").withColumn("outside", F.col("root") != F.col("most"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("node"), F.when(F.col("outside"), F.col("n_out")).otherwise(F.col("n_in"))).cast("int"))
+    group = lambda within, one, two: F.struct(within.alias("within"), one.alias("one"), two.alias("two"))
+    single, part = (F.col("n_out") == 1) & (F.col("n_in") == 1), F.col("part")
+    meets_in = F.transform(F.sequence(F.lit(0), F.col("n_in") - 1), lambda k: group(single, part, F.when(single, part).otherwise(k)))
+    meets_out = F.transform(F.sequence(F.lit(0), F.col("n_out") - 1), lambda k: group(F.lit(True), F.least(part, k), F.greatest(part, k)))
+    is_met = F.transform(F.sequence(F.lit(0), F.col("n_out") - 1), lambda k: group(single, k, F.when(single, k).otherwise(part)))
+    groups = F.when(~F.col("outside"), is_met).when(single, meets_in).otherwise(F.concat(meets_in, meets_out))
+    return dealt.select("band", "node", "root", "outside", "part", F.explode(groups).alias("g")).select("band", "node", "root", "outside", "part", "g.*")
 
 
 def near_copies(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,7 +238,7 @@ def near_copies(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHO
     split = stored(rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band"), "split")
     left = stored(rooted.join(split, "band"), "left")
     facts = classes.select("node", "sig", "bands").join(sketches(left.select("node"), classes, texts, size), "node")
-    grouped = in_blocks(left).join(stored(facts, "facts"), "node").groupBy("band", "one", "two")
+    grouped = in_blocks(left).join(stored(facts, "facts"), "node").groupBy("band", "within", "one", "two")
     more = grouped.applyInPandas(lambda frame: open_pairs(frame, threshold), "a long, b long")
     more = stored(more.join(compared, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():

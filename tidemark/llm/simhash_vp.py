@@ -199,12 +199,16 @@ def first_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
 
 def keep_firsts(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows of ``docs`` whose key is the ``first`` of its row in ``found``, once each."""
+    """The rows of ``docs`` whose key is the ``first`` of its row in ``found``, once each. Of several rows with one id and text the one stays
+    whose other columns, as JSON, come first."""
     kept = found.where(F.struct("key_id", "key_text") == F.col("first")).select("key_id", "key_text").distinct()
     rows, a, b = keyed(docs, doc_id, text)
     at, tie = free_name(rows, "kept_id"), free_name(rows, "kept_tie")
     kept = kept.select(F.col("key_id").alias(at), F.col("key_text").alias(tie))
-    return rows.join(kept, (F.col(a) == F.col(at)) & (F.col(b) == F.col(tie)), "left_semi").dropDuplicates([a, b]).select(*docs.columns)
+    firsts = rows.join(kept, (F.col(a) == F.col(at)) & (F.col(b) == F.col(tie)), "left_semi")
+    others = F.to_json(F.struct(*[c for c in docs.columns if c != text]), {"ignoreNullFields": "false"})
+    whole = free_name(docs, "whole_row")
+    return firsts.groupBy(a, b).agg(F.min_by(F.struct(*docs.columns), others).alias(whole)).select(f"{whole}.*")
 
 
 def op7_simhash_vp(spark: SparkSession, sf_dir: str) -> DataFrame:
