@@ -8,13 +8,13 @@ from tidemark.operators import datasets, digests, history
 from tidemark.plans.alert_queries import EVENTS, _events
 from tidemark.plans.views import Views, dated, with_views
 
-YEARS = ["1996E", "1997E", "1998E"]
+YEARS = ["1995E", "1996E", "1997E", "1998E", "1999E", "2000E", "2001E"]
 # Yearly rows as snapshots: a display year per order year, some revisions unavailable.
 ROWS = """
 SELECT CAST(month(obs_date) AS string) AS snapshot_id, entity, concat(CAST(year(obs_date) AS string), 'E') AS slot, period AS label, CAST(CAST(round(avg(value)) AS bigint) AS string) AS value,
   CAST(CAST(ceil(max(value)) AS bigint) AS string) AS high, CAST(CAST(floor(min(value)) AS bigint) AS string) AS low, CAST(count(*) AS string) AS coverage,
   CASE WHEN count(*) % 5 = 0 THEN 'n/a' ELSE concat(CAST(CAST(round(avg(value) / 10000) AS int) - 15 AS string), '%') END AS rev_1m, CAST(NULL AS string) AS rev_3m, CAST(NULL AS string) AS rev_6m
-FROM v_obs WHERE period = 'Dec 1997' AND year(obs_date) BETWEEN 1996 AND 1998 GROUP BY entity, period, month(obs_date), year(obs_date)
+FROM v_obs GROUP BY entity, period, month(obs_date), year(obs_date)
 """
 
 
@@ -78,17 +78,19 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
+    by_year = ", ".join(f"max(v) FILTER (slot = '{y}') AS \"value_{y}\"" for y in YEARS)
+    shown = ", ".join(f'"value_{y}"' for y in YEARS)
     typed = "rw AS (" + ROWS + "), ty AS (SELECT *, CAST(value AS double) AS v, CAST(high AS double) AS h, CAST(low AS double) AS l, TRY_CAST(replace(rev_1m, '%', '') AS double) AS r FROM rw)"
     sql = {
-        "companies": f"""WITH {typed}, w AS (SELECT snapshot_id, entity, max(v) FILTER (slot = '1996E') AS "value_1996E", max(v) FILTER (slot = '1997E') AS "value_1997E", max(v) FILTER (slot = '1998E') AS "value_1998E",
-            max(r) FILTER (slot = '1997E') AS near, max(r) FILTER (slot = '1998E') AS far, CAST(snapshot_id AS int) AS m FROM ty GROUP BY 1, 2)
+        "companies": f"""WITH {typed}, w AS (SELECT snapshot_id, entity, {by_year},
+            max(r) FILTER (slot = '{YEARS[1]}') AS near, max(r) FILTER (slot = '{YEARS[2]}') AS far, CAST(snapshot_id AS int) AS m FROM ty GROUP BY 1, 2)
           SELECT snapshot_id, entity, 1000.0::double + m AS last_close, CASE WHEN m % 2 = 0 THEN CAST('1' || snapshot_id || '.5' AS double) END AS after_hours,
           CASE WHEN m % 3 <> 0 THEN strftime(make_date(1999, m, 5), '%b ') || '5, 1999 · Pre-Market · Estimated' END AS next_event, CASE WHEN m % 3 <> 0 THEN 'Pre-Market' END AS session,
           CASE WHEN near >= 3 AND far >= 3 THEN 'Strong Positive' WHEN near >= 1 AND far >= 1 THEN 'Positive' WHEN near <= -3 AND far <= -3 THEN 'Strong Negative' WHEN near <= -1 AND far <= -1 THEN 'Negative' ELSE 'Neutral' END AS momentum,
           CASE WHEN near IS NULL OR far IS NULL THEN 'Insufficient Data' WHEN near < 0 AND far >= 5 THEN 'Back-end Loaded / Divergent' WHEN near >= 5 AND far < 0 THEN 'Front-loaded / Divergent' WHEN near >= 3 AND far >= 3 THEN 'Broad Upward Revision'
             WHEN near <= -3 AND far <= -3 THEN 'Broad Downward Revision' WHEN abs(near) < 1 AND abs(far) < 1 THEN 'Stable' WHEN near > 0 AND far > 0 THEN 'Mild Upward' WHEN near < 0 AND far < 0 THEN 'Mild Downward' ELSE 'Divergent / Mixed' END AS regime,
-          m % 4 = 0 AS collection_failed, "value_1996E", "value_1997E", "value_1998E" FROM w""",
-        "period_table": f"WITH {typed} SELECT snapshot_id, entity, slot, label AS period, v AS value, round(CASE WHEN v > 0 THEN (h - l) / v END, 6) AS dispersion, r AS rev_1m, true AS fiscal_equals_calendar FROM ty",
+          m % 4 = 0 AS collection_failed, {shown} FROM w""",
+        "period_table": f"WITH {typed} SELECT snapshot_id, entity, slot, label AS period, v AS value, round(CASE WHEN v > 0 THEN (h - l) / v END, 6) AS dispersion, r AS rev_1m, label LIKE 'Dec %' AS fiscal_equals_calendar FROM ty",
         "mapping_audit": """SELECT period, CASE WHEN left(period, 3) IN ('Jan', 'Feb', 'Mar') THEN CAST(right(period, 4) AS int) - 1 ELSE CAST(right(period, 4) AS int) END || 'E' AS slot,
           CASE WHEN left(period, 3) IN ('Jan', 'Feb', 'Mar') THEN 'January to March: prior year' WHEN period LIKE 'Dec%' THEN 'calendar year' ELSE 'ending year' END AS rule, count(*) AS n FROM v_snap GROUP BY 1, 2, 3""",
         "revision_browser": f"WITH {EVENTS} SELECT entity, period AS slot, \"date\", seq FROM ev WHERE period = '1997E'",

@@ -11,9 +11,9 @@ from tidemark.plans.views import Views, dated, with_views
 
 VAL = """
 SELECT concat(entity, ' ', period) AS entity, concat(CAST(year(obs_date) AS string), 'E') AS slot, avg(value) - 150000 AS value, max(value) AS price, count(*) AS coverage
-FROM v_obs WHERE year(obs_date) < 2001 GROUP BY entity, period, year(obs_date)
+FROM v_obs GROUP BY entity, period, year(obs_date)
 """
-YEARS = ["1995E", "1996E", "1997E", "1998E", "1999E", "2000E"]
+YEARS = ["1995E", "1996E", "1997E", "1998E", "1999E", "2000E", "2001E"]
 # Snapshots as text: months as snapshots; some counts are zero, some highs too low, some labels empty or years, some values not numbers.
 GATE_ROWS = """
 SELECT CAST(snap_date AS string) AS snapshot_id, entity, concat(CAST(CAST(coverage AS int) AS string), 'E') AS slot, period AS period_name,
