@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import alerts, digests, gate_chain, history
+from tidemark.plans import stream_queries
 from tidemark.sources import readers, schemas, writers
 from tidemark.streaming import alerts as stream_alerts
 from tidemark.streaming import ingest
@@ -219,6 +220,50 @@ def test_one_shot_alerts_expire_in_event_time(spark, tmp_path):
     assert states == [("a", 0, "active"), ("a", 21, "expired"), ("b", 40, "active"), ("c", 41, "active"), ("d", 0, "active"), ("d", 21, "expired"), ("d", 22, "active")]
 
 
+def _batches(spark, folder, rows, schema):
+    """Stream after stream over one more file each, as runs of a job are."""
+    (folder / "in").mkdir(exist_ok=True)
+    for k, batch in enumerate(rows):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(str(folder / f"new{k}"))
+        for f in (folder / f"new{k}").glob("part-*"):
+            f.rename(folder / "in" / f"{k}-{f.name}")
+        yield spark.readStream.schema(schema).parquet(str(folder / "in"))
+
+
+@pytest.mark.parametrize("refresh", [True, False])
+def test_alert_log_equals_batch_without_python(spark, tmp_path, refresh):
+    """Over several batches and with alerts that are open before; late rows are ignored, and no key has a Python call of its own."""
+    rng = random.Random(8)
+    day = lambda i: dt.datetime(2026, 1, 20) + dt.timedelta(days=i)
+    value = lambda: rng.choice([None, float("nan"), rng.uniform(-8, 8), rng.uniform(3, 6), 6.0])
+    schema = "entity string, period string, as_of timestamp, pct double"
+    rows = [(e, "P", day(i), value()) for e in "ABCDEFG" for i in range(40)] + [("A", "P", day(3), 5.5), ("A", "P", None, 9.0), ("H", "P", day(38), 7.0)]
+    valid = [r for r in rows if r[3] is not None and r[3] == r[3] and r[2] is not None]
+    known = spark.createDataFrame([("A", "P", 5.2), ("B", "P", -7.0), ("Z", "P", 6.0)], "entity string, period string, pct double")
+    want = sorted(map(tuple, alerts.hysteresis(spark.createDataFrame(valid, schema), refresh_in_band=refresh, open_alerts=known).collect()), key=repr)
+    seen = max(r[2] for r in valid if r[0] == "C" and r[2] < day(15))
+    late = [("C", "P", seen, 30.0), ("C", "P", day(-9), 30.0)]
+    cut = [[r for r in rows if r[2] is None or r[2] < day(15)], [*late, *(r for r in rows if r[2] and day(15) <= r[2] < day(16))], [r for r in rows if r[2] and r[2] >= day(16)]]
+    assert len(want) > 60 and {r[4] for r in want} == {"Open", "Hold", "Updated", "Resolved"}
+    path = str(tmp_path / "log")
+    for stream in _batches(spark, tmp_path, cut, schema):
+        q = stream_alerts.alert_log(stream, path, refresh, known)
+        q.awaitTermination()
+        assert "TransformWithState" not in q.lastProgress["sink"]["description"] and not q.lastProgress["stateOperators"]
+    assert sorted(map(tuple, stream_alerts.logged(spark, path, stream_alerts.EVENTS).collect()), key=repr) == want
+    assert sorted(p.name for p in (tmp_path / "log" / "state").iterdir()) == ["1", "2"]
+    assert not stream_alerts.logged(spark, str(tmp_path / "none"), stream_alerts.EVENTS).collect()
+
+
+@pytest.mark.parametrize("name", ["stream_alerts"])
+def test_stream_queries_keep_no_python_state(spark, monkeypatch, name):
+    """A Python call for each series and batch took over a minute on 22,500 series."""
+    called = lambda *_: pytest.fail("a series by itself")
+    for f in ("alert_stream", "one_shot_lifecycle"):
+        monkeypatch.setattr(stream_alerts, f, called)
+    assert stream_queries.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_checkpoint_cursor(spark, tmp_path):
     path = str(tmp_path / "cursor")
     assert spark.range(1).select(ingest.read_checkpoint(spark, path).alias("x")).first()["x"] is None

@@ -44,7 +44,9 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_alerts(spark, sf_dir):
     """The hysteresis over every user's events as a stream; the oracle is the batch form."""
     series = _event_stream(spark, sf_dir).select("entity", "period", F.col("update_ts").alias("as_of"), ((F.col("value") - 60) / 10).alias("pct"))
-    out = _drained(alerts.alert_stream(series), "stream-alerts")
+    path = _folder(spark, "stream-alerts")
+    alerts.alert_log(series, path).awaitTermination()
+    out = alerts.logged(spark, path, alerts.EVENTS)
     return out.select("entity", "period", F.date_format("as_of", "yyyy-MM-dd HH:mm:ss").alias("as_of"), F.round("pct", 6).alias("pct"), "event", "episode")
 
 

@@ -1,20 +1,26 @@
-"""Threshold alerts as a stream, with the same lifecycle as the batch operator."""
+"""Threshold alerts as a stream, with the same lifecycle as the batch operator.
+
+:func:`alert_stream` and :func:`one_shot_lifecycle` are streaming tables with keyed state, for any sink; they call Python once a key and batch, which takes
+milliseconds. :func:`alert_log` and :func:`one_shot_log` are sinks for many keys: the state is a table, and each batch is worked on as a whole by windows and
+aggregates. Both give the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidemark.functions.dates import ONE_SHOT_DAYS
-from tidemark.operators.alerts import MATERIAL, OPEN_AT, RESOLVE_BELOW
+from tidemark.operators.alerts import MATERIAL, OPEN_AT, RESOLVE_BELOW, hysteresis
+from tidemark.sources.writers import exists, remove
 
 EVENTS = "entity string, period string, as_of timestamp, pct double, event string, episode long"
+STATES = "id string, state string, at timestamp"
 STATE = "is_open boolean, has_stored boolean, stored double, episode long, seen timestamp"
 LIFE = pd.Timedelta(days=ONE_SHOT_DAYS)
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -96,6 +102,57 @@ def alert_stream(series: DataFrame, refresh_in_band: bool = True, open_alerts: D
     return rows.groupBy("entity", "period").transformWithStateInPandas(Lifecycle(refresh_in_band), EVENTS, "append", "none", initial)
 
 
+def _logged(stream: DataFrame, path: str, step: Callable[[DataFrame, str | None, str, str], None]) -> StreamingQuery:
+    """Run ``step(batch, state before it or None, where its rows go, where the state after it goes)`` for every batch that is there. A batch that is repeated after
+    a failure finds the same state and replaces what it wrote; the states of the last two batches are kept."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        state = lambda n: f"{path}/state/{n}"
+        step(batch, state(number - 1) if number else None, f"{path}/rows/batch={number}", state(number))
+        remove(batch.sparkSession, state(number - 2))
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+
+
+def logged(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a log at ``path``: ``schema`` is :data:`EVENTS` or :data:`STATES`."""
+    there = exists(spark, f"{path}/rows")  # a stream without any rows has no batch
+    return spark.read.schema(schema).parquet(f"{path}/rows/batch=*") if there else spark.createDataFrame([], schema)
+
+
+def alert_log(series: DataFrame, path: str, refresh_in_band: bool = True, open_alerts: DataFrame | None = None) -> StreamingQuery:
+    """:func:`alert_stream` into files at ``path``, to be read by :func:`logged`: the batch operator goes over every batch from the state of the series before it. That
+    state is a table of one row a series (open or not, stored percentage, episodes, last time seen), written anew after each batch."""
+    keys = ("entity", "period")
+
+    def step(batch: DataFrame, before: str | None, to: str, after: str) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*keys, F.col("as_of").cast("timestamp").alias("as_of"), F.col("pct").cast("double").alias("pct"))
+        rows = rows.where("pct is not null and not isnan(pct) and as_of is not null")
+        known = None
+        if before:
+            known = spark.read.parquet(before)
+            seen = known.where("seen is not null").select(*[F.col(k).alias(f"known_{k}") for k in keys], "seen")
+            same = [F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in keys]
+            rows = rows.join(seen, [*same, F.col("as_of") <= F.col("seen")], "left_anti")
+        elif open_alerts is not None:
+            known = open_alerts.select(*keys, F.lit(True).alias("is_open"), F.col("pct").cast("double").alias("pct"), F.lit(1).cast("long").alias("episode"), F.lit(None).cast("timestamp").alias("seen"))
+        hysteresis(rows, keys, refresh_in_band=refresh_in_band, open_alerts=known).write.mode("overwrite").parquet(to)
+        # an alert that is open stores the percentage of its last event, and what a closed one stores is never asked for
+        last = F.struct((F.col("event") != "Resolved").alias("is_open"), "pct", "episode")
+        told = spark.read.schema(EVENTS).parquet(to).select(*keys, last.alias("last"), F.struct("as_of", "pct").alias("at"), "as_of")
+        empty = lambda c: F.lit(None).cast(told.schema[c].dataType).alias(c)
+        now = told.unionByName(rows.select(*keys, empty("last"), empty("at"), "as_of"))
+        if known is not None:
+            first = F.struct(F.lit(None).cast("timestamp").alias("as_of"), F.lit(None).cast("double").alias("pct"))
+            now = now.unionByName(known.select(*keys, F.struct("is_open", "pct", "episode").alias("last"), first.alias("at"), F.col("seen").alias("as_of")))
+        now = now.groupBy(*keys).agg(F.max_by("last", F.when(F.col("last").isNotNull(), F.col("at"))).alias("last"), F.max("as_of").alias("seen"))
+        none = {"is_open": F.lit(False), "pct": F.lit(None).cast("double"), "episode": F.lit(0).cast("long")}
+        now.select(*keys, *[F.coalesce(f"last.{c}", x).alias(c) for c, x in none.items()], "seen").write.mode("overwrite").parquet(after)
+
+    return _logged(series, path, step)
+
+
 def newest_open(events: DataFrame) -> DataFrame:
     """``entity, period, pct`` of the series that the lifecycle ``events`` leave open: what :func:`alert_stream` and the batch operator go on from. Where
     holds in the band give no row they store nothing either, so that the last event has the stored percentage in both cases."""
@@ -147,4 +204,4 @@ def one_shot_lifecycle(alerts: DataFrame, delay: str = "1 day") -> DataFrame:
     again while it lives is not prolonged; after its end it begins anew. The state of an alert goes with its expiry. To be started under
     :func:`rocksdb`."""
     rows = alerts.select("id", "event_at").withWatermark("event_at", delay)
-    return rows.groupBy("id").transformWithStateInPandas(OneShot(), "id string, state string, at timestamp", "append", "eventtime")
+    return rows.groupBy("id").transformWithStateInPandas(OneShot(), STATES, "append", "eventtime")
