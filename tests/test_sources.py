@@ -255,7 +255,26 @@ def test_alert_log_equals_batch_without_python(spark, tmp_path, refresh):
     assert not stream_alerts.logged(spark, str(tmp_path / "none"), stream_alerts.EVENTS).collect()
 
 
-@pytest.mark.parametrize("name", ["stream_alerts"])
+def test_one_shot_log_equals_one_shot_lifecycle(spark, tmp_path):
+    """Batch after batch, with chains of activations inside a batch, late rows and rows without a time."""
+    rng = random.Random(3)
+    at = lambda d: dt.datetime(2026, 1, 1) + dt.timedelta(days=d)
+    schema = "id string, event_at timestamp"
+    spans = ((0, 30), (30, 31), (25, 140), (60, 141), (139, 200))  # some rows are older than the stream has got to
+    rows = [[(rng.choice("abcdefgh"), at(rng.uniform(*span))) for _ in range(n)] for span, n in zip(spans, (30, 10, 60, 40, 12), strict=True)]
+    rows[0] += [("a", at(0)), ("a", at(21)), ("x", at(2)), ("n", None)]
+    out, path = str(tmp_path / "o"), str(tmp_path / "log")
+    for stream in _batches(spark, tmp_path, rows, schema):
+        with stream_alerts.rocksdb(spark):
+            q = stream_alerts.one_shot_lifecycle(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        stream_alerts.one_shot_log(stream, path).awaitTermination()
+    got = sorted(map(tuple, stream_alerts.logged(spark, path, stream_alerts.STATES).collect()))
+    assert got == sorted(map(tuple, spark.read.parquet(out).collect()))
+    assert len(got) > 60 and ("x", "expired", at(23)) in got
+
+
+@pytest.mark.parametrize("name", ["stream_alerts", "one_shot_states"])
 def test_stream_queries_keep_no_python_state(spark, monkeypatch, name):
     """A Python call for each series and batch took over a minute on 22,500 series."""
     called = lambda *_: pytest.fail("a series by itself")

@@ -72,7 +72,9 @@ def resumed_alerts(spark, sf_dir):
 def one_shot_states(spark, sf_dir):
     """Every event is a one-shot alert of its user and kind: when each became active and when it had expired by the end of the stream."""
     rows = _event_stream(spark, sf_dir).select(F.concat_ws(":", "entity", "period").alias("id"), F.col("update_ts").alias("event_at"))
-    out = _drained(alerts.one_shot_lifecycle(rows), "one-shots")
+    path = _folder(spark, "one-shots")
+    alerts.one_shot_log(rows, path).awaitTermination()
+    out = alerts.logged(spark, path, alerts.STATES)
     return out.select("id", "state", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 

@@ -205,3 +205,38 @@ def one_shot_lifecycle(alerts: DataFrame, delay: str = "1 day") -> DataFrame:
     :func:`rocksdb`."""
     rows = alerts.select("id", "event_at").withWatermark("event_at", delay)
     return rows.groupBy("id").transformWithStateInPandas(OneShot(), STATES, "append", "eventtime")
+
+
+def one_shot_log(alerts: DataFrame, path: str, delay: str = "1 day") -> StreamingQuery:
+    """:func:`one_shot_lifecycle` into files at ``path``, to be read by :func:`logged`. The state is a table of the alerts that are alive with their ends, beside it the newest
+    time of the stream; an alert has expired once that time less ``delay`` reaches its end, and rows at or before it are late. A batch's times of
+    an alert are one array."""
+    life, late = F.expr(f"INTERVAL {ONE_SHOT_DAYS} DAYS"), F.expr(f"INTERVAL {delay}")
+
+    def step(batch: DataFrame, before: str | None, to: str, after: str) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("id", F.col("event_at").cast("timestamp").alias("event_at")).where("event_at is not null")
+        told = rows.select(F.col("event_at").alias("newest"))
+        alive = None
+        if before:
+            alive, told = spark.read.parquet(f"{before}/alive"), told.unionByName(spark.read.parquet(f"{before}/newest"))
+        told.agg(F.max("newest").alias("newest")).write.mode("overwrite").parquet(f"{after}/newest")
+        mark = lambda folder: F.broadcast(spark.read.parquet(f"{folder}/newest").select((F.col("newest") - late).alias("mark")))
+        rows = rows.select("id", "event_at", F.lit(None).cast("timestamp").alias("ends"))
+        if before:
+            rows = rows.crossJoin(mark(before)).where("mark is null or event_at > mark").drop("mark")
+            rows = rows.unionByName(alive.select("id", F.lit(None).cast("timestamp").alias("event_at"), "ends"))
+        # told again while alive changes nothing; at or after its end it begins anew
+        times = rows.groupBy("id").agg(F.max("ends").alias("first"), F.array_sort(F.collect_list("event_at")).alias("times"))
+        none = F.array().cast("array<timestamp>")
+        begun = lambda made, t: F.when(made["ends"].isNull() | (t >= made["ends"]), F.struct((t + life).alias("ends"), F.concat(made["starts"], F.array(t)).alias("starts"))).otherwise(made)
+        times = times.select("id", F.array_compact(F.array("first")).alias("first"), F.aggregate("times", F.struct(F.col("first").alias("ends"), none.alias("starts")), begun).alias("made"))
+        ends = F.concat("first", F.transform("made.starts", lambda t: t + life))
+        times = times.select("id", F.col("made.starts").alias("starts"), ends.alias("ends"), F.col("made.ends").alias("last")).crossJoin(mark(after))
+        over = F.filter("ends", lambda t: (t < F.col("last")) | (t <= F.col("mark")))
+        states = lambda name, at: F.transform(at, lambda t: F.struct(F.lit(name).alias("state"), t.alias("at")))
+        found = times.select("id", F.concat(states("active", F.col("starts")), states("expired", over)).alias("x"), F.when(F.col("last") > F.col("mark"), F.col("last")).alias("ends"))
+        found.where("ends is not null").select("id", "ends").write.mode("overwrite").parquet(f"{after}/alive")
+        found.select("id", F.explode("x").alias("x")).select("id", "x.state", "x.at").write.mode("overwrite").parquet(to)
+
+    return _logged(alerts, path, step)
