@@ -274,7 +274,7 @@ def test_one_shot_log_equals_one_shot_lifecycle(spark, tmp_path):
     assert len(got) > 60 and ("x", "expired", at(23)) in got
 
 
-@pytest.mark.parametrize("name", ["stream_alerts", "one_shot_states"])
+@pytest.mark.parametrize("name", ["stream_alerts", "one_shot_states", "resumed_alerts"])
 def test_stream_queries_keep_no_python_state(spark, monkeypatch, name):
     """A Python call for each series and batch took over a minute on 22,500 series."""
     called = lambda *_: pytest.fail("a series by itself")

@@ -63,9 +63,11 @@ RESUMED = "2024-01-16"
 def resumed_alerts(spark, sf_dir):
     """The first half of the events in batch, the second as a new stream that begins with the alerts that are open by then. The oracle is one run over all."""
     series = lambda rows: rows.select("entity", "period", F.col("update_ts").alias("as_of"), ((F.col("value") - 60) / 10).alias("pct"))
-    first = batch.hysteresis(series(Views(spark, sf_dir).obs_ev()).where(F.col("as_of") < F.lit(RESUMED)))
-    rest = alerts.alert_stream(series(_event_stream(spark, sf_dir)).where(F.col("as_of") >= F.lit(RESUMED)), open_alerts=alerts.newest_open(first))
-    out = first.unionByName(_drained(rest, "resumed-alerts"))
+    path = _folder(spark, "resumed-alerts")
+    batch.hysteresis(series(Views(spark, sf_dir).obs_ev()).where(F.col("as_of") < F.lit(RESUMED))).write.parquet(f"{path}-first")
+    first = spark.read.parquet(f"{path}-first")
+    alerts.alert_log(series(_event_stream(spark, sf_dir)).where(F.col("as_of") >= F.lit(RESUMED)), path, open_alerts=alerts.newest_open(first)).awaitTermination()
+    out = first.unionByName(alerts.logged(spark, path, alerts.EVENTS))
     return out.select("entity", "period", F.date_format("as_of", "yyyy-MM-dd HH:mm:ss").alias("as_of"), F.round("pct", 6).alias("pct"), "event")
 
 
