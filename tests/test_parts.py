@@ -221,3 +221,16 @@ def test_restated_panel_against_brute_force(spark):
                 assert a[0] == (anchor[2] if anchor else None) and a[1] == base, (entity, g, days)
                 if a[2] is None:
                     assert a[3] == best[base][5] and a[4] == anchor[5]
+
+
+def _times(df, word):
+    return df._jdf.queryExecution().optimizedPlan().toString().count(word)
+
+
+def test_numbers_of_an_event_are_read_once(spark):
+    """The three texts of an event were each matched many times, in the filter and again after it."""
+    rows = [("A", "P", "1,000", "$1020.5", None, "update", "2026-01-02", None), ("A", "P", "100", "90", "n/a", "update", None, "2026-01-03T00:00:00Z"), ("A", "P", "100", "101", None, "update", "2026-01-04", None), ("A", "P", None, "5", "n/a", "", "2026-01-05", None), ("A", "P", "1e999", "5", "-3%", "", "2026-01-06", None), (None, "P", "1", "2", None, "", "2026-01-06", None)]
+    events = spark.createDataFrame(rows, "entity string, period string, previous string, current string, revision string, reason string, date string, update_time string").repartition(2)
+    out = alerts.single_revisions(events)
+    assert _times(out, "RLIKE") == 3
+    assert sorted((r["event_date"], r["direction"], round(r["pct"], 6)) for r in out.collect()) == [("2026-01-02", "upgrade", 2.05), ("2026-01-03", "downgrade", -10.0), ("2026-01-06", "downgrade", -3.0)]

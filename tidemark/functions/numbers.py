@@ -20,8 +20,12 @@ def finite(value: Column) -> Column:
 def to_num(text: Column) -> Column:
     """Text to a finite double: thousands separators, percent and dollar signs go; anything else that is not a plain
     number, "true" and sentinels included, is NULL."""
-    s = F.trim(F.translate(F.trim(text.cast("string")), ",%$", ""))
-    return finite(F.when(s.rlike(NUMBER), s.try_cast("double")))
+    s = F.trim(text.cast("string"))
+    for sign in ",%$":  # a replacement that finds nothing is much cheaper than a translation
+        s = F.replace(s, F.lit(sign), F.lit(""))
+    s = F.trim(s)
+    number = s.try_cast("double")  # the pattern is tried once, and infinities fail the comparison
+    return F.when(s.rlike(NUMBER) & (F.abs(number) < float("inf")), number)
 
 
 def is_unavailable(text: Column, at_export: bool = False) -> Column:

@@ -84,8 +84,8 @@ def transition_date(*candidates: Column) -> Column:
     return F.coalesce(*clean)
 
 
-def is_baseline(reason: Column, previous: Column, revision: Column) -> Column:
-    """The event opens a series: it says so, or has neither a percentage nor a previous number."""
+def is_baseline(reason: Column, previous: Column, revision: Column, previous_number: Column | None = None) -> Column:
+    """The event opens a series: it says so, or has neither a percentage nor a previous number (``previous_number``, where that is known)."""
     said = lambda c: F.coalesce(F.lower(c).contains("baseline"), F.lit(False))
     empty = F.coalesce(F.lower(revision), F.lit("")).isin("n/a", "n/a (baseline)", "na", "")
-    return said(reason) | said(previous) | (empty & to_num(previous).isNull())
+    return said(reason) | said(previous) | (empty & (to_num(previous) if previous_number is None else previous_number).isNull())
