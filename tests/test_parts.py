@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import dates, fiscal, numbers, text
+from tidemark.functions import dates, fiscal, ids, numbers, text
 from tidemark.operators import alerts, datasets, history, windows
 from tidemark.plans.stream_queries import _drained
 from tidemark.sources import readers, writers
@@ -244,3 +244,10 @@ def test_margins_of_a_digest_are_read_once(spark):
     assert _times(out, "regexp_extract_all(") == 4 and _times(out, "bps") < 20
     got = sorted((r["period"], r["rule"], r["severity"], r["bps"]) for r in out.collect())
     assert got == [("Q1", alerts.MARGIN_GUIDANCE, "high", 2000.0), ("Q1", alerts.PRESSURE, "high", 500.0), ("Q2", alerts.PRESSURE, "high", 350.0), ("Q3", alerts.MARGIN_GUIDANCE, "medium", None)]
+
+
+def test_parts_of_an_id_are_matched_once(spark):
+    texts = spark.createDataFrame([("a  b",), ("  ",), ("\t",), (None,), ("a:b/c",), ("",)], "t string").repartition(2)
+    out = texts.select(ids.alert_id(F.lit("x"), F.col("t")).alias("i"))
+    assert _times(out, "regexp_replace(") == 1
+    assert sorted(r["i"] for r in out.collect()) == ["x:_", "x:a_b", "x:a_b-c", "x:na", "x:na", "x:na"]

@@ -9,9 +9,10 @@ from tidemark.functions.numbers import to_num
 
 
 def id_part(value: Column) -> Column:
-    s = F.regexp_replace(F.trim(value.cast("string")), r"\s+", "_")
+    given = F.trim(value.cast("string"))
+    s = F.regexp_replace(given, r"\s+", "_")
     s = F.substring(F.replace(F.replace(s, F.lit(":"), F.lit("_")), F.lit("/"), F.lit("-")), 1, 80)
-    return F.coalesce(F.when(s != "", s), F.lit("na"))
+    return F.coalesce(F.when(given != "", s), F.lit("na"))  # what is replaced stays as long or keeps a character, so the pattern is tried once
 
 
 def alert_id(*parts: Column) -> Column:
