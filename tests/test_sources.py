@@ -220,6 +220,21 @@ def test_one_shot_alerts_expire_in_event_time(spark, tmp_path):
     assert states == [("a", 0, "active"), ("a", 21, "expired"), ("b", 40, "active"), ("c", 41, "active"), ("d", 0, "active"), ("d", 21, "expired"), ("d", 22, "active")]
 
 
+def test_a_merge_groups_identities_once(spark, tmp_path, monkeypatch):
+    """Conflicts, months, counts and rows of a merge were each grouped and joined from its inputs again."""
+    for f in ("conflicts_between", "new_observations"):
+        monkeypatch.setattr(history, f, lambda *_: pytest.fail("grouped again"))
+    row = lambda e, d, v: (e, "P", dt.date(2026, *d), "t", v, 3.0)
+    table = lambda *rows: spark.createDataFrame(rows, "entity string, period string, obs_date date, update_time string, value double, coverage double")
+    path = str(tmp_path / "h")
+    assert writers.write_months(table(row("A", (1, 2), 1.0), row("A", (1, 2), 1.0), row("B", (2, 3), None)), path) == ["2026-01", "2026-02"]
+    assert writers.write_months(table(row("B", (2, 3), None), row("B", (2, 4), 5.0), row("A", (1, 2), 1.0)), path) == ["2026-02"]
+    for bad in (table(row("A", (1, 2), None)), table(row("C", (3, 1), 1.0), row("C", (3, 1), 2.0))):
+        with pytest.raises(history.ConflictError, match="identity with several payloads"):
+            writers.write_months(bad, path)
+    assert sorted((r["entity"], str(r["obs_date"]), r["value"]) for r in spark.read.parquet(path).collect()) == [("A", "2026-01-02", 1.0), ("B", "2026-02-03", None), ("B", "2026-02-04", 5.0)]
+
+
 def _batches(spark, folder, rows, schema):
     """Stream after stream over one more file each, as runs of a job are."""
     (folder / "in").mkdir(exist_ok=True)
