@@ -98,3 +98,43 @@ def test_input_partitions_do_not_matter(spark):
     many = one.repartition(7, F.rand(3))
     at = grid(spark, dt.datetime(2026, 9, 15, 23))
     assert sorted(map(tuple, windows.revision_panel(one, at).collect())) == sorted(map(tuple, windows.revision_panel(many, at).collect()))
+
+
+def test_restated_history_is_dealt_twice(spark):
+    """It was dealt for each of three lookups, their slices and the joins between them."""
+    df = obs(spark, [(back(k), dt.datetime(2026, 9, 15), float(k)) for k in range(40)])
+    plan = windows.restated_panel(df, grid(spark, dt.datetime(2026, 9, 16), dt.datetime(2026, 9, 20)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2 and "SortMergeJoin" not in plan
+
+
+def test_one_day_restated_between_many_as_ofs(spark):
+    """More as-ofs than a block holds, given twice and with one of no time; a row of no known time is seen by none, also as an anchor."""
+    day = dt.date(2026, 9, 1)
+    rows = [(day, dt.datetime(2026, 9, 1) + dt.timedelta(hours=k), float(k + 1)) for k in range(24 * 30)]
+    rows += [(day + dt.timedelta(days=1), dt.datetime(2026, 9, 20, 12), 7.0), (None, None, 9.0)]
+    at = [dt.datetime(2026, 9, 1) + dt.timedelta(days=k) for k in range(-1, 3 * windows.BLOCK)]
+    df = obs(spark, rows).union(spark.createDataFrame([("Y", "Jan 2027", None, None, 1, 5.0)], OBS)).repartition(5)
+    out = windows.restated_panel(df, grid(spark, *at, *at, None), (0,)).collect()
+    got = {(r["entity"], r["as_of"]): (r["anchor_date"], r["base_date"], r["start_value"], r["end_value"], r["reason"]) for r in out}
+    assert len(out) == len(got) == 2 * (len(at) + 1)
+    assert got["X", None] == got["X", at[0]] == got["Y", None] == got["Y", at[-1]] == (None, None, None, None, "no_anchor")
+    for g in at[1:]:
+        value = float((g - at[1]) / dt.timedelta(hours=1) + 1)
+        assert got["X", g] == (day, day, None, value, "same_date")
+    assert windows.restated_panel(df, grid(spark, at[0]).where("false")).count() == 0
+
+
+def test_later_day_with_an_older_update_is_the_baseline(spark):
+    """A day behind the anchor's that was known before it, and the versions of it that each as-of saw."""
+    rows = [(back(2), dt.datetime(2026, 9, 14), 4.0), (back(1), dt.datetime(2026, 9, 14, 12), 5.0), (back(1), dt.datetime(2026, 9, 17), 6.0), (D, dt.datetime(2026, 9, 16), 12.0), (back(1), dt.datetime(2026, 9, 17, 1), 8.0)]
+    out = windows.restated_panel(obs(spark, rows), grid(spark, *[dt.datetime(2026, 9, k) for k in (15, 16, 17, 18)]), (1,)).collect()
+    got = {r["as_of"].day: (r["anchor_date"], r["base_date"], r["start_value"], r["end_value"]) for r in out}
+    assert got == {15: (back(1), back(2), 4.0, 5.0), 16: (D, back(1), 5.0, 12.0), 17: (back(1), back(2), 4.0, 6.0), 18: (back(1), back(2), 4.0, 8.0)}
+
+
+def test_days_known_in_advance_are_baselines(spark):
+    """An anchor in the future, and days before it that were known early: those behind a prompt day after the as-of were missed."""
+    early = dt.datetime(2026, 9, 1)
+    rows = [(back(10), dt.datetime(2026, 9, 5, 8), 1.0), (back(5), early, 2.0), (back(4), dt.datetime(2026, 9, 11, 8), 3.0), (back(2), early, 4.0), (D, dt.datetime(2026, 9, 6), 5.0)]
+    out = windows.restated_panel(obs(spark, rows), grid(spark, dt.datetime(2026, 9, 8)), (0, 1, 3)).collect()
+    assert {r["days"]: (r["anchor_date"], r["base_date"]) for r in out} == {0: (D, D), 1: (D, back(2)), 3: (D, back(5))}

@@ -4,13 +4,12 @@ An observation has ``entity, period, obs_date, value``, an optional ``update_ts`
 and ``seq``, the append order that settles ties. No row that became known after an as-of is ever visible to it.
 
 The as-of joins are a union of probes and observations and one running ``last`` over the series: work and shuffle grow with
-the rows, not with their product. The running ``last`` goes by slices (:mod:`tidemark.operators.slices`), so that a long series is many tasks.
+the rows, not with their product. The running ``last`` goes by slices (:mod:`tidemark.operators.slices`), so that a long series is many tasks. Histories
+with restatements are first brought to at most one row for each day and as-of of a series (:func:`restated_panel`).
 """
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +19,8 @@ from tidemark.functions.numbers import revision_pct, to_num
 from tidemark.operators.slices import running_last
 
 SERIES = ("entity", "period")
-#: Stands for a prompt day that isn't there.
-NO_DAY = datetime.date(1000, 1, 1)
+#: As-ofs of a restated history that are looked up side by side.
+BLOCK = 8
 
 
 def _with_times(obs: DataFrame) -> DataFrame:
@@ -39,17 +38,15 @@ def same_day_collapse(obs: DataFrame, as_of: Column | None = None) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
-def _last_before(rows: DataFrame, probes: DataFrame, at: str, carried: tuple[str, ...], ties: tuple[str, ...] = (), within: tuple[str, ...] = ()) -> DataFrame:
-    """For each probe (series, ``within``, ``at``, further columns) the last of ``rows`` (series, ``within``, ``at``, carried, ties) at or before
-    it. Of rows with equal ``at`` the last in the order of ``ties`` counts."""
-    keys = (*SERIES, *within)
-    extra = [c for c in probes.columns if c not in (*keys, at)]
+def _last_before(rows: DataFrame, probes: DataFrame, at: str, carried: tuple[str, ...]) -> DataFrame:
+    """For each probe (series, ``at``, further columns) the last of ``rows`` (series, ``at``, carried) at or before it. Of rows with equal ``at`` the
+    last in the order of ``carried`` counts."""
+    extra = [c for c in probes.columns if c not in (*SERIES, at)]
     empty = lambda df, names: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names]
-    tie = F.struct(*(ties or carried)).alias("tie")
-    packed = rows.select(*keys, at, F.lit(0).alias("kind"), tie, F.struct(*carried).alias("found"), *empty(probes, extra))
-    asked = probes.select(*keys, at, F.lit(1).alias("kind"), *empty(packed, ("tie", "found")), *extra)
-    both = running_last(packed.unionByName(asked), keys, (at, "kind", "tie"), {"last_found": "found"})
-    return both.where("kind = 1").select(*keys, at, *extra, F.col("last_found").alias("found"))
+    packed = rows.select(*SERIES, at, F.lit(0).alias("kind"), F.struct(*carried).alias("tie"), F.struct(*carried).alias("found"), *empty(probes, extra))
+    asked = probes.select(*SERIES, at, F.lit(1).alias("kind"), *empty(packed, ("tie", "found")), *extra)
+    both = running_last(packed.unionByName(asked), SERIES, (at, "kind", "tie"), {"last_found": "found"})
+    return both.where("kind = 1").select(*SERIES, at, *extra, F.col("last_found").alias("found"))
 
 
 def asof_baseline(obs: DataFrame, probes: DataFrame, tolerance: int = 1) -> DataFrame:
@@ -61,18 +58,6 @@ def asof_baseline(obs: DataFrame, probes: DataFrame, tolerance: int = 1) -> Data
     return found.withColumns({"base_date": F.col("found.base_date"), "gap": gap, "base_value": F.when(gap <= tolerance, F.col("found.base_value"))}).drop("found")
 
 
-def visible_days(obs: DataFrame) -> DataFrame:
-    """For histories with restatements: each row that ever is the one of its day, with the instants ``[known_at, until)`` in
-    which it is. On a day the order is (timed, update time, append order); a row shows once it is known and as long as
-    no better one is."""
-    rows = _with_times(obs)
-    rank = F.struct(F.col("update_ts").isNotNull().cast("int").alias("timed"), F.col("update_ts"), F.col("seq"))
-    by_time = Window.partitionBy(*SERIES, "obs_date").orderBy("known_at", F.col("update_ts").asc_nulls_first(), "seq")
-    best = F.max(rank).over(by_time.rowsBetween(Window.unboundedPreceding, 0))
-    shown = rows.withColumn("rank", rank).withColumn("best", best).where(F.col("rank") == F.col("best"))
-    return shown.withColumn("until", F.lead("known_at").over(by_time)).where("until is null or until > known_at").drop("rank", "best")
-
-
 def anchors(obs: DataFrame, grid: DataFrame) -> DataFrame:
     """Every series and as-of of ``grid`` with the latest observation known by then (by effective time, then by append order)."""
     days = same_day_collapse(obs).withColumn("as_of", F.col("known_at"))
@@ -122,43 +107,49 @@ def _judged(found: DataFrame) -> DataFrame:
 
 def restated_panel(obs: DataFrame, grid: DataFrame, windows: tuple[int, ...] = (30, 60, 90), tolerance: int = 1) -> DataFrame:
     """:func:`revision_panel` for any history. An as-of only sees the rows known by then, so a restatement never changes what an earlier
-    as-of saw. Work grows with rows and probes, not with their product:
-
-    * the anchor is a running ``last`` over the times at which rows became known;
-    * a day is prompt if it was first known on the day itself. Every as-of from the next day on knows it, so a running ``last`` over dates
-      finds the prompt day at or before a target. A day known late or early counts against it only between it and the next prompt
-      day, which is an equality join on the prompt day before both; so does the as-of's own day;
-    * what the day then showed is a running ``last`` over the versions of that day."""
-    shown = visible_days(obs)
-    small = grid.select(F.col("as_of").cast("timestamp").alias("as_of"))
-    packed = shown.select(*SERIES, F.col("known_at").alias("as_of"), "obs_date", "seq", "value")
-    probes = shown.select(*SERIES).distinct().crossJoin(small)
-    anchor = _last_before(packed, probes, "as_of", ("obs_date", "value"), ("obs_date", "seq"))
-    anchor = anchor.select(*SERIES, "as_of", F.col("found.obs_date").alias("anchor_date"), F.col("found.value").alias("anchor_value"))
-    asked = anchor.withColumn("days", F.explode(F.array(*[F.lit(n) for n in windows])))
-    asked = asked.withColumn("target", F.date_sub(F.coalesce("anchor_date", F.to_date("as_of")), F.col("days")))
-    asked = asked.withColumn("at", F.least("target", F.date_sub(F.to_date("as_of"), 1)))  # prompt days up to here are known for sure
-
-    days = shown.groupBy(*SERIES, "obs_date").agg(F.min("known_at").alias("first_known"))
-    prompt = F.to_date("first_known") == F.col("obs_date")
-    of_day = days.select(*SERIES, F.col("obs_date").alias("at"), F.lit(0).alias("kind"), F.when(prompt, F.col("obs_date")).alias("mark"), "obs_date", "first_known", *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("as_of", "days", "target", "anchor_date", "anchor_value")])
-    of_probe = asked.select(*SERIES, "at", F.lit(1).alias("kind"), F.lit(None).cast("date").alias("mark"), F.lit(None).cast("date").alias("obs_date"), F.lit(None).cast("timestamp").alias("first_known"), "as_of", "days", "target", "anchor_date", "anchor_value")
-    marked = running_last(of_day.unionByName(of_probe), SERIES, ("at", "kind"), {"prompt_day": "mark"})
-    asked = marked.where("kind = 1").drop("kind", "mark", "obs_date", "first_known", "at")
-    # a candidate is met under the prompt day before it, the as-of's own day under itself
-    others = marked.where("kind = 0 and mark is null").select(*SERIES, F.coalesce("prompt_day", F.lit(NO_DAY)).alias("key"), F.col("obs_date").alias("other"), "first_known")
-    own = marked.where("kind = 0 and mark is not null").select(*SERIES, F.col("obs_date").alias("key"), F.col("obs_date").alias("other"), "first_known")
-    keyed = asked.withColumn("key", F.explode(F.array_distinct(F.array(F.coalesce("prompt_day", F.lit(NO_DAY)), F.to_date("as_of")))))
-    found = keyed.join(others.unionByName(own), [*SERIES, "key"], "left")
-    there = (F.col("first_known") <= F.col("as_of")) & (F.col("other") <= F.col("target"))
-    found = found.groupBy(*SERIES, "as_of", "days", "target", "anchor_date", "anchor_value", "prompt_day").agg(F.max(F.when(there, F.col("other"))).alias("other"))
-    found = found.withColumn("base_date", F.greatest("prompt_day", "other")).drop("prompt_day", "other")
-
-    versions = shown.select(*SERIES, F.col("obs_date").alias("base_date"), F.col("known_at").alias("as_of"), "seq", "value")
-    wanted = found.select(*SERIES, "base_date", "as_of", "days", "target", "anchor_date", "anchor_value")
-    found = _last_before(versions, wanted, "as_of", ("value",), ("seq",), within=("base_date",))
-    gap = weekday_gap(F.col("base_date"), F.col("target"))
-    return _judged(found.withColumn("base_value", F.when(gap <= tolerance, F.col("found.value"))))
+    as-of saw. Rows are dealt twice, and nothing is joined:
+
+    * as-ofs are numbered by time, and an observation has the number of the first one that sees it. Of a day's observations with one number only the best
+      counts (an aggregate, begun before rows are dealt), and only if it is better than the day's earlier ones. So however often a series is observed,
+      what is dealt by series has at most one row for each of its days and as-ofs;
+    * the first row of a series brings the as-ofs along. The anchor of one is the latest of the rows up to its number;
+    * the baseline of one is the last day at or before its target among the rows up to its number, and the last such row of that day is what the day showed. A
+      running ``last`` for each of ``BLOCK`` numbers finds both at once; a row goes into its own block of numbers and those after it."""
+    one = F.struct(F.col("as_of").cast("timestamp").alias("as_of")).alias("one")
+    as_ofs = grid.select(one).agg(F.sort_array(F.collect_set("one")).alias("as_ofs"))  # in structs, which keep an as-of of null: the first, which sees nothing
+    earlier = F.size(F.filter("as_ofs", lambda g: F.coalesce(g["as_of"] < F.col("known_at"), F.lit(True))))
+    rows = _with_times(obs).crossJoin(as_ofs).withColumn("level", earlier)
+    rows = rows.withColumn("level", F.when(F.col("known_at").isNotNull() & (F.col("level") < F.size("as_ofs")), F.col("level")))
+    seen = F.col("level").isNotNull()
+    version = F.struct(F.col("update_ts").isNotNull().alias("timed"), "update_ts", "seq", "known_at", "value")
+    days = rows.groupBy(*SERIES, F.when(seen, F.col("obs_date")).alias("obs_date"), "level").agg(F.max(F.when(seen, version)).alias("best"))
+    by_level = Window.partitionBy(*SERIES, "obs_date").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("first", F.row_number().over(Window.partitionBy(*SERIES).orderBy("obs_date", "level")) == 1)
+    days = days.withColumn("before", F.max("best").over(by_level)).where("first or before is null or best > before")
+
+    itself = F.array(F.lit(None).cast("struct<as_of:timestamp,level:int>"))
+    probes = F.transform("as_ofs", lambda g, k: F.struct(g["as_of"].alias("as_of"), k.alias("level")))
+    both = days.crossJoin(as_ofs).withColumn("asked", F.explode(F.when(F.col("first"), F.concat(itself, probes)).otherwise(itself)))
+    probe = F.col("asked").isNotNull()
+    both = both.select(*SERIES, probe.alias("probe"), F.coalesce("asked.level", "level").alias("level"), F.size("as_ofs").alias("n"), "asked.as_of", "obs_date", F.when(~probe, F.col("best")).alias("best"))
+    latest = F.when(F.col("best").isNotNull(), F.struct("best.known_at", "obs_date", "best.seq", "best.value"))
+    up_to_here = Window.partitionBy(*SERIES).orderBy("level", "probe").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("anchor", F.max(latest).over(up_to_here))
+
+    block = lambda level: F.floor(level / BLOCK).cast("int")
+    lengths = F.array(*[F.struct(block(F.col("level")).alias("block"), F.lit(n).alias("days")) for n in windows])
+    blocks = F.transform(F.sequence(block(F.col("level")), block(F.col("n") - 1)), lambda b: F.struct(b.alias("block"), F.lit(None).cast("int").alias("days")))
+    both = both.withColumn("to", F.explode(F.when(F.col("probe"), lengths).when(F.col("best").isNotNull(), blocks)))
+    target = F.date_sub(F.coalesce("anchor.obs_date", F.to_date("as_of")), F.col("to.days"))
+    place = F.greatest(F.col("level") - F.col("to.block") * BLOCK, F.lit(0))
+    state = F.when(~F.col("probe"), F.struct("obs_date", "best.value"))
+    both = both.select(*SERIES, "to.block", "to.days", "as_of", "probe", "level", place.alias("place"), F.when(F.col("probe"), target).otherwise(F.col("obs_date")).alias("target"), "anchor", state.alias("state"))
+    by_day = Window.partitionBy(*SERIES, "block").orderBy("target", "probe", "level").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumns({f"base_{k}": F.last(F.when(F.col("place") <= k, F.col("state")), ignorenulls=True).over(by_day) for k in range(BLOCK)}).where("probe")
+    found = found.withColumn("base", F.coalesce(*[F.when(F.col("place") == k, F.col(f"base_{k}")) for k in range(BLOCK)]))
+    gap = weekday_gap(F.col("base.obs_date"), F.col("target"))
+    base = F.when(gap <= tolerance, F.col("base.value"))
+    return _judged(found.withColumns({"anchor_date": F.col("anchor.obs_date"), "anchor_value": F.col("anchor.value"), "base_date": F.col("base.obs_date"), "base_value": base}))
 
 
 def momentum_table(panel: DataFrame) -> DataFrame:
